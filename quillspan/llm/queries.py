@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, durable, encoding, packing
+from . import counting, durable, encoding, naming, packing, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -19,6 +19,15 @@ def tokenizer(name: str) -> str:
     return os.path.join(folder, name)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.exact_groups(durable.documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = durable.documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encoding.encode_decode(durable.documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -32,5 +41,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(durable.documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), 1024)
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_encoding, op7_best_fit_packing, op8_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op4_bpe_encoding, op7_best_fit_packing, op8_token_counts)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": """
+        WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""",
+}
