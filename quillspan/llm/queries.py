@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, durable, encoding, naming, packing, toxicity
+from . import counting, durable, encoding, jaccard, naming, packing, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -41,7 +41,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(durable.documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), 1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op4_bpe_encoding, op7_best_fit_packing, op8_token_counts)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(durable.documents(spark, sf_dir), 4, 85)
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op4_bpe_encoding, op7_best_fit_packing, op8_token_counts, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
