@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, durable, encoding, jaccard, naming, packing, toxicity
+from . import counting, durable, encoding, jaccard, naming, packing, substrings, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -33,6 +33,11 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.without_repeats(durable.documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(durable.documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -45,7 +50,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(durable.documents(spark, sf_dir), 4, 85)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op4_bpe_encoding, op7_best_fit_packing, op8_token_counts, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op4_bpe_encoding, op6_suffix_array_dedup, op7_best_fit_packing, op8_token_counts, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
