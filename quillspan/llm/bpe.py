@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
+import sys
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -188,15 +191,31 @@ class Vocabulary:
             at = found[0] + len(found[1])
 
 
+def library_merger(voc: Vocabulary):
+    """tiktoken's merging of one pre-token with the same vocabulary; None where ids don't follow the merges."""
+    made = [new for _, new in voc.merges.values()]
+    if voc.suffix or sys.byteorder != "little" or array("I").itemsize != 4 or any(a >= b for a, b in itertools.pairwise(made)) or max(voc.inner) > min(made):
+        return None
+    import tiktoken
+
+    core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=voc.whole, special_tokens={})._core_bpe
+    return core.encode_single_piece
+
+
 class Encoder:
     """Encodes Arrow columns of texts with one vocabulary; what recurs is kept in caches of bounded size."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, library: bool = False):
+        """library: merge with the tiktoken library where the file's ids stand in the order of its merges."""
         self.vocabulary = Vocabulary(raw)
+        self._piece = library_merger(self.vocabulary) if library else None
         self._blobs, self._counts = scan.Recent(CACHE_WORDS), scan.Recent(CACHE_WORDS)
         self._shown = scan.Recent(CACHE_WORDS)
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
+        if self._piece:
+            special = self.vocabulary.special_bytes
+            return [array("I", [special[w]] if w in special else self._piece(w)).tobytes() for w in words]
         return [np.array(self.vocabulary.ids(w), "<u4").tobytes() for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -256,16 +275,17 @@ class Encoder:
 
 
 @functools.cache
-def _encoder(packed: bytes) -> Encoder:
-    return Encoder(zlib.decompress(packed))
+def _encoder(packed: bytes, library: bool) -> Encoder:
+    return Encoder(zlib.decompress(packed), library)
 
 
 class Shared:
     """An encoder for executors: the file's bytes travel in a broadcast, the tables are built once a worker."""
 
-    def __init__(self, spark, path: str):
+    def __init__(self, spark, path: str, library: bool = False):
+        self.library = library
         with open(path, "rb") as f:
             self.packed = spark.sparkContext.broadcast(zlib.compress(f.read(), 1))
 
     def get(self) -> Encoder:
-        return _encoder(self.packed.value)
+        return _encoder(self.packed.value, self.library)

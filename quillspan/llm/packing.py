@@ -139,7 +139,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id and its offset there.
 
     slack: a bin with no more room than this is done. fan_in: how many tasks' bins meet in one task of the next round."""
-    shared = bpe.Shared(docs.sparkSession, vocabulary)
+    shared = bpe.Shared(docs.sparkSession, vocabulary, library=True)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tasks = max(1, kept.rdd.getNumPartitions())
     bins = durable.stored(kept.mapInArrow(_first_round(shared, capacity, end_id, slack), _BINS), "bins")
