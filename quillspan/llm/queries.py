@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, durable, encoding, jaccard, naming, packing, substrings, toxicity
+from . import counting, durable, encoding, jaccard, licences, naming, packing, substrings, toxicity, vectors
 
 
 def tokenizer(name: str) -> str:
@@ -33,6 +33,10 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.95)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.without_repeats(durable.documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -46,14 +50,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(durable.documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), 1024)
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(durable.documents(spark, sf_dir))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(durable.documents(spark, sf_dir), 4, 85)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op4_bpe_encoding, op6_suffix_array_dedup, op7_best_fit_packing, op8_token_counts, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op4_bpe_encoding, op5_embedding_near_dedup, op6_suffix_array_dedup, op7_best_fit_packing, op8_token_counts, op9_license_scans, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""",
+    "op9_license_scans": licences.oracle_sql(),
 }
