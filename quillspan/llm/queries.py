@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, durable, encoding, jaccard, licences, naming, packing, substrings, toxicity, vectors
+from . import counting, durable, encoding, jaccard, language, licences, naming, packing, substrings, toxicity, vectors
 
 
 def tokenizer(name: str) -> str:
@@ -19,6 +19,10 @@ def tokenizer(name: str) -> str:
     return os.path.join(folder, name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.fit_and_score(durable.documents(spark, sf_dir), 7, 2)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_groups(durable.documents(spark, sf_dir))
 
@@ -58,7 +62,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(durable.documents(spark, sf_dir), 4, 85)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op4_bpe_encoding, op5_embedding_near_dedup, op6_suffix_array_dedup, op7_best_fit_packing, op8_token_counts, op9_license_scans, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_toxicity, op4_bpe_encoding, op5_embedding_near_dedup, op6_suffix_array_dedup, op7_best_fit_packing, op8_token_counts, op9_license_scans, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
