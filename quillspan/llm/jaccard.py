@@ -62,10 +62,10 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(folded[a : b - k + 1]))
         elif b > a:
-            one = np.uint64(b - a)
-            for x in h[a:b]:
-                one = np.multiply(one, _P) + x
-            out.append(_mixed(np.array([one], np.uint64)))
+            one = np.array([b - a], np.uint64)
+            for j in range(a, b):
+                one = one * _P + h[j : j + 1]
+            out.append(_mixed(one))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

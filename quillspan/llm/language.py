@@ -35,9 +35,9 @@ from . import durable, scan
 SHORT_LIST = 766
 CLASSES = 256
 SIZE = 24
-NOISE = 48
-BATCH = 4096
-RATE = 0.1
+NOISE = 32
+BATCH = 1024
+RATE = 0.3
 BLOCK_TOKENS = 800_000
 PARTS = 16
 START, END = 0, 1

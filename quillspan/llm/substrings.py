@@ -363,9 +363,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, doc_id, text: keys are the ids where they are unique, else numbers in order of id and text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, others: tuple[str, ...] = ()) -> DataFrame:
+    """key, doc_id, text and the other columns that are named: keys are the ids where they are unique, else numbers in order of id and text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *others)
     repeated = rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
     if not repeated:
         return rows.withColumn("key", F.col("doc_id"))
@@ -395,3 +395,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = rows.join(_marked(rows), "key", "left").select("doc_id", "text", "marks")
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: int, stop: int>>, kept binary"
     return joined.mapInArrow(_cut, schema)
+
+
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with repeated passages cut out of the texts, and the column of lengths (if there is one) set anew.
+
+    Bytes of characters that a cut leaves incomplete are dropped, so texts stay valid. A null text stays null."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("string")
+    def left(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        part = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts, marks], ["doc_id", "text", "marks"])
+        kept = [x for b in _cut(iter([part])) for x in b.column(4).to_pylist()]
+        return pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+
+    rest = [c for c in docs.columns if c != text_col]
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = _keyed(row, "_id", "_text", ("_row",))
+    joined = rows.join(_marked(rows), "key", "left")
+    text = F.when(F.col("marks").isNull(), F.col("text")).otherwise(left(F.col("text"), F.col("marks")))
+    joined = joined.select("_row", text.alias("_left"))
+    columns = [F.col("_left").alias(c) if c == text_col else F.length("_left").cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return joined.select(*columns)
