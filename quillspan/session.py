@@ -19,6 +19,7 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("quillspan")
