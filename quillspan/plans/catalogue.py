@@ -79,7 +79,7 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.mode(_features(spark, sf_dir), "registry_filtered").join(pattern_candidates(spark, sf_dir), ["doc_id", "label", "candidate_id"]).select("doc_id", "label", "start", "end")
+    return pattern_candidates(spark, sf_dir).filter(R.passes_filter(F.col("label"), F.col("text"))).select("doc_id", "label", "start", "end")
 
 
 def _study_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,10 +273,10 @@ def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_PROBS}, r AS (SELECT *, max("end") OVER w AS reach FROM kept WINDOW w AS (PARTITION BY doc_id, expert, label ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     i AS (SELECT *, sum((reach IS NULL OR start > reach + 1)::int) OVER (PARTITION BY doc_id, expert, label ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM r)
-    SELECT doc_id, expert, label, min(start)::int AS start, max("end")::int AS "end", round(avg(prob), 6) AS confidence, count(*) AS n_tokens FROM i GROUP BY doc_id, expert, label, island""")
+    SELECT doc_id, expert, label, min(start)::int AS start, max("end")::int AS "end", round(avg(prob), 9) AS confidence, count(*) AS n_tokens FROM i GROUP BY doc_id, expert, label, island""")
 def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = candidates.above_threshold(_probabilities(spark, sf_dir), _thresholds(spark))
-    return _rounded(candidates.merged_intervals(kept, ["doc_id", "expert", "label"]), "confidence")
+    return candidates.merged_intervals(kept, ["doc_id", "expert", "label"]).withColumn("confidence", F.round("confidence", 9))
 
 
 # --- votes ----------------------------------------------------------------------------------------------------------

@@ -107,8 +107,8 @@ def validation(source: str, label: str, text: str, start: str, end: str) -> str:
 
 def offsets(rows: str, key: str, pieces: str, where: str = "true") -> str:
     """A query of key, ord, start, end, text over a relation whose expression `pieces` tiles a text."""
-    return f"""SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY k) - 1 AS ord, sum(length(text)) OVER (PARTITION BY {key} ORDER BY k) - length(text) AS start,
-        sum(length(text)) OVER (PARTITION BY {key} ORDER BY k) AS "end", text
+    return f"""SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY k) - 1 AS ord, (sum(length(text)) OVER (PARTITION BY {key} ORDER BY k))::bigint - length(text) AS start,
+        (sum(length(text)) OVER (PARTITION BY {key} ORDER BY k))::bigint AS "end", text
         FROM (SELECT {key}, unnest({pieces}) AS text, generate_subscripts({pieces}, 1) AS k FROM {rows}) WHERE {where}"""
 
 
@@ -118,7 +118,7 @@ def matches_sql(rows: str, key: str, text: str, label: str, name: str, pattern:
     start, left = trim_sides("m", "s")
     return f"""SELECT {key}, '{label}' AS label, start, start + length(t) AS "end", t AS text, '{name}' AS method FROM (
         SELECT {key}, {start} AS start, {left} AS t FROM (
-            SELECT {key}, m, sum(length(g) + length(m)) OVER (PARTITION BY {key} ORDER BY k) - length(m) AS s FROM (
+            SELECT {key}, m, (sum(length(g) + length(m)) OVER (PARTITION BY {key} ORDER BY k))::bigint - length(m) AS s FROM (
                 SELECT {key}, unnest(f) AS m, unnest(g[1:len(f)]) AS g, generate_subscripts(f, 1) AS k FROM (SELECT {key}, {found} AS f, {gaps} AS g FROM {rows})))) WHERE length(t) > 0"""
 
 
