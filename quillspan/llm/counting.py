@@ -2,7 +2,7 @@
 
 For each distinct pre-token a table gives the token count of each of its prefixes; the entry of a prefix is one
 more than that of the prefix before its last token, which is the only token that agrees with what stands before
-it. Tables answer truncation and budget questions by binary search, without encoding again. The operator reads
+it. Tables answer truncation and budget questions without encoding again. The operator reads
 each text once and shuffles nothing.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; an empty table gives
@@ -40,7 +40,7 @@ def truncation(docs: DataFrame, vocabulary: str, budget: int, id_col: str = "doc
         kept, tokens = [], []
         for text in part.column(1).to_pylist():
             table = shared.get().prefix_counts(text or "")
-            at = int(np.searchsorted(table, budget, "right")) - 1
+            at = int(np.flatnonzero(table <= budget)[-1])
             kept.append(at)
             tokens.append(int(table[at]))
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes_kept", "n_tokens_kept"])
