@@ -234,16 +234,15 @@ class Encoder:
         return np.diff(sums[tokens.offsets])
 
     def prefix_counts(self, text: str) -> np.ndarray:
-        """Entry i: tokens of the pre-tokens before byte i of the text, and of the prefix of the one that holds it.
+        """Entry i: tokens of the text up to byte i, with the pre-tokens of the whole text.
 
-        At the end, and at every border of pre-tokens, it is the count of the text up to there. Budget and
-        truncation questions are binary searches in this array (it never falls)."""
+        Entries can fall inside a pre-token (a longer prefix may need fewer tokens)."""
         tokens = self.vocabulary.pretokens(pa.array([text]))
         tables = self.vocabulary.prefix_tables(tokens.values.to_pylist())
         parts, base = [np.zeros(1, np.int64)], 0
         for code in tokens.codes.tolist():
             table = np.array(tables[code][1:], np.int64)
-            parts.append(np.maximum.accumulate(table) + base)
+            parts.append(table + base)
             base += tables[code][-1]
         return np.concatenate(parts)
 
