@@ -294,7 +294,7 @@ def test_maximal_segments():
 
     rng = random.Random(9)
     for _ in range(200):
-        scores = [rng.choice([1.0, 3.0, 2.5, -0.5, -0.5, -0.5]) for _ in range(rng.randint(0, 14))]
+        scores = [rng.choice([1.03, 3.17, 2.51, -0.5, -0.5, -0.5]) for _ in range(rng.randint(0, 14))]
         places = [k for k, s in enumerate(scores) if s > 0]
         got = toxicity.maximal_segments(places, [scores[k] for k in places], 0.5)
         assert sorted(round(s, 6) for _, _, s in got) == sorted(brute(scores))
