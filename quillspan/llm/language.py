@@ -35,7 +35,7 @@ from . import durable, scan
 SHORT_LIST = 766
 CLASSES = 256
 SIZE = 24
-NOISE = 32
+NOISE = 24
 BATCH = 1024
 RATE = 0.3
 BLOCK_TOKENS = 800_000
@@ -182,15 +182,13 @@ def _words_of(data: bytes, sizes: bytes) -> pa.Array:
     return scan.binary_array(np.frombuffer(data, np.uint8), np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)))))
 
 
-def _bucket(word: bytes, buckets: int) -> int:
-    return xxhash.xxh3_64_intdigest(word, 7) % buckets
-
-
-def _by_bucket(words: list[bytes], buckets: int) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        out.setdefault(_bucket(w, buckets), []).append(k)
-    return out
+def _by_bucket(words: list[bytes], buckets: int) -> dict[int, np.ndarray]:
+    """Places of the words of each bucket, in an order that depends on the words alone."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((h, bucket))
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return {b: order[cuts[b] : cuts[b + 1]] for b in range(buckets) if cuts[b] < cuts[b + 1]}
 
 
 _COUNTS = "bucket int, words binary, sizes binary, counts binary"
@@ -224,15 +222,37 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "words": pa.array([data]), "sizes": pa.array([sizes]), "counts": pa.array([sums.tobytes()])})
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over totals: tokens, distinct words and the most frequent words of each bucket."""
-    for part in batches:
-        for k in range(part.num_rows):
-            words, counts = _joined(pa.Table.from_batches([part.slice(k, 1)]))
-            top = np.argsort(-counts, kind="stable")[: SHORT_LIST + 1]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            columns = ([int(counts.sum())], [len(words)], [words.take(pa.array(top)).to_pylist()], [counts[top].tolist()])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["tokens", "words", "top", "times"])
+def _frequent(most: int, least: int):
+    """For mapInArrow over totals: the words of each bucket that are counted `least` times, or `most` of these.
+
+    Each bucket's first row carries its numbers of tokens and of distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for k in range(part.num_rows):
+                words, counts = _joined(pa.Table.from_batches([part.slice(k, 1)]))
+                top = np.argsort(-counts, kind="stable")[:most]
+                top = top[(counts[top] >= least) | (np.arange(len(top)) == 0)]
+                once = np.arange(len(top)) == 0
+                columns = [words.take(pa.array(top)), pa.array(counts[top]), pa.array(np.where(once, counts.sum(), 0)), pa.array(np.where(once, len(words), 0))]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "times", "tokens", "words"])
+
+    return run
+
+
+_HEADS = "word binary, times long, tokens long, words long"
+
+
+def _short_list(totals: DataFrame, buckets: int) -> tuple[list, int, int]:
+    """The most frequent words with counts, and the numbers of all tokens and distinct words.
+
+    The count of the last of SHORT_LIST words among some of each bucket bounds from below what the list needs."""
+    some = durable.stored(totals.mapInArrow(_frequent(-(-4 * SHORT_LIST // buckets) + 8, 0), _HEADS), "heads")
+    sums = some.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
+    first = some.filter(F.length("word") > 0).orderBy(F.desc("times"), "word").limit(SHORT_LIST).collect()
+    least = first[-1]["times"] if len(first) == SHORT_LIST else 0
+    every = totals.mapInArrow(_frequent(1 << 30, least), _HEADS).filter((F.length("word") > 0) & (F.col("times") >= least))
+    return every.orderBy(F.desc("times"), "word").limit(SHORT_LIST).collect(), sums["n"], sums["v"]
 
 
 def _tails(short):
@@ -297,11 +317,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Trained:
     buckets = durable.partitions(spark) * 2
     totals = texts.mapInArrow(_count(buckets), _COUNTS).groupBy("bucket").applyInArrow(_total, _COUNTS)
     totals = durable.stored(totals, "words")
-    heads = durable.stored(totals.mapInArrow(_frequent, "tokens long, words long, top array<binary>, times array<long>"), "heads")
-    sums = heads.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
-    pairs = heads.select(F.explode(F.arrays_zip("top", "times")).alias("x")).select("x.top", "x.times").filter(F.length("top") > 0)
-    top = pairs.orderBy(F.desc("times"), "top").limit(SHORT_LIST).collect()
-    short = {bytes(r["top"]): 2 + k for k, r in enumerate(top)}
+    top, n_tokens, n_words = _short_list(totals, buckets)
+    short = {bytes(r["word"]): 2 + k for k, r in enumerate(top)}
     shared = spark.sparkContext.broadcast(short)
     tails = totals.mapInArrow(_tails(shared), "cls int, tokens long, words long, once long, twice long").groupBy("cls").agg(*(F.sum(c).alias(c) for c in ("tokens", "words", "once", "twice")))
     tail = np.zeros((4, CLASSES), np.int64)
@@ -310,31 +327,21 @@ def fit(docs: DataFrame, text_col: str = "text") -> Trained:
     unigram = np.full(SYMBOLS, 0.5)
     unigram[2 : 2 + len(top)] += [r["times"] for r in top]
     unigram[FIRST_CLASS:] += tail[0]
-    unigram[END] += sums["n"] - sum(r["times"] for r in top) - tail[0].sum()
+    unigram[END] += n_tokens - sum(r["times"] for r in top) - tail[0].sum()
     noise = spark.sparkContext.broadcast(unigram)
     parts = texts.mapInArrow(_train(shared, noise), "part int, seen long, sums binary").groupBy("part").applyInArrow(_added, "part int, seen long, sums binary")
     rows = sorted(parts.collect(), key=lambda r: r["part"])
     flat = np.concatenate([np.frombuffer(bytes(r["sums"]), np.float64) / r["seen"] for r in rows]) if rows else Trainer(unigram).packed()
     discount = np.clip(tail[2] / np.maximum(tail[2] + 2 * tail[3], 1), 0.1, 0.9)
     model = Model(short, *normalised(unpacked(flat)), discount, tail[0], tail[1])
-    return Trained(model, totals, sums["n"], sums["v"], buckets)
-
-
-def _block_words(table: pa.Table) -> tuple[scan.Tokens, np.ndarray, list[bytes]]:
-    """Tokens of a block with its distinct words in sorted order: their codes, and the words."""
-    tokens = scan.words(table["text"].combine_chunks())
-    words = tokens.values.to_pylist()
-    order = sorted(range(len(words)), key=words.__getitem__)
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    return tokens, rank[tokens.codes] if len(words) else np.zeros(0, np.int64), [words[k] for k in order]
+    return Trained(model, totals, n_tokens, n_words, buckets)
 
 
 def _ask(buckets: int):
     """For applyInArrow over a block: its words (and the end), by bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        words = [*_block_words(table)[2], b""]
+        words = [*scan.words(table["text"].combine_chunks()).values.to_pylist(), b""]
         rows = [(b, table["block"][0].as_py(), *_packed_words([words[k] for k in at])) for b, at in _by_bucket(words, buckets).items()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "words", "sizes"])
 
@@ -363,7 +370,8 @@ def _score(shared, n: int, v: int, buckets: int):
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         model: Model = shared.value
-        tokens, codes, words = _block_words(table)
+        tokens = scan.words(table["text"].combine_chunks())
+        codes, words = tokens.codes.astype(np.int64), tokens.values.to_pylist()
         got = dict(zip(answers["bucket"].to_pylist(), answers["counts"].to_pylist(), strict=True))
         count = np.zeros(len(words) + 1, np.int64)
         for b, at in _by_bucket([*words, b""], buckets).items():
