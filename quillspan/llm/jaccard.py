@@ -1,9 +1,11 @@
 """Jaccard join of word shingle sets by T-occurrence search.
 
 1. Equal sets are one class; only one row of each class goes on.
-2. Shingles that several documents of a slice share are counted over the whole table; the most frequent ones are
-   the last in one global order, all others stand by their hash. Two sets that reach the threshold share one of the
-   first n - ceil(t n) + 1 shingles of that order, whatever the order is.
+2. One global order puts shingles that no other set holds first, then by their count where several documents of a
+   slice share them, then by what the counts of their words let expect. Which shingles recur is found by exchanging
+   sorted fingerprints of all sets and kept as a bit map of fixed size. All of this covers the whole table and only
+   fixes the order (a crowded bit map costs time, never a link), so its tables are bounded. Two sets that reach the threshold share one of the first
+   n - ceil(t n) + 1 shingles of that order, whatever the order is.
 3. Classes that share such a shingle are linked as a star; its components hold every pair that can match. A slice
    sends each shingle once, so a shingle of a third of all rows stays small.
 4. Inside a component the sets are compared by T-occurrence search (DivideSkip): short inverted lists are merged by
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,9 @@ from . import durable, graph, scan
 
 FREQUENT_SHINGLES = 500_000
 FREQUENT_FROM = 8
+FREQUENT_WORDS = 200_000
+WORDS_FROM = 4
+MAP_BITS = 28
 BUCKET_ENTRIES = 500_000
 CHUNK = 256
 LARGEST_CHUNK = 8192
@@ -47,8 +53,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def _hashed(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts, where each text's begin, and the hash of the k words from each word on."""
     tokens = scan.words(texts)
     each = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens.values.to_pylist()), np.uint64, len(tokens.values))
     h = each[tokens.codes] if len(tokens.codes) else np.zeros(0, np.uint64)
@@ -56,18 +62,23 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     folded = np.zeros(n, np.uint64)
     for j in range(k):
         folded = folded * _P + h[j : j + n]
-    folded = _mixed(folded)
+    return h, tokens.offsets, _mixed(folded)
+
+
+def _whole(h: np.ndarray) -> np.ndarray:
+    """The one shingle of a text with fewer than k words."""
+    one = np.array([len(h)], np.uint64)
+    for j in range(len(h)):
+        one = one * _P + h[j : j + 1]
+    return _mixed(one)
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    h, offsets, folded = _hashed(texts, k)
     out = []
-    for a, b in zip(tokens.offsets[:-1].tolist(), tokens.offsets[1:].tolist(), strict=True):
-        if b - a >= k:
-            out.append(np.unique(folded[a : b - k + 1]))
-        elif b > a:
-            one = np.array([b - a], np.uint64)
-            for j in range(a, b):
-                one = one * _P + h[j : j + 1]
-            out.append(_mixed(one))
-        else:
-            out.append(np.zeros(0, np.uint64))
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        out.append(np.unique(folded[a : b - k + 1]) if b - a >= k else _whole(h[a:b]) if b > a else np.zeros(0, np.uint64))
     return out
 
 
@@ -81,33 +92,129 @@ def needed(n: int, percent: int) -> int:
 
 
 def _shared(k: int):
-    """For mapInArrow: shingles that several distinct sets of a slice hold, and how many."""
+    """For mapInArrow: shingles that several distinct sets of a slice hold and words that recur there, with counts."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = {signature(s): s for s in shingle_sets(part.column(0), k)}
-        values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-        keep = counts > 1
-        return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["shingle", "n"])
+        h, _, _ = _hashed(part.column(0), k)
+        found = []
+        for values, least in ((np.concatenate(list(sets.values())), 2), (h, WORDS_FROM)):
+            values, counts = np.unique(values, return_counts=True)
+            found.append((values[counts >= least].view(np.int64), counts[counts >= least].astype(np.int64)))
+        word = np.repeat([False, True], [len(v) for v, _ in found])
+        return pa.RecordBatch.from_arrays([pa.array(word), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True)), pa.array(np.where(np.arange(len(word)) == 0, len(h), 0))], ["word", "hash", "n", "tokens"])
 
     return scan.by_slice(make)
 
 
-def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (sorted) and their counts; they only fix an order, so their number is bounded."""
-    counts = docs.select("text").mapInArrow(_shared(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "shingle").limit(FREQUENT_SHINGLES).toPandas()
-    values, n = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(values)
-    return values[order], n[order]
+def fingerprints(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(32)).astype(np.uint32)
+
+
+def _steps(sorted_values: np.ndarray) -> bytes:
+    """Sorted numbers as 16-bit steps; the largest step stands for itself and says that the number is not reached yet."""
+    steps = np.diff(sorted_values, prepend=0)
+    more = steps // 0xFFFF
+    out = np.full(len(steps) + int(more.sum()), 0xFFFF, "<u2")
+    out[np.arange(len(steps)) + np.cumsum(more)] = steps % 0xFFFF
+    return out.tobytes()
+
+
+def _from_steps(blob: bytes) -> np.ndarray:
+    steps = np.frombuffer(blob, "<u2").astype(np.int64)
+    return np.cumsum(steps)[steps != 0xFFFF]
+
 
+def _sent_fingerprints(k: int, bits: int):
+    """For mapInArrow: the fingerprints of a slice's distinct sets, by their first bits; ones that recur stand twice."""
 
-def first_in_order(s: np.ndarray, values: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """The first `size` shingles of a set in the global order: rare ones by hash, then frequent ones by count."""
-    if not len(values) or size >= len(s):
-        return s[:size]
-    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-    weight = np.where(values[at] == s, counts[at], 0)
-    return s[np.lexsort((s, weight))[:size]] if weight.any() else s[:size]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in scan.slices(batches, "text", 8 << 20):
+            sets = {signature(s): s for s in shingle_sets(part.column(0), k)}
+            values, counts = np.unique(fingerprints(np.concatenate(list(sets.values()))), return_counts=True)
+            values = np.repeat(values, np.minimum(counts, 2)).astype(np.int64)
+            cuts = np.searchsorted(values, np.arange((1 << bits) + 1) << (32 - bits))
+            filled = [b for b in range(1 << bits) if cuts[b] < cuts[b + 1]]
+            blobs = [_steps(values[cuts[b] : cuts[b + 1]] - (b << (32 - bits))) for b in filled]
+            yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "steps"])
+
+    return run
+
+
+def _recurring(bits: int):
+    """For applyInArrow over a bucket: its part of the bit map of fingerprints that stand more than once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        values = np.sort(np.concatenate([_from_steps(x) for x in table["steps"].to_pylist()]))
+        cells = np.zeros(1 << (MAP_BITS - bits), bool)
+        cells[values[1:][values[1:] == values[:-1]] >> (32 - MAP_BITS)] = True
+        return pa.table({"bucket": table["bucket"][:1], "cells": pa.array([np.packbits(cells).tobytes()])})
+
+    return run
+
+
+def recurring_map(docs: DataFrame, k: int) -> np.ndarray:
+    """A bit for each cell of fingerprints that holds one of several sets; 2**MAP_BITS bits, whatever the table."""
+    bits = min(12, max(4, int(durable.partitions(docs.sparkSession) * 2 - 1).bit_length()))
+    sent = docs.select("text").mapInArrow(_sent_fingerprints(k, bits), "bucket int, steps binary")
+    out = np.zeros((1 << bits, 1 << (MAP_BITS - bits - 3)), np.uint8)
+    for r in sent.groupBy("bucket").applyInArrow(_recurring(bits), "bucket int, cells binary").collect():
+        out[r["bucket"]] = np.frombuffer(bytes(r["cells"]), np.uint8)
+    return out.ravel()
+
+
+@dataclass(frozen=True)
+class Order:
+    """Cells of recurring shingles, counts of frequent shingles and words (sorted by hash), and of all words."""
+
+    cells: np.ndarray
+    shingles: np.ndarray
+    shingle_counts: np.ndarray
+    words: np.ndarray
+    word_counts: np.ndarray
+    tokens: int
+
+    def recurs(self, s: np.ndarray) -> np.ndarray:
+        cell = s >> np.uint64(64 - MAP_BITS)
+        return (self.cells[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1
+
+    @staticmethod
+    def _looked_up(keys: np.ndarray, table: np.ndarray, counts: np.ndarray, other: float) -> np.ndarray:
+        if not len(table):
+            return np.full(len(keys), other)
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[at] == keys, counts[at], other)
+
+    def prefixes(self, texts: pa.Array, k: int, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The set of each text, and those of its shingles that stand first in the order."""
+        h, offsets, folded = _hashed(texts, k)
+        share = np.log2(self._looked_up(h, self.words, self.word_counts, 1.0)) - np.log2(max(2, self.tokens))
+        total = np.concatenate(([0.0], np.cumsum(share)))
+        expected = np.round(total[k:] - total[:-k] if len(h) >= k else np.zeros(0), 3)
+        sets, heads = [], []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            if b - a < k:
+                sets.append(_whole(h[a:b]) if b > a else np.zeros(0, np.uint64))
+                heads.append(sets[-1])
+                continue
+            s, at = np.unique(folded[a : b - k + 1], return_index=True)
+            sets.append(s)
+            size = len(s) - needed(len(s), percent) + 1
+            own = self._looked_up(s, self.shingles, self.shingle_counts, 0.0)
+            heads.append(s[np.lexsort((s, expected[a + at], own, self.recurs(s)))[:size]])
+        return sets, heads
+
+
+def order_of(docs: DataFrame, k: int) -> Order:
+    """The global order of the shingles of a table with a column text."""
+    counts = durable.stored(docs.select("text").mapInArrow(_shared(k), "word boolean, hash long, n long, tokens long").groupBy("word", "hash").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), "counts")
+    tables = []
+    for word, least, most in ((False, FREQUENT_FROM, FREQUENT_SHINGLES), (True, FREQUENT_FROM, FREQUENT_WORDS)):
+        top = counts.filter((F.col("word") == word) & (F.col("n") >= least)).orderBy(F.desc("n"), "hash").limit(most).select("hash", "n").toPandas()
+        values, n = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+        at = np.argsort(values)
+        tables += [values[at], n[at]]
+    return Order(recurring_map(docs, k), *tables, counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"])
 
 
 _SETS = "row long, doc_id long, n_shingles long, signature binary, prefix binary"
@@ -116,13 +223,11 @@ _SETS = "row long, doc_id long, n_shingles long, signature binary, prefix binary
 def _prefixes(k: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        values, counts = order.value
         for part in scan.slices(batches, "text"):
-            sets = shingle_sets(part.column(1), k)
-            heads = [first_in_order(s, values, counts, len(s) - needed(len(s), percent) + 1).tobytes() if len(s) else b"" for s in sets]
+            sets, heads = order.value.prefixes(part.column(1), k, percent)
             rows = pa.array(np.arange(row, row + len(sets)))
             row += len(sets)
-            columns = [rows, part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(signature, sets), pa.binary()), pa.array(heads, pa.binary())]
+            columns = [rows, part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(signature, sets), pa.binary()), pa.array([x.tobytes() for x in heads], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_shingles", "signature", "prefix"])
 
     return run
@@ -299,7 +404,7 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     """doc_id, n_shingles, component_id (smallest id reachable by links) of every row."""
     spark = docs.sparkSession
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    order = spark.sparkContext.broadcast(frequent(kept, k))
+    order = spark.sparkContext.broadcast(order_of(kept, k))
     sets = durable.stored(kept.mapInArrow(_prefixes(k, percent, order), _SETS), "sets")
     filled = sets.filter("n_shingles > 0")
     classes = filled.groupBy("signature").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
