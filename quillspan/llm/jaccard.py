@@ -416,7 +416,8 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     sized = durable.stored(found.groupBy("component").agg(F.count("*").alias("size")).select("component", chunks.alias("chunks")), "sized")
     asked = found.join(sized, "component").join(reps.select("node", "doc_id", "signature"), "node")
     asked = durable.stored(asked.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "asked")
-    texts = kept.join(asked, kept["doc_id"].eqNullSafe(asked["doc_id"])).select("text", "signature", "node", "component", "chunk", "chunks")
+    # The table of candidates has no bound, so it is never broadcast, whatever Spark estimates.
+    texts = kept.join(asked.hint("merge"), kept["doc_id"].eqNullSafe(asked["doc_id"])).select("text", "signature", "node", "component", "chunk", "chunks")
     whole = texts.mapInArrow(_full_sets(k), "node long, component long, chunk int, chunks int, shingles binary").dropDuplicates(["node"])
     tasks = durable.partitions(spark) * 8
     dealt = whole.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -436,4 +437,4 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     """The rows of docs whose id is the smallest of its component, with all their columns."""
     keep = similar_groups(docs, k, percent, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = durable.stored(keep.select(F.col("doc_id").alias("_keep")).distinct(), "keep")
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    return docs.join(keep.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")

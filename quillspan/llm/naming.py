@@ -128,5 +128,5 @@ def without_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str
     rows = docs.withColumn("_digest", F.sha2(normal, 256))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("_text"))
     once = Window.partitionBy("_digest", id_col).orderBy(id_col)
-    rows = rows.join(durable.stored(kept, "kept"), same, "left_semi").withColumn("_again", F.row_number().over(once))
+    rows = rows.join(durable.stored(kept, "kept").hint("merge"), same, "left_semi").withColumn("_again", F.row_number().over(once))
     return rows.filter("_again = 1").drop("_again", "_digest")
