@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; where it is unset (tests on one machine) a temporary folder is set."""
+    """What spark.checkpoint.dir names; where it is unset (tests on one machine) a temporary folder is used."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quillspan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quillspan-"))
     return folder.rstrip("/")
 
 
@@ -27,6 +32,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the JVM collect its garbage, since Spark deletes shuffle files only of plans that are gone. The pause lets
+    the last query's end be told to listeners, which hold its plan until then."""
+    gc.collect()
+    time.sleep(0.5)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: later steps depend on those files alone, so a lost
     executor costs no earlier step. The files go when the driver's Python ends."""

@@ -382,9 +382,11 @@ def _marked(rows: DataFrame) -> DataFrame:
     buckets = durable.partitions(rows.sparkSession) * 4
     sent = rows.select("key", "text").mapInArrow(_send_contexts(buckets), _SENT)
     found = durable.stored(sent.groupBy("bucket").applyInArrow(_meet_contexts, _FOUND), "contexts")
+    durable.release(rows.sparkSession)
     asked = found.filter("bucket IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("start", "stop", "bucket")).alias("asked"))
     windows = rows.select("key", "text").join(asked, "key").select("text", "key", "asked").mapInArrow(_send_windows, _SENT)
     more = durable.stored(windows.groupBy("bucket").applyInArrow(_meet_windows, _FOUND), "windows")
+    durable.release(rows.sparkSession)
     marks = found.filter("bucket IS NULL").unionByName(more).groupBy("key")
     return marks.agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
 
