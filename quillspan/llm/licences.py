@@ -1,24 +1,33 @@
 """Licence statements in texts, by the Dice coefficient of word bigrams with templates.
 
-Lines are normalised (A-Z lower-cased, everything but letters a-z and digits to one blank). The distinct word
-bigrams of a line are compared with those of the templates. A coefficient of t or more needs sizes whose ratio is at
-most (2 - t) / t, so each template is listed under every size that it can match and lines meet it by an equal join
-on their size: the template table is a fixed list of this module (a few kilobytes), which bounds the broadcast.
-Everything is DataFrame functions.
+Texts are normalised (A-Z lower-cased, everything but letters a-z and digits to one blank) and the distinct word
+bigrams of their parts are compared with those of the templates. Parts are the lines, the whole text, and windows of
+words across line ends of at most (2 - t) / t times a template's words, which is where a coefficient of t ends.
 
-Defined cases: null and empty texts and lines with fewer than two words match nothing; ties between templates go to
+A part that reaches t holds at least n t / (2 - t) of a template's n bigrams. So texts that hold none of some words,
+which stand in more of each template's bigrams than it can miss, go first; then a text meets the templates of
+which it holds enough bigrams. The template table is a fixed list of this module (some ten kilobytes), which bounds the
+broadcast. Everything is DataFrame functions.
+
+Defined cases: null and empty texts and parts with fewer than two words match nothing; ties between templates go to
 the smaller name; repeated rows are reported each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_DICE = 0.8
 
+# Passages that several licences share.
+_BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details. You should have received a copy of the GNU {0}General Public License along with this program. If not, see https://www.gnu.org/licenses/."
+_MIT_RIGHTS = "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+
 # Common public licence statements, by SPDX-like name.
 TEMPLATES = {
     "Apache-2.0/header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -38,6 +47,17 @@ TEMPLATES = {
     "MIT/notice": "Released under the MIT License.",
     "MPL-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary/notice": "All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited.",
+    "Apache-2.0/full-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "BSD-2-Clause/full": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. " + _BSD_DISCLAIMER,
+    "BSD-3-Clause/full": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_DISCLAIMER,
+    "GPL-2.0/full-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. " + _GNU_WARRANTY.format(""),
+    "GPL-3.0/full-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. " + _GNU_WARRANTY.format(""),
+    "ISC/full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "LGPL-3.0/full-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. " + _GNU_WARRANTY.format("Lesser "),
+    "MIT/full-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, " + _MIT_RIGHTS,
+    "MIT/full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, " + _MIT_RIGHTS + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "MPL-2.0/full-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Proprietary/reserved": "All rights reserved.",
 }
 
 
@@ -47,28 +67,121 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words[:-1], words[1:], strict=True)})
 
 
-def size_bounds(n: int, least: float) -> list[int]:
-    """Sizes m with 2 min(n, m) / (n + m) >= least."""
-    most = int(n * (2 - least) / least) + 1
-    return [m for m in range(1, most + 1) if 2 * min(n, m) >= least * (n + m)]
+def least_shared(n: int, least: float) -> int:
+    """Bigrams of a template of n that a part with a coefficient of `least` holds: 2 s >= least (n + m), m >= s."""
+    return max(1, math.ceil(n * least / (2 - least) - 1e-9))
+
+
+def anchors(templates: dict[str, str], least: float) -> list[str]:
+    """Words that stand in so many bigrams of each template that a match holds one of them, rare words first."""
+    listed = {name: bigrams(text) for name, text in templates.items()}
+    left = {name: set(pairs) for name, pairs in listed.items()}
+    missing = {name: len(pairs) - least_shared(len(pairs), least) + 1 for name, pairs in listed.items()}
+    chosen: list[str] = []
+    while any(n > 0 for n in missing.values()):
+        gain: dict[str, int] = {}
+        for name in (x for x, n in missing.items() if n > 0):
+            for pair in left[name]:
+                for word in set(pair.split()):
+                    gain[word] = gain.get(word, 0) + 1
+        best = max(gain, key=lambda w: (len(w) > 4 and w not in _COMMON, gain[w], w))
+        chosen.append(best)
+        for name, pairs in left.items():
+            gone = {p for p in pairs if best in p.split()}
+            left[name] = pairs - gone
+            missing[name] -= len(gone)
+    return chosen
+
+
+_COMMON = set("a all an and any are as at be by can even for from if in is it may not of on or other out see that the this to use whom with without you".split())
+_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.translate(text, *_LOWER), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+def _pairs(words: Column) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _dice(shared: Column, n: Column, m: Column) -> Column:
+    return 2 * shared / (n + m)
+
+
+def _windows(rows: DataFrame, least: float) -> DataFrame:
+    """rows (words, lines, pairs, licence, wanted, most, shared) with `found`: windows that reach `least`, the best one of
+    each first bigram, and the whole text. A window that begins or ends at another bigram than a template's is never better."""
+    at = F.filter(F.transform("pairs", lambda x, k: F.struct(k.alias("at"), x.alias("pair"))), lambda x: F.array_contains("wanted", x["pair"]))
+    rows = rows.withColumn("hits", at)
+    ahead = F.transform("hits", lambda h, k: F.struct(h["at"].alias("a"), F.filter(F.slice("hits", k + 1, F.col("most")), lambda x: x["at"] < h["at"] + F.col("most")).alias("in")))
+    rows = rows.withColumn("starts", F.filter(ahead, lambda s: F.size(F.array_distinct(F.transform(s["in"], lambda x: x["pair"]))) >= F.col("shared")))
+
+    def part(a: Column, e: Column) -> Column:
+        inside = F.slice("pairs", a + 1, e - a + 1)
+        shared = F.size(F.array_intersect(inside, F.col("wanted")))
+        return F.struct((-_dice(shared, F.size(F.array_distinct(inside)), F.size("wanted"))).alias("worse"), (-shared).alias("fewer"), a.alias("a"), e.alias("e"))
+
+    def best(s: Column) -> Column:
+        ends = F.slice(s["in"], F.col("shared"), F.greatest(F.size(s["in"]) - F.col("shared") + 1, F.lit(0)))
+        return F.array_min(F.transform(ends, lambda x: part(s["a"], x["at"])))
+
+    whole = F.array(part(F.lit(0), F.size("pairs") - 1))
+    return rows.withColumn("found", F.array_sort(F.filter(F.concat(F.transform("starts", best), whole), lambda x: x["worse"] <= -least)))
+
+
+def _of_lines(least: float) -> Column:
+    """Lines that reach `least` as wholes, with the first and the last bigram that the template has there."""
+
+    def line(words: Column, k: Column) -> Column:
+        pairs = _pairs(words)
+        worse = -_dice(F.size(F.array_intersect(pairs, F.col("wanted"))), F.size(F.array_distinct(pairs)), F.size("wanted"))
+        base = F.array_position("lines", k)
+        inside = F.transform(F.filter("hits", lambda h: (h["at"] >= base - 1) & (h["at"] < base + F.size(words) - 2)), lambda h: h["at"])
+        return F.struct(k.alias("line"), worse.alias("worse"), F.col("licence"), F.array_min(inside).alias("a"), F.array_max(inside).alias("e"))
+
+    return F.filter(F.transform("rows", line), lambda x: x["worse"] <= -least)
+
+
+def _apart(items: Column) -> Column:
+    """Fold: of items in order of preference, those that share no bigram's place with an earlier one."""
+    clash = lambda done, x: F.exists(done, lambda y: (x["a"] <= y["e"]) & (y["a"] <= x["e"]))
+    return F.aggregate(items, F.slice(items, 1, 0), lambda done, x: F.when(clash(done, x), done).otherwise(F.concat(done, F.array(x))))
 
 
 def scan(docs: DataFrame, least: float = LEAST_DICE, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 1), licence, dice: of every line that reaches `least`, its best template."""
-    rows = [(m, name, bigrams(text)) for name, text in (templates or TEMPLATES).items() for m in size_bounds(len(bigrams(text)), least)]
-    listed = docs.sparkSession.createDataFrame(rows, "size int, licence string, wanted array<string>")
-    low, high = min(r[0] for r in rows), max(r[0] for r in rows)
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
-    normal = F.trim(F.regexp_replace(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
-    words = lines.select("doc_id", "at", F.split(normal, " ").alias("words"))
-    words = words.filter((F.size("words") > low) & (F.size("words") >= 2))
-    pairs = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    sized = words.select("doc_id", "at", pairs.alias("pairs")).withColumn("size", F.size("pairs")).filter(F.col("size").between(low, high))
-    met = sized.join(F.broadcast(listed), "size")
-    dice = 2 * F.size(F.array_intersect("pairs", "wanted")) / (F.col("size") + F.size("wanted"))
-    close = met.select("doc_id", "at", "licence", dice.alias("dice")).filter(F.col("dice") >= least)
-    best = close.groupBy("doc_id", "at").agg(F.min(F.struct((-F.col("dice")).alias("worse"), "licence")).alias("best"))
-    return best.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), F.col("best.licence").alias("licence"), F.round(-F.col("best.worse"), 6).alias("dice"))
+    """doc_id, line_no (from 1), licence, dice: of every line that reaches `least` its best template, and other passages.
+
+    A passage (a window or the whole text) is reported at the line where it begins; of passages that overlap the one
+    with the most of its template's bigrams stays. A passage that overlaps what a reported line's template matches there
+    is not reported again when it has the same template or lies inside that line."""
+    templates = templates or TEMPLATES
+    held = F.lit(False)
+    for word in anchors(templates, least):
+        held = held | F.contains(F.col("low"), F.lit(word))
+    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lower(F.col(text_col)).alias("low")).filter(held)
+    split = some.select("doc_id", F.transform(F.split("text", "\n"), _words).alias("rows"))
+    rows = [(name, bigrams(text), len(re.findall("[a-z0-9]+", text.lower()))) for name, text in templates.items()]
+    sizes = [(name, pairs, int((n - 1) * (2 - least) / least + 1e-9), least_shared(len(pairs), least)) for name, pairs, n in rows if pairs]
+    known = docs.sparkSession.createDataFrame([(sizes,)], "known array<struct<licence: string, wanted: array<string>, most: int, shared: int>>")
+    texts = split.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "rows", _pairs(F.flatten("rows")).alias("pairs"),
+        F.flatten(F.transform("rows", lambda w, k: F.array_repeat(k, F.size(w)))).alias("lines"),
+    )
+    enough = F.filter("known", lambda t: F.size(F.array_intersect("pairs", t["wanted"])) >= t["shared"])
+    met = texts.crossJoin(F.broadcast(known)).select("row", "doc_id", "rows", "pairs", "lines", F.explode(enough).alias("t")).select("row", "doc_id", "rows", "pairs", "lines", "t.*")
+    found = _windows(met, least)
+    spans = F.transform(_apart(F.col("found")), lambda x: F.struct(x["fewer"], x["worse"], F.col("licence"), x["a"], x["e"], F.element_at("lines", x["a"] + 1).alias("line"), F.element_at("lines", x["e"] + 2).alias("last")))
+    parts = found.select("row", "doc_id", spans.alias("spans"), _of_lines(least).alias("whole")).filter((F.size("spans") > 0) | (F.size("whole") > 0))
+    one = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.collect_list("whole")).alias("whole"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    beaten = lambda x: F.exists("whole", lambda y: (y["line"] == x["line"]) & (F.struct(y["worse"], y["licence"]) < F.struct(x["worse"], x["licence"])))
+    one = one.select("doc_id", F.filter("whole", lambda x: ~beaten(x)).alias("whole"), _apart(F.col("spans")).alias("spans"))
+    told = lambda x, y: (x["a"] <= y["e"]) & (y["a"] <= x["e"]) & ((x["licence"] == y["licence"]) | ((x["line"] == y["line"]) & (x["last"] == y["line"])))
+    fresh = F.filter("spans", lambda x: ~F.exists("whole", lambda y: told(x, y)))
+    shown = lambda items: F.transform(items, lambda x: F.struct(x["line"].alias("line"), x["licence"].alias("licence"), x["worse"].alias("worse")))
+    out = one.select("doc_id", F.explode(F.concat(shown(F.col("whole")), shown(fresh))).alias("x"))
+    return out.select("doc_id", (F.col("x.line") + 1).cast("long").alias("line_no"), F.col("x.licence").alias("licence"), F.round(-F.col("x.worse"), 6).alias("dice"))
 
 
 def oracle_sql(least: float = LEAST_DICE) -> str:

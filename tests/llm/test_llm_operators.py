@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -284,6 +285,37 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_licence_passages(spark):
+    wrap = lambda text, n: "\n".join(textwrap.wrap(text, n))
+    mit, gpl = licences.TEMPLATES["MIT/full"], licences.TEMPLATES["GPL-3.0/header"]
+    texts = ["some words\n" + wrap(gpl, 60) + "\nmore words", mit, wrap(mit, 50), "This code is Released under the MIT License. and some more words follow", "A.\nAll rights reserved.", "Released under the MIT License. " * 100]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["line_no"], r["licence"]) for r in licences.scan(df).collect())
+    assert got == [(0, 2, "GPL-3.0/header"), (1, 1, "MIT/full"), (2, 1, "MIT/full"), (3, 1, "MIT/notice"), (4, 2, "Proprietary/reserved"), (5, 1, "MIT/notice")]
+
+
+def test_licence_windows_equal_brute_force(spark):
+    rng = random.Random(8)
+    templates = {"t/long": "alpha bravo carol delta alpha bravo extra", "t/short": "gamma delta omega"}
+
+    def best(words, name):
+        wanted = set(licences.bigrams(templates[name]))
+        most = int((len(templates[name].split()) - 1) * 1.5)
+        windows = [words[a : a + n + 1] for a in range(len(words) - 1) for n in range(1, min(most, len(words) - a - 1) + 1)]
+        parts = [set(zip(w[:-1], w[1:], strict=True)) for w in [*windows, words] if len(w) > 1]
+        return max((2 * len({f"{a} {b}" for a, b in p} & wanted) / (len(p) + len(wanted)) for p in parts), default=0)
+
+    rows = []
+    for k in range(300):
+        words = [w for _ in range(2) for t in templates.values() for w in t.split() if rng.random() < 0.85] if k % 2 else []
+        words = [w for w in words for w in ([rng.choice(["noise", "delta"])] if rng.random() < 0.1 else [w])]
+        rows.append((k, "".join(w + rng.choice([" ", " ", "\n"]) for w in words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in templates:
+        got = {r["doc_id"]: 0 for r in licences.scan(df, templates={name: templates[name]}).collect()}
+        assert set(got) == {k for k, t in rows if best(t.split(), name) >= 0.8}
+
+
 def test_maximal_segments():
     def brute(scores):
         if not any(s > 0 for s in scores):
