@@ -46,9 +46,30 @@ def _sides(tokens: DataFrame, spans: DataFrame, by: list[str], name: str) -> Dat
     return met.select(*(F.col(f"s.{c}").alias(c) for c in by), F.col("t.ord").alias("ord")).distinct().withColumn(name, F.lit(1))
 
 
-def scored(features: DataFrame, tokens: DataFrame, gold: DataFrame, configs: DataFrame) -> DataFrame:
-    """config_id, label, tp, fp, fn, precision, recall, f1 of every configuration."""
+def chosen_by_modes(features: DataFrame, recommended: DataFrame | None = None) -> DataFrame:
+    """config_id, doc_id, label, pos, candidate_id that the fixed modes select.
+
+    recommended: doc_id, label, pos, candidate_id of the meta agent's choice; where there is none, nothing is selected."""
+    out = None
+    for k, name in enumerate(L.FIXED_MODES):
+        if name == "recommended":
+            if recommended is None:
+                continue
+            picked = recommended.select("doc_id", "label", "pos", "candidate_id").join(features.select("doc_id", "label", "candidate_id"), ["doc_id", "label", "candidate_id"], "left_semi")
+        else:
+            picked = select.mode(features, name)
+        picked = picked.select(F.lit(k).alias("config_id"), "doc_id", "label", "pos", "candidate_id")
+        out = picked if out is None else out.unionByName(picked)
+    return out
+
+
+def scored(features: DataFrame, tokens: DataFrame, gold: DataFrame, configs: DataFrame, modes: DataFrame | None = None, recommended: DataFrame | None = None) -> DataFrame:
+    """config_id, label, tp, fp, fn, precision, recall, f1 of every configuration; modes: fixed_modes() to score with them."""
     chosen = select.calibrated(features, configs)
+    if modes is not None:
+        wanted_modes = F.broadcast(modes.select("config_id", "label"))  # a literal table: some modes a label
+        chosen = chosen.unionByName(chosen_by_modes(features, recommended).join(wanted_modes, ["config_id", "label"], "left_semi"))
+        configs = configs.select("config_id", "label").unionByName(modes.select("config_id", "label"))
     groups = chosen.groupBy("config_id", "doc_id", "label").agg(F.array_sort(F.collect_list("candidate_id")).alias("ids"))
     picks = groups.select("doc_id", "label", "ids").distinct()
     spans = picks.select("doc_id", "label", "ids", F.explode("ids").alias("candidate_id")).join(features.select("doc_id", "label", "candidate_id", "start", "end"), ["doc_id", "label", "candidate_id"])
@@ -69,8 +90,8 @@ def best(scores: DataFrame, prefer: str = "f1") -> DataFrame:
     return scores.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def tuned(features: DataFrame, tokens: DataFrame, gold: DataFrame, configs: DataFrame, prefer: str = "f1") -> DataFrame:
-    return best(scored(features, tokens, gold, configs), prefer)
+def tuned(features: DataFrame, tokens: DataFrame, gold: DataFrame, configs: DataFrame, prefer: str = "f1", modes: DataFrame | None = None, recommended: DataFrame | None = None) -> DataFrame:
+    return best(scored(features, tokens, gold, configs, modes, recommended), prefer)
 
 
 def split(records: DataFrame, key: str, sizes: list[tuple[str, int]], seed: int = 13, rest: str = "test") -> DataFrame:

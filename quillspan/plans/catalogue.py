@@ -499,7 +499,7 @@ def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def grid_best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrate.tuned(_features(spark, sf_dir), _study_tokens(spark, sf_dir), _gold(spark, sf_dir), calibrate.grid(spark, profiles=["equal"]))
+    return calibrate.tuned(_features(spark, sf_dir), _study_tokens(spark, sf_dir), _gold(spark, sf_dir), calibrate.grid(spark), modes=calibrate.fixed_modes(spark))
 
 
 @query()

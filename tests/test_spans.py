@@ -153,6 +153,26 @@ def test_contained_and_redundant(spark):
     assert len(ids("expert_consensus_verified")) == 2
 
 
+def test_fixed_modes_are_tuned(spark):
+    rows = [(1, "Participant", "PAR-C0001", 1, 0, 19, "four school parents", ["PubMedBERT"], {"PubMedBERT": 0.5}), (1, "Participant", "PAR-C0002", 2, 20, 34, "fifth children", [], {})]
+    cands = spark.createDataFrame(rows, "doc_id long, label string, candidate_id string, number int, start int, end int, text string, proposed_by_experts array<string>, confidence_by_expert map<string,double>")
+    cast = spark.createDataFrame([(1, "Participant", f"PAR-C000{k}", r, v) for k, v in ((1, "keep"), (2, "reject")) for r in votes.ROLES], "doc_id long, label string, candidate_id string, role string, decision string")
+    feats = select.features(cands, votes.vote_matrix(cands, cast, ["doc_id", "label", "candidate_id"]))
+    tokens = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 11, 19), (1, 2, 20, 27), (1, 3, 28, 34)], "doc_id long, ord int, start int, end int")
+    recommended = spark.createDataFrame([(1, "Participant", 0, "PAR-C0002"), (1, "Participant", 1, "PAR-C0009")], "doc_id long, label string, pos int, candidate_id string")
+    rules = calibrate.grid(spark, labels=["Participant"], profiles=["equal"])
+
+    def winner(spans, chosen=None):
+        gold = spark.createDataFrame([(1, "Participant", a, b) for a, b in spans], "doc_id long, label string, start int, end int")
+        best = {r["label"]: (r["config_id"], r["f1"]) for r in calibrate.tuned(feats, tokens, gold, rules, modes=calibrate.fixed_modes(spark), recommended=chosen).collect()}
+        assert best["Outcome"] == (0, 0.0)
+        return best["Participant"]
+
+    assert winner([(0, 19), (20, 34)]) == (3, 1.0)  # only registry_filtered takes both
+    assert winner([(0, 19)]) == (1, 1.0)  # a mode and rules tie: the first of the grid
+    assert winner([(20, 34)], recommended) == (0, 1.0)
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"tasks": [{"id": 7, "data": {"method_section": "M", "results_section": "R"}, "annotations": [{"was_cancelled": true, "result": []}, {"was_cancelled": false, "result": [{"type": "labels", "value": {"start": 0, "end": 1, "text": "M", "labels": ["Outcome", "x"]}}]}]}, {"method_section": "only"}]}')
     df = records.load_records(spark, str(tmp_path / "a.json"))
