@@ -35,7 +35,7 @@ from . import durable, scan
 SHORT_LIST = 766
 CLASSES = 256
 SIZE = 24
-NOISE = 24
+NOISE = 32
 BATCH = 1024
 RATE = 0.3
 BLOCK_TOKENS = 800_000

@@ -388,6 +388,11 @@ def test_language_model_is_normalised():
         assert np.exp(left[a] + right[b] + bias - norm[a, b]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_noise_samples():
+    trainer = language.Trainer(np.ones(language.SYMBOLS))
+    assert np.allclose(trainer.log_noise, np.log(32 / language.SYMBOLS), atol=1e-5)
+
+
 def test_slices_are_bounded():
     batch = pa.RecordBatch.from_arrays([pa.array(["x" * k for k in range(200)] + ["y" * 5000, None])], ["text"])
     parts = list(scan.slices(iter([batch]), "text", 1000))
