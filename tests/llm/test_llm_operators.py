@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -327,9 +328,76 @@ def test_maximal_segments():
     rng = random.Random(9)
     for _ in range(200):
         scores = [rng.choice([1.03, 3.17, 2.51, -0.5, -0.5, -0.5]) for _ in range(rng.randint(0, 14))]
-        places = [k for k, s in enumerate(scores) if s > 0]
-        got = toxicity.maximal_segments(places, [scores[k] for k in places], 0.5)
+        other = [rng.choice([1.0, -0.5]) for _ in range(rng.randint(0, 5))]
+        runs, cuts = toxicity.positive_runs(np.array(other + scores), np.array([0, len(other), len(other) + len(scores)]))
+        got = toxicity.maximal_segments(runs[cuts[1] : cuts[2]])
         assert sorted(round(s, 6) for _, _, s in got) == sorted(brute(scores))
+        for a, b, s in got:
+            assert round(sum(scores[a : b + 1]), 6) == round(s, 6)
+
+
+def test_toxic_scores_equal_brute_force():
+    """Evidence of texts by plain loops: the longest known beginning of each word, all segments, lambda S - ln(K n)."""
+    known = {b"bad": 4.137, b"bade": 5.571, b"go": -2.039, b"x": 1.217}
+    nodes = {}
+    for word, odds in known.items():
+        found = [int(k[0]) for _, k in toxicity.beginnings(pa.array([word], pa.binary()))]
+        nodes[found[len(word) - 1]] = odds
+    order = sorted(nodes)
+    model = toxicity.Model(np.array(order, np.uint64), np.array([nodes[k] for k in order]), -0.273, 1.5, -1.0, 1.0, -3.0)
+
+    def odds(word):
+        best = [known[p] for k in range(1, len(word) + 1) if (p := word[:k].lower()) in known]
+        return best[-1] if best else -0.273
+
+    def brute(text):
+        words = re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())
+        scores = []
+        for k, w in enumerate(words):
+            s = odds(w)
+            if s > 0 and any(words[j].lower() == w.lower() for j in range(max(0, k - toxicity.AGAIN), k)):
+                s = 0.0
+            scores.append(s)
+
+        def segments(a, b):
+            best = max(((round(sum(scores[i : j + 1]), 9), -i, j) for i in range(a, b) for j in range(i, b)), default=(0, 0, 0), key=lambda x: (x[0], x[1], -x[2]))
+            if best[0] <= 0:
+                return []
+            return segments(a, -best[1]) + [best[0]] + segments(best[2] + 1, b)
+
+        return min(toxicity.MOST_EVIDENCE, sum(max(0.0, 1.5 * s + 1.0 - math.log(max(1, len(words)))) for s in segments(0, len(words))))
+
+    rng = random.Random(11)
+    words = ["badly", "bade", "BADEN", "good", "xylem", "plain", "and", "x", "\u00e9t\u00e9", "go,go"]
+    texts = [None, "", "x", "bad bad bad", *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(60))]
+    got = toxicity.Scorer(model).evidence(pa.array(texts, pa.string()))
+    assert np.allclose(got, [brute(t) for t in texts])
+    assert np.allclose(model.probability(got), [1 / (1 + math.exp(-(brute(t) - 3.0))) for t in texts])
+
+
+def test_stems_keep_their_odds_under_any_ending(spark):
+    """Compounds of a stem with free endings are found in held-out rows; the stem also stands in a few clean texts."""
+    rng = random.Random(8)
+    parts = ["la", "ci", "os", "mente", "que", "ra", "do", "es"]
+    make = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(2, 4)))
+    rows, labels = [], []
+    for k in range(900):
+        w = [make() for _ in range(rng.randint(20, 120))]
+        toxic = k % 8 == 0
+        if toxic:
+            for _ in range(max(2, len(w) // 25)):
+                w.insert(rng.randrange(len(w)), "mentebo" + make())
+        elif k % 11 == 0:
+            w.append("mentebo" + make())
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(toxic)))
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels + labels[:9], "doc_id long, toxic int"))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 905
+    held = [(r["predicted"], dict(labels)[r["doc_id"]]) for r in got if r["held_out"]]
+    caught = [p for p, y in held if y]
+    assert sum(caught) >= 0.9 * len(caught) and sum(p for p, y in held if not y) <= 0.05 * len(held)
 
 
 def test_toxicity(spark, empty):
