@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLOCK = 32
+MARK = "\ufdd0"
 SPACE = r"[\s  -   　]"
 OPENING_LEFT = "^[,;:)\\]}”’\"']+"
 CLOSING_RIGHT = "[,;:(\\[{“‘\"']+$"
@@ -54,11 +55,19 @@ def cover(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
 
 
+WORD = r"[\p{L}\p{N}_]+(?:[-\x{2019}'][\p{L}\p{N}_]+)*"
+_NOT_SPACE = "[^" + SPACE[1:]
+
+
 def tokens(text: Column) -> Column:
     """Words joined by hyphen or apostrophe, and single signs, with offsets."""
-    word = r"[\p{L}\p{N}_]+(?:[-\x{2019}'][\p{L}\p{N}_]+)*"
-    pieces = cover(text, rf"(?s){word}|{SPACE}+|.")
-    return F.filter(spans_of(pieces), lambda t: ~t["text"].rlike(rf"^{SPACE}+$"))
+    pieces = cover(text, rf"(?s){WORD}|{SPACE}+|.")
+    return F.filter(spans_of(pieces), lambda t: F.left(t["text"], F.lit(1)).rlike(_NOT_SPACE))
+
+
+def token_count(text: Column) -> Column:
+    """How many tokens a text has, without their offsets."""
+    return F.regexp_count(text, F.lit(rf"{WORD}|{_NOT_SPACE}"))
 
 
 def trimmed(span: Column, left: str, right: str) -> Column:
@@ -105,15 +114,22 @@ def clauses(span: Column, signs: str = ".;:", trim: bool = True) -> Column:
     return F.filter(F.transform(moved, trim_span), lambda c: c["end"] > c["start"]) if trim else moved
 
 
+def marked(text: Column, pattern: str, flags: str = "(?is)") -> Column:
+    """Gaps and matches of a text by turns, from one pass of the pattern: matches stand between two marks.
+
+    The mark is no character of any text; where a text holds it all the same, it counts as another sign."""
+    return F.split(F.regexp_replace(F.translate(text, MARK, "\ufffd"), flags + pattern, f"{MARK}$0{MARK}"), MARK, -1)
+
+
 def matches(text: Column, pattern: str, flags: str = "(?is)") -> Column:
     """All non-overlapping matches with offsets: gaps and matches alternate, so their lengths give the places."""
-    def placed(found: Column) -> Column:
-        gaps = F.slice(F.split(text, flags + pattern, -1), F.lit(1), F.size(found))
-        both = F.flatten(F.zip_with(gaps, found, lambda g, m: F.array(g, m)))
+
+    def placed(pieces: Column) -> Column:
         none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-        return F.when(F.size(found) > 0, F.filter(spans_of(both), lambda _, k: k % 2 == 1)).otherwise(none)
+        found = F.filter(spans_of(pieces), lambda _, k: k % 2 == 1)
+        return F.when(F.size(pieces) > 1, F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.substring(text, m["start"] + 1, m["end"] - m["start"]).alias("text")))).otherwise(none)
 
-    return let(F.regexp_extract_all(text, F.lit(flags + pattern), 0), placed)
+    return let(marked(text, pattern, flags), placed)
 
 
 def longest_match(text: Column, patterns: list[str], flags: str = "(?is)") -> Column:
@@ -137,10 +153,15 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.lower(clean(text)), r"^[ .,:;()\[\]{}]+|[ .,:;()\[\]{}]+$", "")
 
 
+def annotated(text: Column) -> Column:
+    """An annotation's text with escaped newlines as newlines."""
+    return F.replace(text, F.lit("\\n"), F.lit("\n"))
+
+
 def comparable(text: Column) -> Column:
     """For comparing annotations: no-break space, blanks and newlines squeezed, outer signs off."""
-    text = F.regexp_replace(F.translate(text, " ", " "), r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" *\n+ *", "\n"), r"^[ \n\t.;]+|[ \n\t.;]+$", "")
+    text = F.regexp_replace(F.translate(text, "\u00a0", " "), r"[ \t\r\f\x0B]+", " ")
+    return F.regexp_replace(F.regexp_replace(text, rf"{SPACE}*\n{SPACE}*", "\n"), r"^[ \n\t.;]+|[ \n\t.;]+$", "")
 
 
 def boundary_normalized(text: Column) -> Column:

@@ -42,54 +42,79 @@ def rolled_up(counts: DataFrame, accuracy: bool = False) -> DataFrame:
     return each.unionByName(micro).unionByName(macro)
 
 
-def _sizes(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    g = gold.groupBy("label").agg(F.count("*").alias("n_gold"))
-    return g.join(predicted.groupBy("label").agg(F.count("*").alias("n_pred")), "label", "full")
+def sides(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """doc_id, label, start, end, side (g or p) of both inputs: what the metrics of one pass read."""
+    keys = ["doc_id", "label", "start", "end"]
+    return gold.select(*keys, F.lit("g").alias("side")).unionByName(predicted.select(*keys, F.lit("p").alias("side")))
 
 
-def _from_matches(gold: DataFrame, predicted: DataFrame, matched: DataFrame) -> DataFrame:
-    sizes = _sizes(gold, predicted).join(matched, "label", "left")
-    tp, g, p = (F.coalesce(c, F.lit(0)) for c in ("matched", "n_gold", "n_pred"))
-    return sizes.select("label", tp.alias("tp"), (p - tp).alias("fp"), (g - tp).alias("fn"))
+def exact_of(both: DataFrame) -> DataFrame:
+    """A gold key that is predicted counts once; repeated predictions are false. One pass over sides()."""
+    g, p = F.col("side") == "g", F.col("side") == "p"
+    keys = both.groupBy("doc_id", "label", "start", "end").agg(F.count_if(g).alias("g"), F.count_if(p).alias("p"))
+    sums = keys.groupBy("label").agg(F.count_if((F.col("g") > 0) & (F.col("p") > 0)).alias("tp"), F.sum("g").alias("g"), F.sum("p").alias("p"))
+    return rolled_up(sums.select("label", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn")))
 
 
 def exact_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """A gold key that is predicted counts once; repeated predictions are false."""
-    keys = ["doc_id", "label", "start", "end"]
-    both = gold.select(*keys).distinct().join(predicted.select(*keys).distinct(), keys)
-    return rolled_up(_from_matches(gold, predicted, both.groupBy("label").agg(F.count("*").alias("matched"))))
+    return exact_of(sides(gold, predicted))
 
 
-def _indexed(spans: DataFrame, by: list[str]) -> DataFrame:
-    """Spans of each group as an array, in order of label, start and end; their places are their indices."""
-    item = F.struct(label_ord(F.col("label")).alias("ord"), "start", "end", "label")
-    return spans.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("spans"))
+def _lists(both: DataFrame, by: list[str], order: bool) -> DataFrame:
+    """Gold and predicted spans of each group as arrays; their places are their indices.
 
+    The order is that of a column ord where the input has one, else that of label, start and end."""
+    place = [F.col("ord").alias("place")] if order else []
+    item = F.struct(*place, label_ord(F.col("label")).alias("o"), "start", "end", "label")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("side") == side, item))).alias(name) for side, name in (("g", "gs"), ("p", "ps"))]
+    return both.groupBy(*by).agg(*lists)
 
-def greedy_matches(gold: DataFrame, predicted: DataFrame, threshold: float, same_label: bool = True) -> DataFrame:
-    """One-to-one matches by overlap over hull, best first; ties go to the later gold, then the later prediction.
 
-    A document's candidate pairs are folded in that order; documents are independent."""
-    by = ["doc_id", "label"] if same_label else ["doc_id"]
-    g, p = _indexed(gold, by).withColumnRenamed("spans", "gs"), _indexed(predicted, by).withColumnRenamed("spans", "ps")
-    met = g.join(p, by)
-    pairs = F.flatten(
-        F.transform("gs", lambda a, i: F.transform("ps", lambda b, j: F.struct(T.iou(a["start"], a["end"], b["start"], b["end"]).alias("score"), i.alias("i"), j.alias("j"))))
-    )
-    order = F.reverse(F.array_sort(F.filter(pairs, lambda x: x["score"] >= threshold)))
+def _matched(lists: DataFrame, threshold: float) -> DataFrame:
+    """lists with a column m: the pairs (score, i, j) that are matched, best first.
+
+    Pairs that don't overlap are dropped before they are built."""
+    near = lambda a: F.filter(F.transform("ps", lambda b, j: F.struct(T.iou(a["start"], a["end"], b["start"], b["end"]).alias("score"), j.alias("j"))), lambda x: (x["score"] >= threshold))
+    pairs = F.flatten(F.transform("gs", lambda a, i: F.transform(near(a), lambda x: F.struct(x["score"].alias("score"), i.alias("i"), x["j"].alias("j")))))
 
     def step(taken: Column, x: Column) -> Column:
         free = ~F.exists(taken, lambda y: (y["i"] == x["i"]) | (y["j"] == x["j"]))
         return F.when(free, F.concat(taken, F.array(x))).otherwise(taken)
 
-    folded = met.withColumn("m", F.explode(F.aggregate(order, F.slice(order, 1, 0), step)))
+    def folded(order: Column) -> Column:
+        return F.aggregate(order, F.slice(order, 1, 0), step)
+
+    return lists.withColumn("m", T.let(F.reverse(F.array_sort(pairs)), folded))
+
+
+def greedy_of(both: DataFrame, threshold: float, same_label: bool = True) -> DataFrame:
+    """One-to-one matches by overlap over hull, best first; ties go to the later gold, then the later prediction.
+
+    A document's candidate pairs are folded in that order; documents are independent. both: sides(), with a column ord
+    where spans stand in an order of their own."""
+    lists = _lists(both, ["doc_id", "label"] if same_label else ["doc_id"], "ord" in both.columns)
+    folded = _matched(lists, threshold).select("doc_id", "gs", "ps", F.explode("m").alias("m"))
     a, b = F.get("gs", F.col("m.i")), F.get("ps", F.col("m.j"))
     return folded.select("doc_id", a["label"].alias("gold_label"), b["label"].alias("label"), a["start"].alias("g_start"), a["end"].alias("g_end"), b["start"].alias("start"), b["end"].alias("end"), F.col("m.score").alias("score"))
 
 
+def greedy_matches(gold: DataFrame, predicted: DataFrame, threshold: float, same_label: bool = True) -> DataFrame:
+    if "ord" in gold.columns and "ord" in predicted.columns:
+        keys = ["doc_id", "label", "start", "end", "ord"]
+        both = gold.select(*keys, F.lit("g").alias("side")).unionByName(predicted.select(*keys, F.lit("p").alias("side")))
+        return greedy_of(both, threshold, same_label)
+    return greedy_of(sides(gold, predicted), threshold, same_label)
+
+
+def relaxed_of(both: DataFrame, threshold: float) -> DataFrame:
+    """Counts by greedy matches. One pass over sides(): sizes and matches come from the same arrays."""
+    lists = _matched(_lists(both, ["doc_id", "label"], "ord" in both.columns), threshold)
+    sums = lists.groupBy("label").agg(F.sum(F.size("m")).alias("tp"), F.sum(F.size("gs")).alias("g"), F.sum(F.size("ps")).alias("p"))
+    return rolled_up(sums.select("label", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn")))
+
+
 def relaxed_metrics(gold: DataFrame, predicted: DataFrame, threshold: float) -> DataFrame:
-    matched = greedy_matches(gold, predicted, threshold).groupBy("label").agg(F.count("*").alias("matched"))
-    return rolled_up(_from_matches(gold, predicted, matched))
+    return relaxed_of(sides(gold, predicted), threshold)
 
 
 def covered(spans: DataFrame) -> DataFrame:
@@ -114,21 +139,29 @@ def character_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return rolled_up(sums.select("label", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn")))
 
 
-def _flagged(tokens: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Tokens with the labels of gold and predicted spans that overlap them, as bit sets by label order."""
-    made = None
-    for name, spans in (("g", gold), ("p", predicted)):
-        rows = spans.select("doc_id", label_ord(F.col("label")).alias("o"), "start", "end", F.lit(name).alias("side"))
-        made = rows if made is None else made.unionByName(rows)
-    lists = made.groupBy("doc_id").agg(F.collect_list(F.struct("side", "o", "start", "end")).alias("spans"))
-    docs = tokens.join(lists, "doc_id", "left")
+def flagged_of(tokens: DataFrame, both: DataFrame) -> DataFrame:
+    """doc_id, ord, g, p: tokens with the labels of gold and predicted spans that overlap them, as bit sets by label
+    order. tokens: doc_id and an array of start and end; a document's spans meet its tokens before they become rows."""
+    item = F.struct("start", "end", F.when(F.col("side") == "g", F.pow(F.lit(2), label_ord(F.col("label")))).otherwise(0).cast("int").alias("g"), F.when(F.col("side") == "p", F.pow(F.lit(2), label_ord(F.col("label")))).otherwise(0).cast("int").alias("p"))
+    lists = both.filter("end > start").groupBy("doc_id").agg(F.collect_list(item).alias("spans"))
+    docs = tokens.join(lists, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,g:int,p:int>>")))
+    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("p"))
+
+    def bits(t: Column) -> Column:
+        def add(a: Column, s: Column) -> Column:
+            return F.when((s["start"] < t["end"]) & (t["start"] < s["end"]), F.struct(a["g"].bitwiseOR(s["g"]).alias("g"), a["p"].bitwiseOR(s["p"]).alias("p"))).otherwise(a)
+
+        return F.aggregate("spans", start, add)
 
-    def bits(side: str) -> Column:
-        hit = F.filter("spans", lambda s: (s["side"] == side) & (F.least(s["end"], F.col("end")) > F.greatest(s["start"], F.col("start"))))
-        power = F.transform(hit, lambda s: F.pow(F.lit(2), s["o"]).cast("int"))
-        return F.coalesce(F.aggregate(power, F.lit(0), lambda a, x: a.bitwiseOR(x)), F.lit(0))
+    made = docs.select("doc_id", F.posexplode(F.transform("tokens", bits)).alias("ord", "b"))
+    return made.select("doc_id", "ord", "b.g", "b.p")
 
-    return docs.select("doc_id", "ord", bits("g").alias("g"), bits("p").alias("p"))
+
+def _flagged(tokens: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    if "tokens" not in tokens.columns:
+        lists = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end"))).alias("tokens"))
+        tokens = lists.select("doc_id", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("tokens"))
+    return flagged_of(tokens, sides(gold, predicted))
 
 
 def _bit(column: str, k: int) -> Column:
@@ -136,8 +169,12 @@ def _bit(column: str, k: int) -> Column:
 
 
 def token_metrics(tokens: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """One-vs-rest counts over tokens (doc_id, ord, start, end) that overlap a span of the label."""
-    flags = _flagged(tokens, gold, predicted)
+    """One-vs-rest counts over tokens that overlap a span of the label. tokens: doc_id, ord, start, end, or arrays."""
+    return token_counts_of(_flagged(tokens, gold, predicted))
+
+
+def token_counts_of(flags: DataFrame) -> DataFrame:
+    """The counts of token_metrics() from tokens with their bit sets."""
     counts = flags.agg(*(F.count_if(c).alias(f"{name}{k}") for k in range(len(L.LABELS)) for name, c in (("tp", _bit("g", k) & _bit("p", k)), ("fp", ~_bit("g", k) & _bit("p", k)), ("fn", _bit("g", k) & ~_bit("p", k)), ("tn", ~_bit("g", k) & ~_bit("p", k)))))
     rows = F.explode(F.array(*(F.struct(F.lit(x).alias("label"), *(F.col(f"{n}{k}").alias(n) for n in ("tp", "fp", "fn", "tn"))) for k, x in enumerate(L.LABELS)))).alias("r")
     return rolled_up(counts.select(rows).select("r.*"), accuracy=True)
@@ -151,9 +188,11 @@ def _top_label(column: str) -> Column:
     return out
 
 
-def token_assignment(tokens: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """One row: tokens whose single label (the last one in order on overlaps) is right, among all and among labelled."""
-    both = _flagged(tokens, gold, predicted).select(_top_label("g").alias("g"), _top_label("p").alias("p"))
+def token_assignment(flags: DataFrame) -> DataFrame:
+    """One row: tokens whose single label (the last one in order on overlaps) is right, among all and among labelled.
+
+    flags: flagged_of()."""
+    both = flags.select(_top_label("g").alias("g"), _top_label("p").alias("p"))
     right, named = F.col("g") == F.col("p"), (F.col("g") != NONE) | (F.col("p") != NONE)
     sums = both.agg(F.count_if(right).alias("correct_tokens"), F.count("*").alias("total_tokens"), F.count_if(right & named).alias("labeled_correct_tokens"), F.count_if(named).alias("labeled_total_tokens"))
     return sums.withColumn("accuracy", T.ratio(F.col("correct_tokens"), F.col("total_tokens"))).withColumn("labeled_accuracy", T.ratio(F.col("labeled_correct_tokens"), F.col("labeled_total_tokens")))
@@ -167,8 +206,8 @@ def _confusion(pairs: DataFrame, gold_names: list[str]) -> DataFrame:
     return cells.join(sums, ["gold_label", "predicted_label"], "left").select("gold_label", "predicted_label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def token_confusion(tokens: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    both = _flagged(tokens, gold, predicted).select(_top_label("g").alias("gold_label"), _top_label("p").alias("predicted_label"), F.lit(1).alias("n"))
+def token_confusion(flags: DataFrame) -> DataFrame:
+    both = flags.select(_top_label("g").alias("gold_label"), _top_label("p").alias("predicted_label"), F.lit(1).alias("n"))
     return _confusion(both, [*L.LABELS, NONE])
 
 
@@ -204,9 +243,9 @@ def presence_metrics(docs: DataFrame, gold: DataFrame, predicted: DataFrame) ->
     return each.select("label", "tp", "fp", "fn", (F.col("docs") - tp - fp - fn).alias("tn"), *T.f_scores(tp, fp, fn))
 
 
-def boundary_errors(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Of matched spans (same label, any overlap): exact borders, mean errors, longer and shorter ones."""
-    m = greedy_matches(gold, predicted, 0.01)
+def boundary_errors(both: DataFrame) -> DataFrame:
+    """Of matched spans (same label, any overlap): exact borders, mean errors, longer and shorter ones. both: sides()."""
+    m = greedy_of(both, 0.01)
     ds, de = F.col("start") - F.col("g_start"), F.col("end") - F.col("g_end")
     sums = m.groupBy("label").agg(
         F.count("*").alias("matched_spans"), F.count_if((ds == 0) & (de == 0)).alias("exact"), F.sum(F.abs(ds)).alias("ds"), F.sum(F.abs(de)).alias("de"),
@@ -217,12 +256,16 @@ def boundary_errors(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return each.select("label", "matched_spans", T.ratio(F.col("exact"), n).alias("exact_boundary_accuracy"), T.ratio(F.col("ds"), n).alias("mean_absolute_start_error"), T.ratio(F.col("de"), n).alias("mean_absolute_end_error"), "overextended", "underextended")
 
 
-def matched_confusion(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Labels of gold spans and of what they are matched to whatever its label, NONE for unmatched ones."""
-    m = greedy_matches(gold, predicted, 0.01, same_label=False).select("gold_label", F.col("label").alias("predicted_label"), F.lit(1).alias("n"))
-    rest = gold.select(F.col("label").alias("gold_label"), F.lit(NONE).alias("predicted_label"), F.lit(1).alias("n"))
-    taken = m.select("gold_label", F.lit(NONE).alias("predicted_label"), F.lit(-1).alias("n"))
-    return _confusion(m.unionByName(rest).unionByName(taken), L.LABELS)
+def matched_confusion(both: DataFrame) -> DataFrame:
+    """Labels of gold spans and of what they are matched to whatever its label, NONE for unmatched ones. both: sides()."""
+    lists = _matched(_lists(both, ["doc_id"], "ord" in both.columns), 0.01)
+    free = F.filter("gs", lambda a, i: ~F.exists("m", lambda x: x["i"] == i))
+    rows = F.concat(
+        F.transform("m", lambda x: F.struct(F.get("gs", x["i"])["label"].alias("gold_label"), F.get("ps", x["j"])["label"].alias("predicted_label"))),
+        F.transform(free, lambda a: F.struct(a["label"].alias("gold_label"), F.lit(NONE).alias("predicted_label"))),
+    )
+    pairs = lists.select(F.explode(rows).alias("r")).select("r.*", F.lit(1).alias("n"))
+    return _confusion(pairs, L.LABELS)
 
 
 def oracle_recall(gold: DataFrame, registry: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -238,9 +281,10 @@ def oracle_recall(gold: DataFrame, registry: DataFrame, threshold: float | None
     return rows.withColumn("recall", T.ratio(F.col("matched"), F.col("gold_spans")))
 
 
-def registry_token_recall(tokens: DataFrame, gold: DataFrame, registry: DataFrame) -> DataFrame:
-    """Gold tokens that some candidate of the label overlaps; macro averages labels."""
-    m = token_metrics(tokens, gold, registry).filter("label <> 'macro'")
+def registry_token_recall(flags: DataFrame) -> DataFrame:
+    """Gold tokens that some candidate of the label overlaps; macro averages labels. flags: flagged_of() with the
+    registry's spans on the predicted side."""
+    m = token_counts_of(flags).filter("label <> 'macro'")
     rows = m.select("label", (F.col("tp") + F.col("fn")).alias("gold_tokens"), F.col("tp").alias("matched_gold_tokens"))
     rows = rows.withColumn("recall", T.ratio(F.col("matched_gold_tokens"), F.col("gold_tokens")))
     macro = rows.filter("label <> 'micro'").agg(F.lit("macro").alias("label"), F.lit(None).cast("long").alias("gold_tokens"), F.lit(None).cast("long").alias("matched_gold_tokens"), F.avg("recall").alias("recall"))
@@ -256,9 +300,12 @@ def per_document(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return sums.select("doc_id", "tp", "fp", "fn", *T.f_scores(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def report(docs: DataFrame, tokens: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """family, label, tp, fp, fn, precision, recall, f1 of the exact, relaxed, character, token families."""
-    families = {"exact": exact_metrics(gold, predicted), "relaxed_50": relaxed_metrics(gold, predicted, 0.5), "relaxed_75": relaxed_metrics(gold, predicted, 0.75), "character": character_metrics(gold, predicted), "token": token_metrics(tokens, gold, predicted).drop("tn", "accuracy"), "presence": presence_metrics(docs, gold, predicted).drop("tn")}
+def report(docs: DataFrame, tokens: DataFrame, both: DataFrame) -> DataFrame:
+    """family, label, tp, fp, fn, precision, recall, f1 of the exact, relaxed, character, token and presence families.
+
+    tokens: doc_id and arrays of tokens. both: sides(), best a stored table, since each family reads it once or twice."""
+    gold, predicted = both.filter("side = 'g'"), both.filter("side = 'p'")
+    families = {"exact": exact_of(both), "relaxed_50": relaxed_of(both, 0.5), "relaxed_75": relaxed_of(both, 0.75), "character": character_metrics(gold, predicted), "token": token_counts_of(flagged_of(tokens, both)), "presence": presence_metrics(docs, gold, predicted)}
     out = None
     for name, rows in families.items():
         rows = rows.select(F.lit(name).alias("family"), "label", "tp", "fp", "fn", "precision", "recall", "f1")

@@ -5,8 +5,6 @@ All offsets are computed inside a row, so that nothing is shuffled before spans
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +28,11 @@ def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return _rows(docs, T.tokens(F.col(text)), key)
 
 
+def token_arrays(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, tokens: each text's tokens as one array of start and end."""
+    return docs.select(key, F.transform(T.tokens(F.col(text)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("tokens"))
+
+
 def clauses(units_of: DataFrame, key: str = "doc_id") -> DataFrame:
     """Clauses of units, numbered inside each unit."""
     span = F.struct(F.col("start"), F.col("end"), F.col("text"))
@@ -43,24 +46,29 @@ def _found(text: Column, label: str, name: str, pattern: str) -> Column:
 
 
 def pattern_spans(docs: DataFrame, labels: list[str] | None = None, strict_units: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, label, start, end, text, method: trimmed matches of the generating patterns, in one pass over the texts."""
-    every = _every(text, tuple(labels) if labels is not None else tuple(L.LABELS), strict_units)
-    return docs.select(key, F.explode(every).alias("s")).select(key, "s.*")
-
-
-@functools.cache
-def _every(text: str, labels: tuple[str, ...], strict_units: bool) -> Column:
-    """All matches of some labels' patterns in one array; kept, since building so large an expression takes seconds."""
-    wanted = [(x, n, p) for x, found in L.patterns(strict_units).items() if x in labels for n, p in found]
-    return F.concat(*(_found(F.col(text), *w) for w in wanted))
+    """key, label, start, end, text, method: trimmed matches of the generating patterns.
+
+    A text becomes one row for each pattern, so that the machinery of offsets stands in the plan once and each pattern
+    runs over the text once. Nothing is shuffled."""
+    wanted = [(x, n, p) for x, found in L.patterns(strict_units).items() if labels is None or x in labels for n, p in found]
+    rows = docs.select(key, F.col(text).alias("_text"), F.explode(F.array(*(F.lit(k) for k in range(len(wanted))))).alias("_which"))
+    pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("_which") + 1)
+    pieces = None
+    for k, (_, _, p) in enumerate(wanted):
+        one = T.marked(F.col("_text"), p)
+        pieces = F.when(F.col("_which") == k, one) if pieces is None else pieces.when(F.col("_which") == k, one)
+    rows = rows.select(key, "_text", "_which", pieces.alias("_pieces")).filter(F.size("_pieces") > 1)
+    found = rows.select(key, "_text", "_which", F.posexplode(T.spans_of(F.col("_pieces"))).alias("_n", "_s")).filter("_n % 2 = 1")
+    whole = F.struct(F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), F.substring("_text", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("text"))
+    spans = found.select(key, pick([x for x, _, _ in wanted]).alias("label"), T.trim_span(whole).alias("s"), pick([n for _, n, _ in wanted]).alias("method"))
+    return spans.filter("s.end > s.start").select(key, "label", "s.start", "s.end", "s.text", "method")
 
 
 def cue_clauses(docs: DataFrame, labels: list[str] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Clauses of cue-bearing units that hold a cue themselves and have a fitting length."""
-    parts = clauses(units(docs, text, key).withColumn("whole", F.col("text")), key)
-    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("label"), F.lit("(?is)" + T.cue_regex(L.CUES[name])).alias("cue")) for name in (labels or L.LABELS)))).alias("w")
-    rows = parts.select(key, "start", "end", "text", wanted).filter(F.expr("text rlike w.cue"))
-    rows = rows.select(key, F.col("w.label").alias("label"), "start", "end", "text", F.lit("cue_clause_boundary").alias("method"))
+    parts = clauses(units(docs, text, key), key)
+    held = F.explode(F.array_compact(F.array(*(F.when(F.col("text").rlike("(?is)" + T.cue_regex(L.CUES[name])), F.lit(name)) for name in (labels or L.LABELS))))).alias("label")
+    rows = parts.select(key, held, "start", "end", "text", F.lit("cue_clause_boundary").alias("method"))
     return rows.filter(R.length_ok(F.col("label"), F.col("text")))
 
 

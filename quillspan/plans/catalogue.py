@@ -15,7 +15,7 @@ from ..functions import labels as L
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import calibrate, candidates, evaluate, generate, realign, select, votes
-from ..sources import records
+from ..sources import records, store
 from ..sources.studies import CTE, studies
 from . import oracle as O
 
@@ -72,14 +72,38 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.features(cands, _matrix(cands))
 
 
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, label, start, end, text of the pattern candidates."""
+    return generate.deduplicated(generate.pattern_spans(studies(spark, sf_dir)))
+
+
+def _is_gold():
+    return (_seed() % 3 != 1) & (F.col("end") - F.col("start") > 3)
+
+
+def _moved() -> list:
+    return [(F.col("start") + (_seed() % 5 == 0).cast("int")).alias("start"), (F.col("end") - (_seed() % 7 == 0).cast("int")).alias("end")]
+
+
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = pattern_candidates(spark, sf_dir).filter((_seed() % 3 != 1) & (F.col("end") - F.col("start") > 3))
-    moved = kept.select("doc_id", "label", (F.col("start") + (_seed() % 5 == 0).cast("int")).alias("s"), (F.col("end") - (_seed() % 7 == 0).cast("int")).alias("e"))
-    return moved.select("doc_id", "label", F.col("s").alias("start"), F.col("e").alias("end"))
+    return _spans(spark, sf_dir).filter(_is_gold()).select("doc_id", "label", *_moved())
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold and predicted spans (those that fit their label) as one relation, from one scan."""
+    gold = F.when(_is_gold(), F.struct(*_moved(), F.lit("g").alias("side")))
+    predicted = F.when(R.passes_filter(F.col("label"), F.col("text")), F.struct("start", "end", F.lit("p").alias("side")))
+    return _spans(spark, sf_dir).select("doc_id", "label", F.explode(F.array_compact(F.array(gold, predicted))).alias("s")).select("doc_id", "label", "s.start", "s.end", "s.side")
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Gold and predicted spans as two relations over one stored table."""
+    both = store.stored(_sides(spark, sf_dir), "sides")
+    return both.filter("side = 'g'").drop("side"), both.filter("side = 'p'").drop("side")
 
 
-def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pattern_candidates(spark, sf_dir).filter(R.passes_filter(F.col("label"), F.col("text"))).select("doc_id", "label", "start", "end")
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.flagged_of(generate.token_arrays(studies(spark, sf_dir)), _sides(spark, sf_dir))
 
 
 def _study_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +125,7 @@ def token_offsets_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT lang, count(*) AS n_docs, sum(len(list_filter({TOKEN_PIECES}, lambda x: NOT regexp_matches(x, '^\\s+$'))))::bigint AS n_tokens FROM documents GROUP BY lang")
 def token_count_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.size(T.tokens(F.col("text")))
+    n = T.token_count(F.col("text"))
     return _documents(spark, sf_dir).select("lang", n.alias("n")).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
 
 
@@ -194,12 +218,32 @@ def cue_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.cue_clauses(studies(spark, sf_dir)).select("doc_id", "label", "start", "end", "text")
 
 
-@query()
+def _inner_sql() -> str:
+    """Relations long and inner_spans over cands: matches and clauses inside long candidates."""
+    start, left = O.trim_sides("p.text", "p.start")
+    parts = []
+    for label, found in L.patterns().items():
+        rows = f"(SELECT * FROM long WHERE label = '{label}')"
+        parts += [f"SELECT uid, start, \"end\", text, 'candidate_internal_boundary_alternative' AS method FROM ({O.matches_sql(rows, 'uid', 'text', label, n, p)})" for n, p in found]
+    clause = f"""SELECT uid, start, start + length(t) AS "end", t AS text, 'candidate_clause_boundary_alternative' AS method FROM (SELECT p.uid, i.label, {start} AS start, {left} AS t FROM ({O.offsets('long', 'uid', "regexp_extract_all(text, '[^.;:]+|[.;:]', 0, 's')")}) p JOIN long i USING (uid) WHERE NOT regexp_matches(p.text, '^([.;:]|\\s+)$'))
+        WHERE length(t) > 0 AND CASE label {" ".join(f"WHEN '{x}' THEN {O.has('t', T.cue_regex(L.CUES[x]), 'is')}" for x in L.LABELS)} END AND {_length_sql('label', 't')}"""
+    return f"""long AS (SELECT *, row_number() OVER (ORDER BY doc_id, label, start, "end") AS uid FROM cands WHERE length(text) >= 45), inner_raw AS ({" UNION ALL ".join([*parts, clause])}),
+    inner_spans AS (SELECT l.doc_id, l.label, l.start + r.start AS start, l.start + r."end" AS "end", min(r.text) AS text, min(r.method) AS method FROM inner_raw r JOIN long l USING (uid) WHERE NOT (r.start = 0 AND r."end" = l."end" - l.start) GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"""{O.candidates_cte()}, {_inner_sql()} SELECT doc_id, label, start::int AS start, "end"::int AS "end", text, method FROM inner_spans""")
 def inner_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.deduplicated(generate.inner_spans(pattern_candidates(spark, sf_dir)))
 
 
-@query()
+def _cue_sql(labels: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, '{x}' AS label, start::int AS start, (start + length(t))::int AS \"end\", t AS text FROM c WHERE length(t) > 0 AND {O.has('t', T.cue_regex(L.CUES[x]), 'is')} AND {_length_sql(O.q(x), 't')}" for x in labels)
+
+
+@query(f"""{O.candidates_cte()}, {_inner_sql()}, cue AS ({_UNIT_CLAUSES} {_cue_sql(L.PRE_EXPANSION_LABELS)}), raw_new AS (SELECT doc_id, label, start, "end", text, 'cue_clause_boundary' AS method FROM cue UNION ALL SELECT doc_id, label, start, "end", text, method FROM inner_spans),
+    new AS (SELECT doc_id, label, start, "end", min(text) AS text, min(method) AS method FROM raw_new GROUP BY 1, 2, 3, 4), v AS (SELECT n.*, {O.validation('s.text', 'n.label', 'n.text', 'n.start', 'n."end"')} AS reason FROM new n JOIN studies s USING (doc_id)),
+    fresh AS (SELECT v.*, row_number() OVER (PARTITION BY doc_id, label ORDER BY start, "end", method) AS k FROM v ANTI JOIN cands c USING (doc_id, label, start, "end") WHERE reason = 'accepted')
+    SELECT doc_id, label, start::int AS start, "end"::int AS "end", text, method, reason, 'info' AS severity FROM fresh WHERE k <= 80""")
 def pre_expansion_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = studies(spark, sf_dir)
     existing = pattern_candidates(spark, sf_dir)
@@ -242,7 +286,20 @@ def cleaning_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation_reasons(spark, sf_dir).groupBy("label", "reason").agg(F.count("*").alias("n"))
 
 
-@query()
+def _repaired_sql() -> str:
+    """Cue clauses of all labels with the boundaries that their label sets."""
+    parts = []
+    for label, found in {"SampleSize": L.NUMBER_BOUNDARIES, **{x: [p] for x, p in L.CUE_BOUNDARIES.items()}}.items():
+        start, left = ("s", "m") if label == "SampleSize" else O.trim_sides("m", "s")
+        parts.append(f"SELECT uid, start AS b, t FROM (SELECT uid, {start} AS start, {left} AS t FROM ({O.longest(f'(SELECT * FROM cue WHERE label = {O.q(label)})', 'uid', found)}))")
+    rest, intro = f"label NOT IN ('SampleSize', {R.quoted(list(L.CUE_BOUNDARIES))})", f"regexp_replace(text, {O.q(L.INTRO_VERBS)}, '', 'i')"
+    start, left = O.trim_sides("m", "s")
+    parts.append(f"SELECT uid, start AS b, t FROM (SELECT uid, {start} AS start, {left} AS t FROM (SELECT uid, {intro} AS m, length(text) - length({intro}) AS s FROM cue WHERE {rest}))")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"""WITH cue_rows AS ({_UNIT_CLAUSES} {_cue_sql(L.LABELS)}), cue AS (SELECT *, row_number() OVER (ORDER BY doc_id, label, start, "end") AS uid FROM cue_rows), moved AS ({_repaired_sql()})
+    SELECT doc_id, label, start, "end", (start + coalesce(b, 0))::int AS new_start, (start + coalesce(b, 0) + length(coalesce(t, text)))::int AS new_end, coalesce(t, text) AS new_text FROM cue LEFT JOIN moved USING (uid)""")
 def boundary_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     clauses = generate.cue_clauses(studies(spark, sf_dir))
     span = F.struct("start", "end", "text")
@@ -331,12 +388,12 @@ def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir).select("doc_id", "label", "candidate_id", "fits", "weak", "quality", "keeps", "anchor", "support", "rescued", "issue")
 
 
-def _mode_query(name: str, where: str | None, prune: bool = True) -> None:
+def _mode_query(name: str, where: str | None, prune: bool = True, sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return select.mode(_features(spark, sf_dir), name, prune_contained=prune)
 
     run.__name__ = f"mode_{name}" + ("" if prune else "_unpruned")
-    query(where and f"{O.candidates_cte()} SELECT doc_id, label, (row_number() OVER (PARTITION BY doc_id, label ORDER BY number) - 1)::int AS pos, candidate_id FROM feature WHERE {where}")(run)
+    query(sql or where and f"{O.candidates_cte()} SELECT doc_id, label, (row_number() OVER (PARTITION BY doc_id, label ORDER BY number) - 1)::int AS pos, candidate_id FROM feature WHERE {where}")(run)
 
 
 _mode_query("registry_all", "true")
@@ -344,8 +401,12 @@ _mode_query("registry_filtered", "fits")
 _mode_query("pubmedbert_only", "fits AND anchor")
 _mode_query("majority_vote", "fits AND keeps >= 2", False)
 _mode_query("pubmedbert_anchor", "fits AND (keeps >= 2 OR anchor AND keeps >= 1)", False)
-for _name in ("majority_vote", "pubmedbert_anchor", "pubmedbert_plus_verified", "expert_consensus_verified"):
-    _mode_query(_name, None)
+_MAJORITY, _ANCHORED = "fits AND keeps >= 2", "fits AND (keeps >= 2 OR anchor AND keeps >= 1)"
+_PLUS, _CONSENSUS = f"fits AND CASE WHEN anchor THEN NOT weak ELSE {O.AGREED} END", f"fits AND NOT weak AND (support >= 2 OR {O.AGREED})"
+_mode_query("majority_vote", None, sql=f"{O.candidates_cte()}, {O.without_contained(_MAJORITY)}")
+_mode_query("pubmedbert_anchor", None, sql=f"{O.candidates_cte()}, {O.without_contained(_ANCHORED)}")
+_mode_query("pubmedbert_plus_verified", None, sql=f"{O.candidates_cte()}, {O.without_redundant(_PLUS, 'CASE WHEN anchor THEN 0 ELSE 1 END')}")
+_mode_query("expert_consensus_verified", None, sql=f"{O.candidates_cte()}, {O.without_redundant(_CONSENSUS)}")
 
 
 @query(f"""{O.candidates_cte()}, f AS (SELECT *, {O.ORD} AS o FROM feature WHERE fits), p AS (SELECT a.doc_id, a.label AS left_label, b.label AS right_label, a.candidate_id AS left_id, b.candidate_id AS right_id,
@@ -358,17 +419,13 @@ def cross_label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- evaluation -----------------------------------------------------------------------------------------------------
 
 
-def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return _gold(spark, sf_dir), _predicted(spark, sf_dir)
-
-
 _SIZES = "sizes AS (SELECT label, (SELECT count(*) FROM gold g WHERE g.label = d.label) AS g, (SELECT count(*) FROM pred p WHERE p.label = d.label) AS p FROM dim d)"
 
 
 @query(f"""{O.gold_cte()}, m AS (SELECT label, count(*) AS tp FROM (SELECT DISTINCT * FROM gold INTERSECT SELECT DISTINCT * FROM pred) GROUP BY label), {_SIZES},
     {O.rolled_up("SELECT label, coalesce(tp, 0) AS tp, p - coalesce(tp, 0) AS fp, g - coalesce(tp, 0) AS fn FROM sizes LEFT JOIN m USING (label)")}""")
 def exact_span_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.exact_metrics(*_both(spark, sf_dir)), "precision", "recall", "f1")
+    return _rounded(evaluate.exact_of(_sides(spark, sf_dir)), "precision", "recall", "f1")
 
 
 def _relaxed_sql(threshold: float) -> str:
@@ -381,12 +438,12 @@ def _relaxed_sql(threshold: float) -> str:
 
 @query(_relaxed_sql(0.5))
 def relaxed_span_metrics_50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.relaxed_metrics(*_both(spark, sf_dir), 0.5), "precision", "recall", "f1")
+    return _rounded(evaluate.relaxed_of(_sides(spark, sf_dir), 0.5), "precision", "recall", "f1")
 
 
 @query(_relaxed_sql(0.75))
 def relaxed_span_metrics_75(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.relaxed_metrics(*_both(spark, sf_dir), 0.75), "precision", "recall", "f1")
+    return _rounded(evaluate.relaxed_of(_sides(spark, sf_dir), 0.75), "precision", "recall", "f1")
 
 
 @query(f"""{O.gold_cte()}, gc AS (SELECT DISTINCT doc_id, label, unnest(range(start::bigint, "end"::bigint)) AS c FROM gold), pc AS (SELECT DISTINCT doc_id, label, unnest(range(start::bigint, "end"::bigint)) AS c FROM pred),
@@ -403,7 +460,7 @@ _TOKEN_FLAGS = f"""{O.gold_cte()}, {_TOKENS}, gt AS (SELECT DISTINCT t.doc_id, t
 @query(f"""{_TOKEN_FLAGS}, f AS (SELECT d.label, g.ts IS NOT NULL AS g, p.ts IS NOT NULL AS p FROM toks t CROSS JOIN dim d LEFT JOIN gt g ON g.doc_id = t.doc_id AND g.ts = t.ts AND g.label = d.label LEFT JOIN pt p ON p.doc_id = t.doc_id AND p.ts = t.ts AND p.label = d.label),
     {O.rolled_up("SELECT label, count_if(g AND p) AS tp, count_if(p AND NOT g) AS fp, count_if(g AND NOT p) AS fn, count_if(NOT g AND NOT p) AS tn FROM f GROUP BY label", True)}""")
 def token_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.token_metrics(_study_tokens(spark, sf_dir), *_both(spark, sf_dir)), "precision", "recall", "f1", "accuracy")
+    return _rounded(evaluate.token_counts_of(_flags(spark, sf_dir)), "precision", "recall", "f1", "accuracy")
 
 
 _ASSIGNED = f"""{_TOKEN_FLAGS}, a AS (SELECT t.doc_id, t.ts, coalesce((SELECT arg_max(label, {O.ORD}) FROM gt WHERE gt.doc_id = t.doc_id AND gt.ts = t.ts), 'NONE') AS g, coalesce((SELECT arg_max(label, {O.ORD}) FROM pt WHERE pt.doc_id = t.doc_id AND pt.ts = t.ts), 'NONE') AS p FROM toks t)"""
@@ -412,13 +469,13 @@ _ASSIGNED = f"""{_TOKEN_FLAGS}, a AS (SELECT t.doc_id, t.ts, coalesce((SELECT ar
 @query(f"""{_ASSIGNED} SELECT count_if(g = p)::bigint AS correct_tokens, count(*) AS total_tokens, count_if(g = p AND g <> 'NONE')::bigint AS labeled_correct_tokens, count_if(g <> 'NONE' OR p <> 'NONE')::bigint AS labeled_total_tokens,
     round(count_if(g = p) / count(*)::double, 6) AS accuracy, round(count_if(g = p AND g <> 'NONE') / count_if(g <> 'NONE' OR p <> 'NONE')::double, 6) AS labeled_accuracy FROM a""")
 def token_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.token_assignment(_study_tokens(spark, sf_dir), *_both(spark, sf_dir)), "accuracy", "labeled_accuracy")
+    return _rounded(evaluate.token_assignment(_flags(spark, sf_dir)), "accuracy", "labeled_accuracy")
 
 
 @query(f"""{_ASSIGNED}, cells AS (SELECT x.label AS gold_label, y.label AS predicted_label FROM (SELECT label FROM dim UNION ALL SELECT 'NONE') x, (SELECT label FROM dim UNION ALL SELECT 'NONE') y)
     SELECT gold_label, predicted_label, (SELECT count(*) FROM a WHERE g = gold_label AND p = predicted_label) AS n FROM cells""")
 def token_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.token_confusion(_study_tokens(spark, sf_dir), *_both(spark, sf_dir))
+    return evaluate.token_confusion(_flags(spark, sf_dir))
 
 
 @query(f"""{O.gold_cte()}, chars AS (SELECT doc_id, unnest(range(length(text))) AS c FROM studies),
@@ -438,14 +495,17 @@ def presence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.presence_metrics(studies(spark, sf_dir), *_both(spark, sf_dir)), "precision", "recall", "f1")
 
 
-@query()
+@query(f"""{O.gold_cte()}, {O.matched(0.01)}, s AS (SELECT d.label, count(gs) AS n, count_if(gs = ps AND ge = pe) AS ex, sum(abs(ps - gs)) AS ds, sum(abs(pe - ge)) AS de, count_if(ps < gs OR pe > ge) AS o, count_if(ps > gs OR pe < ge) AS u FROM dim d LEFT JOIN matches USING (label) GROUP BY d.label)
+    SELECT label, n::bigint AS matched_spans, round(coalesce(ex / nullif(n, 0)::double, 0), 6) AS exact_boundary_accuracy, round(coalesce(ds / nullif(n, 0)::double, 0), 6) AS mean_absolute_start_error, round(coalesce(de / nullif(n, 0)::double, 0), 6) AS mean_absolute_end_error, coalesce(o, 0)::bigint AS overextended, coalesce(u, 0)::bigint AS underextended FROM s""")
 def boundary_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.boundary_errors(*_both(spark, sf_dir))
+    return _rounded(evaluate.boundary_errors(_sides(spark, sf_dir)), "exact_boundary_accuracy", "mean_absolute_start_error", "mean_absolute_end_error")
 
 
-@query()
+@query(f"""{O.gold_cte()}, {O.matched(0.01, False)}, n AS (SELECT gold_label, label AS predicted_label, count(*) AS n FROM matches GROUP BY ALL), t AS (SELECT gold_label, sum(n) AS n FROM n GROUP BY ALL), g AS (SELECT label AS gold_label, count(*) AS n FROM gold GROUP BY ALL),
+    e AS (SELECT * FROM n UNION ALL SELECT gold_label, 'NONE', g.n - coalesce(t.n, 0) FROM g LEFT JOIN t USING (gold_label)), cells AS (SELECT x.label AS gold_label, y.label AS predicted_label FROM dim x, (SELECT label FROM dim UNION ALL SELECT 'NONE') y)
+    SELECT gold_label, predicted_label, coalesce(n, 0)::bigint AS n FROM cells LEFT JOIN e USING (gold_label, predicted_label)""")
 def matched_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.matched_confusion(*_both(spark, sf_dir))
+    return evaluate.matched_confusion(_sides(spark, sf_dir))
 
 
 @query(f"""{O.gold_cte()}, c AS (SELECT d.label, count(g.doc_id) AS gold_spans, count_if(EXISTS (SELECT 1 FROM cands r WHERE r.doc_id = g.doc_id AND r.label = g.label AND r.start = g.start AND r."end" = g."end")) AS matched FROM dim d LEFT JOIN gold g USING (label) GROUP BY d.label),
@@ -454,9 +514,15 @@ def oracle_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.oracle_recall(_gold(spark, sf_dir), pattern_candidates(spark, sf_dir)), "recall")
 
 
-@query()
+@query(f"""{O.gold_cte()}, {_TOKENS}, gt AS (SELECT DISTINCT t.doc_id, ts, te, label FROM toks t JOIN gold s ON t.doc_id = s.doc_id AND ts < s."end" AND s.start < te), h AS (SELECT g.label, EXISTS (SELECT 1 FROM cands s WHERE s.doc_id = g.doc_id AND s.label = g.label AND ts < s."end" AND s.start < te) AS hit FROM gt g),
+    c AS (SELECT d.label, count(hit) AS gold_tokens, count_if(hit) AS matched FROM dim d LEFT JOIN h USING (label) GROUP BY d.label), a AS (SELECT * FROM c UNION ALL SELECT 'micro', sum(gold_tokens), sum(matched) FROM c),
+    r AS (SELECT label, gold_tokens::bigint AS gold_tokens, coalesce(matched, 0)::bigint AS matched_gold_tokens, coalesce(matched / nullif(gold_tokens, 0)::double, 0) AS recall FROM a)
+    SELECT label, gold_tokens, matched_gold_tokens, round(recall, 6) AS recall FROM r UNION ALL SELECT 'macro', NULL, NULL, round(avg(recall), 6) FROM r WHERE label <> 'micro'""")
 def registry_token_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.registry_token_recall(_study_tokens(spark, sf_dir), _gold(spark, sf_dir), pattern_candidates(spark, sf_dir))
+    gold = F.when(_is_gold(), F.struct(*_moved(), F.lit("g").alias("side")))
+    known = F.struct("start", "end", F.lit("p").alias("side"))
+    both = _spans(spark, sf_dir).select("doc_id", "label", F.explode(F.array_compact(F.array(gold, known))).alias("s")).select("doc_id", "label", "s.start", "s.end", "s.side")
+    return _rounded(evaluate.registry_token_recall(evaluate.flagged_of(generate.token_arrays(studies(spark, sf_dir)), both)), "recall")
 
 
 @query(f"""{O.gold_cte()}, j AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.doc_id IS NOT NULL AS g, p.doc_id IS NOT NULL AS p FROM (SELECT DISTINCT * FROM gold) g FULL JOIN (SELECT DISTINCT * FROM pred) p ON g.doc_id = p.doc_id AND g.label = p.label AND g.start = p.start AND g."end" = p."end"),
@@ -466,15 +532,22 @@ def per_document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.per_document(*_both(spark, sf_dir)), "precision", "recall", "f1")
 
 
-@query()
+_FAMILIES = {"exact": "exact_span_metrics", "relaxed_50": "relaxed_span_metrics_50", "relaxed_75": "relaxed_span_metrics_75", "character": "character_metrics", "token": "token_metrics", "presence": "presence_metrics"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS family, label, tp, fp, fn, precision, recall, f1 FROM ({ORACLE_SQL[of]})" for name, of in _FAMILIES.items()))
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.report(studies(spark, sf_dir), _study_tokens(spark, sf_dir), *_both(spark, sf_dir))
+    docs = studies(spark, sf_dir)
+    return _rounded(evaluate.report(docs, generate.token_arrays(docs), store.stored(_sides(spark, sf_dir), "sides")), "precision", "recall", "f1")
 
 
 # --- gold realignment and record alignment -----------------------------------------------------------------------------
 
 
-@query()
+@query(f"""{O.candidates_cte()}, g AS (SELECT doc_id, label, start + ({O.SEED} % 3) * 2 AS gs, "end" + ({O.SEED} % 3) * 2 AS ge, text FROM cands),
+    p AS (SELECT g.*, s.text AS source, gs >= 0 AND ge > gs AND ge <= length(s.text) AND substring(s.text, gs + 1, ge - gs) = g.text AS same, list_filter(range(0, length(s.text) - length(g.text) + 1), lambda i: substring(s.text, i + 1, length(g.text)) = g.text) AS hits FROM g JOIN studies s USING (doc_id)),
+    n AS (SELECT *, CASE WHEN same THEN gs ELSE list_sort(list_transform(hits, lambda i: [abs(i - gs), i]))[1][2] END AS found FROM p)
+    SELECT doc_id, label, gs::int AS start, ge::int AS "end", text, found::int AS new_start, (found + length(text))::int AS new_end, CASE WHEN same THEN 'unchanged' WHEN found IS NOT NULL THEN 'exact_repair' ELSE 'other' END AS status, abs(gs - found)::int AS moved FROM n""")
 def gold_realign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = pattern_candidates(spark, sf_dir).select("doc_id", "label", (F.col("start") + (_seed() % 3) * 2).cast("int").alias("start"), (F.col("end") + (_seed() % 3) * 2).cast("int").alias("end"), "text")
     return realign.realigned(gold, studies(spark, sf_dir))
@@ -492,7 +565,11 @@ def record_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- calibration ------------------------------------------------------------------------------------------------------
 
 
-@query()
+_GRID = f"""grid AS (SELECT label, ({len(L.FIXED_MODES)} + (((p * {len(L.VOTE_FRACTIONS)} + f) * {len(L.EXPERT_SUPPORTS)} + s) * {len(L.CONFIDENCES)} + c) * 2 + r)::int AS config_id, ({L.EXPERT_SUPPORTS}::int[])[s + 1] AS min_expert_support, ({L.VOTE_FRACTIONS}::double[])[f + 1] AS min_vote_fraction, ({L.CONFIDENCES}::double[])[c + 1] AS min_confidence, r = 1 AS use_high_quality_rescue,
+    [{R.quoted(list(L.VOTE_PROFILES))}][p + 1] AS vote_weight_profile, ({[list(x) for x in L.VOTE_PROFILES.values()]}::double[][])[p + 1] AS vote_weights FROM (SELECT unnest([{R.quoted(L.LABELS)}]) AS label), range({len(L.VOTE_PROFILES)}) _(p), range({len(L.VOTE_FRACTIONS)}) _(f), range({len(L.EXPERT_SUPPORTS)}) _(s), range({len(L.CONFIDENCES)}) _(c), range(2) _(r))"""
+
+
+@query(f"WITH {_GRID} SELECT *, 'calibrated_rule' AS source_mode, true AS require_label_filter, true AS reject_weak_fragments FROM grid")
 def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.grid(spark)
 
@@ -502,12 +579,19 @@ def grid_best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.tuned(_features(spark, sf_dir), _study_tokens(spark, sf_dir), _gold(spark, sf_dir), calibrate.grid(spark), modes=calibrate.fixed_modes(spark))
 
 
-@query()
+_DEFAULT = f"fits AND NOT weak AND (support >= 2 OR {O.AGREED})"
+
+
+@query(f"""{O.candidates_cte()}, {_GRID}, chosen AS (WITH {O.without_redundant(_DEFAULT)}) SELECT g.config_id, c.* FROM chosen c JOIN grid g USING (label) WHERE vote_weight_profile = 'equal' AND abs(min_vote_fraction - 0.67) < 0.001 AND min_expert_support = 2 AND min_confidence = 0 AND use_high_quality_rescue""")
 def calibrated_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.calibrated(_features(spark, sf_dir), calibrate.default_config(spark))
 
 
-@query()
+_BROKEN = f"""chosen AS (SELECT doc_id, label, candidate_id, start, CASE WHEN {O.SEED} % 29 = 0 THEN "end" + 1 ELSE "end" END AS "end", text FROM feature WHERE fits), j AS (SELECT c.*, s.text AS source, r."end" AS r_end FROM chosen c JOIN studies s USING (doc_id) JOIN cands r USING (doc_id, candidate_id))"""
+
+
+@query(f"""{O.candidates_cte()}, {_BROKEN} SELECT rule, doc_id, label, candidate_id FROM (SELECT *, unnest(list_filter([CASE WHEN start < 0 OR "end" <= start OR "end" > length(source) THEN 'invalid_offsets' END, CASE WHEN "end" <= length(source) AND substring(source, start + 1, "end" - start) <> text THEN 'text_offset_mismatch' END,
+    CASE WHEN "end" <> r_end THEN 'differs_from_candidate' END], lambda x: x IS NOT NULL)) AS rule FROM j)""")
 def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import integrity
 

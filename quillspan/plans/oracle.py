@@ -166,3 +166,89 @@ def rolled_up(counts: str, accuracy: bool = False) -> str:
     scored AS (SELECT label, tp, fp, fn{tn}, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1{", accuracy" if accuracy else ""} FROM pr),
     every AS (SELECT * FROM scored UNION ALL SELECT 'macro', NULL::bigint, NULL::bigint, NULL::bigint{nulls}, avg(precision), avg(recall), avg(f1){avg} FROM scored WHERE label <> 'micro')
     SELECT label, tp, fp, fn{tn}, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1{", round(accuracy, 6) AS accuracy" if accuracy else ""} FROM every"""
+
+
+# --- folds: order-dependent selection, stated as list_reduce over ordered lists of one-element lists --------------------
+
+
+def contains_pair(a: str, b: str) -> str:
+    return f"""{a}.start <= {b}.start AND {b}."end" <= {a}."end" AND NOT ({a}.start = {b}.start AND {a}."end" = {b}."end")"""
+
+
+def keeps_outer(a: str, b: str) -> str:
+    return f"""CASE WHEN {a}.label IN ('SampleSize', 'DesignDescription', 'StatisticalAnalysis') THEN true
+        WHEN {a}.label = 'ComparisonGroup' THEN len(string_split({clean(b + '.text')}, ' ')) < 2
+        WHEN {a}.issue IS NOT NULL AND {b}.issue IS NULL THEN false WHEN {b}.issue IS NOT NULL AND {a}.issue IS NULL THEN true
+        ELSE length({b}.text) >= length({a}.text) END"""
+
+
+def without_contained(where: str) -> str:
+    """Ids of a mode whose contained spans are pruned: pairs in order of the outer loop, then the inner one."""
+    kind = "STRUCT(a VARCHAR, b VARCHAR, l VARCHAR)[]"
+    return f"""base AS (SELECT * FROM feature WHERE {where}),
+    pairs AS (SELECT a.doc_id, a.label, list([{{'a': a.candidate_id, 'b': b.candidate_id, 'l': CASE WHEN {keeps_outer("a", "b")} THEN b.candidate_id ELSE a.candidate_id END}}] ORDER BY a.number, b.number) AS l
+        FROM base a JOIN base b ON a.doc_id = b.doc_id AND a.label = b.label AND {contains_pair("a", "b")} GROUP BY a.doc_id, a.label),
+    gone AS (SELECT doc_id, label, list_transform(list_reduce(list_prepend([]::{kind}, l), lambda acc, x: CASE WHEN list_has_any(list_transform(acc, lambda y: y.l), [x[1].a, x[1].b]) THEN acc ELSE list_concat(acc, x) END), lambda y: y.l) AS gone FROM pairs)
+    SELECT doc_id, label, (row_number() OVER (PARTITION BY doc_id, label ORDER BY number) - 1)::int AS pos, candidate_id FROM base LEFT JOIN gone USING (doc_id, label) WHERE NOT coalesce(list_contains(gone, candidate_id), false)"""
+
+
+ITEM = "STRUCT(id VARCHAR, s BIGINT, e BIGINT, plain VARCHAR, weak BOOLEAN, anchor BOOLEAN, b BIGINT[], strict BOOLEAN)"
+
+
+def item(row: str = "") -> str:
+    """A candidate of `feature` as the fold over redundant candidates sees it."""
+    p, n = clean("text"), words(clean("text"))
+    usual = "CASE label " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in L.PREFERRED_WORDS.items()) + f" ELSE {L.OTHER_PREFERRED_WORDS} END"
+    strict = f"label IN ({R.quoted(L.STRICT_LABELS)})"
+    whole = f"{p} <> '' AND NOT contains({q(',;:.)]}')}, left({p}, 1)) AND NOT contains({q(',;:([{')}, right({p}, 1))"
+    score = f"10 * fits::int + 2 * ({whole})::int - 8 * weak::int + quality - CASE WHEN {strict} AND {n} > 14 THEN {n} - 14 ELSE 0 END + CASE WHEN {strict} AND {n} BETWEEN 2 AND 8 THEN 2 ELSE 0 END"
+    return f"""{{'id': candidate_id, 's': start::bigint, 'e': "end"::bigint, 'plain': {normalized('text')}, 'weak': weak, 'anchor': anchor, 'b': [({score})::bigint, -abs({n} - {usual})::bigint, -length({p})::bigint, -start::bigint], 'strict': {strict}}}"""
+
+
+def _near(y: str, x: str) -> str:
+    inside = f"contains({y}.plain, {x}.plain) OR contains({x}.plain, {y}.plain)"
+    return f"""(greatest(0, least({y}.e, {x}.e) - greatest({y}.s, {x}.s)) / greatest(1, least({y}.e - {y}.s, {x}.e - {x}.s))::double >= 0.85
+        OR ({y}.plain <> '' AND {x}.plain <> '' AND ({y}.plain = {x}.plain OR {x}.strict AND ({inside}))))"""
+
+
+def _better(x: str, y: str) -> str:
+    return f"({y}.weak AND NOT {x}.weak OR CASE WHEN {x}.anchor AND NOT {y}.anchor THEN {x}.b >= {y}.b ELSE {x}.b > {y}.b END)"
+
+
+def redundant_fold(items: str) -> str:
+    """Ids that stay of an ordered list of one-element lists of items."""
+    at = f"coalesce(list_position(list_transform(acc, lambda y: {_near('y', 'x[1]')}), true), 0)"
+    step = f"CASE WHEN {at} = 0 THEN list_concat(acc, x) ELSE list_transform(acc, lambda y, k: CASE WHEN k = {at} AND {_better('x[1]', 'y')} THEN x[1] ELSE y END) END"
+    return f"list_transform(list_reduce(list_prepend([]::{ITEM}[], {items}), lambda acc, x: {step}), lambda y: y.id)"
+
+
+def without_redundant(where: str, rank: str = "0") -> str:
+    return f"""lists AS (SELECT doc_id, label, list([{item()}] ORDER BY {rank}, number) AS l FROM feature WHERE {where} GROUP BY doc_id, label),
+    kept AS (SELECT doc_id, label, {redundant_fold("l")} AS ids FROM lists)
+    SELECT doc_id, label, (generate_subscripts(ids, 1) - 1)::int AS pos, unnest(ids) AS candidate_id FROM kept"""
+
+
+AGREED = "(keeps >= 2 OR rescued)"
+
+
+# --- matches of gold and predictions -----------------------------------------------------------------------------------
+
+
+def matched(threshold: float, same_label: bool = True) -> str:
+    """matches(doc_id, g, p): rows of gi and pi that the greedy rule matches. Needs gold and pred."""
+    by, order = ("doc_id, label", 'start, "end"') if same_label else ("doc_id", f'{ORD}, start, "end"')
+    return f"""gi AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS i FROM gold), pi AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS j FROM pred),
+    c AS (SELECT {", ".join("gi." + x for x in by.split(", "))}, i, j, (least(gi."end", pi."end") - greatest(gi.start, pi.start)) / (greatest(gi."end", pi."end") - least(gi.start, pi.start))::double AS score FROM gi JOIN pi USING ({by}) WHERE gi.start < pi."end" AND pi.start < gi."end"),
+    l AS (SELECT {by}, list_prepend([]::STRUCT(i BIGINT, j BIGINT)[], list([{{'i': i, 'j': j}}] ORDER BY score DESC, i DESC, j DESC)) AS l FROM c WHERE score >= {threshold} GROUP BY {by}),
+    m AS (SELECT {by}, unnest(list_reduce(l, lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: y.i), x[1].i) OR list_contains(list_transform(a, lambda y: y.j), x[1].j) THEN a ELSE list_concat(a, x) END)) AS m FROM l),
+    matches AS (SELECT gi.doc_id, gi.label AS gold_label, pi.label AS label, gi.start AS gs, gi."end" AS ge, pi.start AS ps, pi."end" AS pe FROM (SELECT {by}, m.i AS i, m.j AS j FROM m) JOIN gi USING ({by}, i) JOIN pi USING ({by}, j))"""
+
+
+def longest(rows: str, key: str, patterns: list[str]) -> str:
+    """key, s, m: offset and text of the longest match of any pattern in a relation's text, the earliest of equals."""
+    parts = []
+    for p in patterns:
+        found, gaps = f"regexp_extract_all(text, {q(p)}, 0, 'is')", f"regexp_split_to_array(text, {q(p)}, 'is')"
+        parts.append(f"""SELECT {key}, m, (sum(length(g) + length(m)) OVER (PARTITION BY {key} ORDER BY k))::bigint - length(m) AS s FROM (
+            SELECT {key}, unnest(f) AS m, unnest(g[1:len(f)]) AS g, generate_subscripts(f, 1) AS k FROM (SELECT {key}, {found} AS f, {gaps} AS g FROM {rows}))""")
+    return f"SELECT {key}, arg_max(m, [length(m), -s]) AS m, arg_max(s, [length(m), -s]) AS s FROM ({' UNION ALL '.join(parts)}) GROUP BY {key}"
