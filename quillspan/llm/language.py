@@ -5,8 +5,10 @@ their last letters, and there is an end. The score of a symbol after two others
 with diagonal C. A word of a class costs its class and then (c - D) / N of the class, where c and N are counts over
 all training texts; one symbol "unknown" of each class takes the discounted mass. Known words and "unknown" sum to 1.
 
-Training. Every task trains on all its training texts from the same start (data against unigram noise, AdaGrad), and
-parameters are averaged by number of tokens, in parts, so nothing of the size of the table reaches the driver.
+Training. Texts are dealt by a hash into shards of some million tokens, and shards into rounds. In a round every shard
+trains from the same parameters (data against unigram noise, AdaGrad); then parameters and step sizes are averaged by
+number of tokens, in parts, so that nothing of the size of the table reaches the driver. Shards and the order inside
+them follow from the rows alone: scores don't depend on how a table is partitioned. Each text trains once.
 
 Scoring. The normaliser of all pairs of contexts is one product of matrices of exponentials, so that the
 log-probabilities of a batch are lookups. Counts of all words are exact: each block of documents asks for the words
@@ -39,6 +41,9 @@ NOISE = 32
 BATCH = 1024
 RATE = 0.3
 BLOCK_TOKENS = 800_000
+SHARD_TOKENS = 2_000_000
+ROUNDS = 3
+BUCKET_BYTES = 1 << 30
 PARTS = 16
 START, END = 0, 1
 FIRST_CLASS = 2 + SHORT_LIST
@@ -91,22 +96,18 @@ def sequence(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad; noise is shared by the positions of a batch."""
+    """Noise-contrastive estimation with AdaGrad; noise is shared by the positions of a batch.
 
-    def __init__(self, unigram: np.ndarray, seed: int = 1):
-        rng = np.random.default_rng(seed)
+    theta holds r (what a symbol says as a context), t (what it asks of its context, and its bias in the last column)
+    and the diagonals c1 and c2; squares are the sums of squared gradients."""
+
+    def __init__(self, unigram: np.ndarray, start: tuple[dict, dict] | None = None, seed: int = 1):
         self.rng = np.random.default_rng(seed + 1)
         self.p = unigram / unigram.sum()
         self.ends = np.cumsum(self.p)
         self.log_noise = np.log(NOISE * self.p).astype(np.float32)
-        self.theta = {
-            "r": rng.normal(0, 0.1, (SYMBOLS, SIZE)).astype(np.float32),
-            "t": rng.normal(0, 0.1, (SYMBOLS, SIZE)).astype(np.float32),
-            "c1": np.ones(SIZE, np.float32),
-            "c2": np.full(SIZE, 0.5, np.float32),
-            "b": np.log(self.p).astype(np.float32),
-        }
-        self.squares = {k: np.full_like(v, 1e-4) for k, v in self.theta.items()}
+        theta, squares = start or beginning(self.p)
+        self.theta, self.squares = ({k: v.astype(np.float32) for k, v in x.items()} for x in (theta, squares))
         self.seen = 0
 
     def _step(self, name: str, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
@@ -115,53 +116,70 @@ class Trainer:
             squares += grad * grad
             theta += RATE * grad / np.sqrt(squares)
             return
-        rows, inverse = np.unique(rows, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        heads = np.searchsorted(inverse[order], np.arange(len(rows)))
-        total = np.add.reduceat(grad[order], heads, axis=0)
-        squares[rows] += total * total
-        theta[rows] += RATE * total / np.sqrt(squares[rows])
+        order = np.argsort(rows, kind="stable")  # 16-bit keys: a radix sort
+        rows = rows[order]
+        heads = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        total, rows = np.add.reduceat(grad[order], heads, axis=0), rows[heads]
+        after = squares[rows] + total * total
+        squares[rows] = after
+        theta[rows] += RATE * total / np.sqrt(after)
 
     def batch(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         th, scale = self.theta, np.float32(1 / len(w))
-        noise = np.minimum(np.searchsorted(self.ends, self.rng.random(NOISE)), SYMBOLS - 1)
+        noise = np.minimum(np.searchsorted(self.ends, self.rng.random(NOISE)), SYMBOLS - 1).astype(np.uint16)
         r1, r2, tw, tn = th["r"][one], th["r"][two], th["t"][w], th["t"][noise]
-        q = r1 * th["c1"] + r2 * th["c2"]
-        data = (q * tw).sum(1) + th["b"][w] - self.log_noise[w]
-        other = q @ tn.T + th["b"][noise] - self.log_noise[noise]
+        q = np.ones((len(w), SIZE + 1), np.float32)
+        q[:, :SIZE] = r1 * th["c1"] + r2 * th["c2"]
+        data = np.einsum("ij,ij->i", q, tw) - self.log_noise[w]
+        other = q @ tn.T - self.log_noise[noise]
         gd = 1 / (1 + np.exp(np.clip(data, -30, 30)))
         gn = -1 / (1 + np.exp(-np.clip(other, -30, 30)))
-        gq = gd[:, None] * tw + gn @ tn
+        gq = (gd[:, None] * tw + gn @ tn)[:, :SIZE]
         self._step("t", np.concatenate((gd[:, None] * q, gn.T @ q)) * scale, np.concatenate((w, noise)))
-        self._step("b", np.concatenate((gd, gn.sum(0))) * scale, np.concatenate((w, noise)))
-        self._step("c1", (gq * r1).sum(0) * scale)
-        self._step("c2", (gq * r2).sum(0) * scale)
+        self._step("c1", np.einsum("ij,ij->j", gq, r1) * scale)
+        self._step("c2", np.einsum("ij,ij->j", gq, r2) * scale)
         self._step("r", np.concatenate((gq * th["c1"], gq * th["c2"])) * scale, np.concatenate((one, two)))
 
     def train(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         order = self.rng.permutation(len(w))
+        w, one, two = (x.astype(np.uint16)[order] for x in (w, one, two))
         for k in range(0, len(w), BATCH):
-            at = order[k : k + BATCH]
-            self.batch(w[at], one[at], two[at])
+            self.batch(w[k : k + BATCH], one[k : k + BATCH], two[k : k + BATCH])
         self.seen += len(w)
 
     def packed(self) -> np.ndarray:
-        return np.concatenate([self.theta[k].ravel() for k in ("r", "t", "c1", "c2", "b")]).astype(np.float64)
+        return packed(self.theta, self.squares)
+
+
+_SHAPES = {"r": (SYMBOLS, SIZE), "t": (SYMBOLS, SIZE + 1), "c1": (SIZE,), "c2": (SIZE,)}
+
+
+def beginning(p: np.ndarray, seed: int = 1) -> tuple[dict, dict]:
+    """Parameters and squares before any training: small vectors, and the logarithms of the unigram as biases."""
+    rng = np.random.default_rng(seed)
+    theta = {"r": rng.normal(0, 0.1, _SHAPES["r"]), "t": rng.normal(0, 0.1, _SHAPES["t"]), "c1": np.ones(SIZE), "c2": np.full(SIZE, 0.5)}
+    theta["t"][:, SIZE] = np.log(p)
+    return theta, {k: np.full(v, 1e-4) for k, v in _SHAPES.items()}
+
 
+def packed(theta: dict[str, np.ndarray], squares: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([x[k].ravel() for x in (theta, squares) for k in _SHAPES]).astype(np.float64)
 
-def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
-    shapes = {"r": (SYMBOLS, SIZE), "t": (SYMBOLS, SIZE), "c1": (SIZE,), "c2": (SIZE,), "b": (SYMBOLS,)}
-    out, at = {}, 0
-    for k, shape in shapes.items():
-        n = math.prod(shape)
-        out[k], at = flat[at : at + n].reshape(shape), at + n
+
+def unpacked(flat: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    out, at = ({}, {}), 0
+    for x in out:
+        for k, shape in _SHAPES.items():
+            n = math.prod(shape)
+            x[k], at = flat[at : at + n].reshape(shape), at + n
     return out
 
 
 def normalised(theta: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Scores by either context, bias, and log of the normaliser of each pair of contexts; START is never predicted."""
-    left, right = (theta["r"] * theta["c2"]) @ theta["t"].T, (theta["r"] * theta["c1"]) @ theta["t"].T
-    bias = theta["b"].copy()
+    t = theta["t"][:, :SIZE]
+    left, right = (theta["r"] * theta["c2"]) @ t.T, (theta["r"] * theta["c1"]) @ t.T
+    bias = theta["t"][:, SIZE].copy()
     bias[START] = -np.inf
     a, b = left.max(1), right.max(1)
     top = bias.max()
@@ -270,25 +288,46 @@ def _tails(short):
     return run
 
 
-def _train(short, unigram):
-    """For mapInArrow over (text): parameters after the task's texts, in parts, with the number of tokens."""
+_SUMS = "part int, seen long, sums binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(unigram.value)
-        cache = scan.Recent(200_000)
-        for part in scan.slices(batches, "text", 2 << 20):
-            tokens = scan.words(part.column(0))
+
+def _in_parts(flat: np.ndarray, seen: int) -> pa.RecordBatch:
+    parts = np.array_split(flat, PARTS)
+    columns = [pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([seen] * PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "seen", "sums"])
+
+
+def _train(short, unigram, start):
+    """For applyInArrow over a shard (key, text): the sums of its parameters, times its tokens, and the tokens.
+
+    Rows are put in the order of their hash and text before, so that the shard's training follows from its rows."""
+    cache = scan.Recent(200_000)
+
+    def run(table: pa.Table) -> pa.Table:
+        trainer = Trainer(unigram.value, start.value, 1 + table["shard"][0].as_py())
+        table = table.select(["key", "text"]).sort_by([("key", "ascending"), ("text", "ascending")])
+        for part in scan.slices(iter(table.combine_chunks().to_batches()), "text", 2 << 20):
+            tokens = scan.words(part.column(1))
             each = np.array(cache.many(tokens.values.to_pylist(), lambda w: symbols(short.value, w).tolist()), np.int64)
             w, one, two, _ = sequence(each[tokens.codes] if len(each) else np.zeros(0, np.int64), tokens.offsets)
             trainer.train(w, one, two)
-        if trainer.seen:
-            parts = np.array_split(trainer.packed() * trainer.seen, PARTS)
-            columns = [pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([trainer.seen] * PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "seen", "sums"])
+        return pa.Table.from_batches([_in_parts(trainer.packed() * trainer.seen, trainer.seen)])
 
     return run
 
 
+def _task_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: one sum for each part of a task's shards, so that as many rows as tasks are shuffled."""
+    seen, sums = 0, {}
+    for batch in batches:
+        for part, n, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            x = np.frombuffer(blob, np.float64)
+            sums[part] = x.copy() if part not in sums else sums[part] + x
+            seen += n if part == 0 else 0
+    if sums:
+        yield _in_parts(np.concatenate([sums[k] for k in range(PARTS)]), seen)
+
+
 def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One part of the parameters: sums over tasks."""
     seen, total = 0, None
@@ -299,6 +338,23 @@ def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "seen", "sums"])
 
 
+def _trained(rows: DataFrame, short, unigram: np.ndarray, n_tokens: int) -> dict[str, np.ndarray]:
+    """Parameters after all rounds. rows: key, text."""
+    spark = rows.sparkSession
+    shards = max(1, math.ceil(n_tokens / SHARD_TOKENS))
+    noise, state = spark.sparkContext.broadcast(unigram), beginning(unigram / unigram.sum())
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key", "text"), F.lit(shards)).cast("int"))
+    for r in range(min(ROUNDS, shards)):
+        start = spark.sparkContext.broadcast(state)
+        some = dealt.filter(F.col("shard") % min(ROUNDS, shards) == r)
+        sums = some.groupBy("shard").applyInArrow(_train(short, noise, start), _SUMS).mapInArrow(_task_sums, _SUMS)
+        parts = sorted(sums.groupBy("part").applyInArrow(_added, _SUMS).collect(), key=lambda x: x["part"])
+        if parts and parts[0]["seen"]:
+            state = unpacked(np.concatenate([np.frombuffer(bytes(x["sums"]), np.float64) / x["seen"] for x in parts]))
+        durable.release(spark)
+    return state[0]
+
+
 @dataclass(frozen=True)
 class Trained:
     """model: for executors; totals: the table of word counts; tokens, words: of all training texts."""
@@ -310,12 +366,13 @@ class Trained:
     buckets: int
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Trained:
-    """Counts and trains on all rows of docs."""
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Trained:
+    """Counts and trains on all rows of docs. Buckets of words are as many as the texts' bytes ask for."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("text"))
-    buckets = durable.partitions(spark) * 2
-    totals = texts.mapInArrow(_count(buckets), _COUNTS).groupBy("bucket").applyInArrow(_total, _COUNTS)
+    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(durable.partitions(spark) * 2, -(-n_bytes // BUCKET_BYTES))
+    totals = texts.select("text").mapInArrow(_count(buckets), _COUNTS).groupBy("bucket").applyInArrow(_total, _COUNTS)
     totals = durable.stored(totals, "words")
     top, n_tokens, n_words = _short_list(totals, buckets)
     short = {bytes(r["word"]): 2 + k for k, r in enumerate(top)}
@@ -328,12 +385,9 @@ def fit(docs: DataFrame, text_col: str = "text") -> Trained:
     unigram[2 : 2 + len(top)] += [r["times"] for r in top]
     unigram[FIRST_CLASS:] += tail[0]
     unigram[END] += n_tokens - sum(r["times"] for r in top) - tail[0].sum()
-    noise = spark.sparkContext.broadcast(unigram)
-    parts = texts.mapInArrow(_train(shared, noise), "part int, seen long, sums binary").groupBy("part").applyInArrow(_added, "part int, seen long, sums binary")
-    rows = sorted(parts.collect(), key=lambda r: r["part"])
-    flat = np.concatenate([np.frombuffer(bytes(r["sums"]), np.float64) / r["seen"] for r in rows]) if rows else Trainer(unigram).packed()
+    theta = _trained(texts, shared, unigram, n_tokens)
     discount = np.clip(tail[2] / np.maximum(tail[2] + 2 * tail[3], 1), 0.1, 0.9)
-    model = Model(short, *normalised(unpacked(flat)), discount, tail[0], tail[1])
+    model = Model(short, *normalised(theta), discount, tail[0], tail[1])
     return Trained(model, totals, n_tokens, n_words, buckets)
 
 
@@ -412,4 +466,4 @@ def score(docs: DataFrame, trained: Trained, folds: int = 7, fold: int = 2, id_c
 
 def fit_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learns from the rows outside the held-out fold and scores all rows."""
-    return score(docs, fit(docs.filter(~held_out(F.col(id_col), folds, fold)), text_col), folds, fold, id_col, text_col)
+    return score(docs, fit(docs.filter(~held_out(F.col(id_col), folds, fold)), text_col, id_col), folds, fold, id_col, text_col)

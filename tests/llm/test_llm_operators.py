@@ -451,11 +451,55 @@ def test_language_model_is_normalised():
     trainer = language.Trainer(np.ones(language.SYMBOLS))
     w = np.random.default_rng(0).integers(1, language.SYMBOLS, 3000)
     trainer.train(w[2:], w[1:-1], w[:-2])
-    left, right, bias, norm = language.normalised(language.unpacked(trainer.packed()))
+    left, right, bias, norm = language.normalised(language.unpacked(trainer.packed())[0])
     for a, b in ((0, 0), (5, 9), (700, 1000)):
         assert np.exp(left[a] + right[b] + bias - norm[a, b]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_language_scores_equal_brute_force(spark, docs, rows):
+    """Scores by plain loops over the trained parameters: symbol by symbol, each distribution summed up."""
+    train = docs.filter(~language.held_out(F.col("doc_id"), 7, 2))
+    trained = language.fit(train)
+    m = trained.model
+    got = {r["doc_id"]: r["score"] for r in language.score(docs, trained).collect()}
+    split = {i: [x.encode() for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(LOWER)) if x] for i, t in rows}
+    count = collections.Counter(w for i, ws in split.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+
+    def symbol(w):
+        return m.short[w] if w in m.short else language.FIRST_CLASS + language.tail_class(w)
+
+    tail = [[c for w, c in count.items() if w not in m.short and language.tail_class(w) == k] for k in range(language.CLASSES)]
+    left, right, bias = (x.astype(np.float64) for x in (m.left, m.right, m.bias))
+    for i in list(split)[:25]:
+        total, seen = 0.0, [language.START, language.START]
+        for w in [*split[i], None]:
+            x = language.END if w is None else symbol(w)
+            z = left[seen[-2]] + right[seen[-1]] + bias
+            total += z[x] - math.log(np.exp(z - z.max()).sum()) - z.max()
+            if x >= language.FIRST_CLASS:
+                counts = tail[x - language.FIRST_CLASS]
+                once, twice = counts.count(1), counts.count(2)
+                d = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
+                mass = (count[w] - d) / sum(counts) if count[w] else d * len(counts) / sum(counts) if counts else 1.0
+                total += math.log(mass)
+            seen.append(x)
+        assert got[i] == pytest.approx(total / math.log(10), rel=1e-4, abs=1e-3)
+
+
+def test_language_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(language, "SHARD_TOKENS", 2000)
+    twice = docs.unionByName(docs.limit(3))
+    one, seven = ({(r["doc_id"], round(r["base_score"], 6)): r["score"] for r in language.fit_and_score(twice.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == seven.keys()
+    assert all(one[k] == pytest.approx(seven[k], rel=1e-6) for k in one)
+
+
+def test_language_model_without_training_text(spark):
+    held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 7 == 2]
+    got = language.fit_and_score(spark.createDataFrame([(k, "some words") for k in held], "doc_id long, text string")).collect()
+    assert {(r["n_tokens"], r["n_known"], r["train_tokens"], r["score"], r["base_score"]) for r in got} == {(3, 0, 0, 0.0, 0.0)}
+
+
 def test_noise_samples():
     trainer = language.Trainer(np.ones(language.SYMBOLS))
     assert np.allclose(trainer.log_noise, np.log(32 / language.SYMBOLS), atol=1e-5)
