@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import gc
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.store import shared_folder, stored
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; where it is unset (tests on one machine) a temporary folder is used."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quillspan-"))
-    return folder.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["documents", "partitions", "release", "shared_folder", "stored"]
 
 
 def release(spark: SparkSession) -> None:
@@ -41,16 +21,6 @@ def release(spark: SparkSession) -> None:
     time.sleep(0.5)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: later steps depend on those files alone, so a lost
-    executor costs no earlier step. The files go when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
