@@ -123,10 +123,10 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str =
 
 def without_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_groups keeps, with all their columns; of wholly repeated rows one stays."""
-    kept = exact_groups(docs, block_bytes, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_text"))
+    kept = exact_groups(docs, block_bytes, id_col, text_col).filter("kept").select("doc_id", "text_sha256")
     normal = F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    rows = docs.withColumn("_digest", F.sha2(normal, 256))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("_text"))
-    once = Window.partitionBy("_digest", id_col).orderBy(id_col)
-    rows = rows.join(durable.stored(kept, "kept").hint("merge"), same, "left_semi").withColumn("_again", F.row_number().over(once))
-    return rows.filter("_again = 1").drop("_again", "_digest")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(normal, 256).alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("text_sha256"))
+    once = Window.partitionBy("digest", "id").orderBy("id")
+    rows = packed.join(durable.stored(kept, "kept").hint("merge"), same, "left_semi").withColumn("again", F.row_number().over(once))
+    return rows.filter("again = 1").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
