@@ -312,9 +312,6 @@ def merged(lists: list[np.ndarray], least: int) -> list[int]:
     """Numbers that stand in at least `least` of the sorted lists: a heap of the lists' next numbers."""
     if least == 1 and len(lists) == 1:
         return lists[0].tolist()
-    if sum(map(len, lists)) > 20_000:
-        values, counts = np.unique(np.concatenate(lists), return_counts=True)
-        return values[counts >= least].tolist()
     out, last, count = [], -1, 0
     for x in heapq.merge(*(x.tolist() for x in lists)):
         if x != last:
@@ -351,7 +348,7 @@ def forest(sets: list[np.ndarray], percent: int, split: int | None = None) -> li
         long = min(t - 1, int(t / (0.01 * np.log2(max(2, lengths.max(initial=1))) + 1)))
         short = mine[by_length[: len(mine) - long]]
         lists = [index[starts[c] : starts[c + 1]] for c in short]
-        lists = [y for y in (y[(y >= low) & (y < high)] for y in lists) if len(y)]
+        lists = [y for y in (y[(y >= low) & (y < high) & (parts.root[y] != parts.root[x])] for y in lists) if len(y)]
         if len(lists) < t - long:
             continue
         probes = np.sort(values[mine[by_length[len(mine) - long :]]])
@@ -436,5 +433,5 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with all their columns."""
     keep = similar_groups(docs, k, percent, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = durable.stored(keep.select(F.col("doc_id").alias("_keep")).distinct(), "keep")
-    return docs.join(keep.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    keep = durable.stored(keep.select("doc_id").distinct(), "keep").alias("keep").hint("merge")
+    return docs.alias("docs").join(keep, F.col(f"docs.`{id_col}`").cast("long").eqNullSafe(F.col("keep.doc_id")), "left_semi")
