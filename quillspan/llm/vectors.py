@@ -83,8 +83,8 @@ def _unit(blobs: list[bytes]) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _names(cosine: float, directions: int, tables: int):
-    """For mapInArrow over (node, n, vector): an entry for each table."""
+def _names(directions: int, tables: int):
+    """For mapInArrow over (node, n, vector): adds the names of the vector's bucket in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
@@ -92,10 +92,7 @@ def _names(cosine: float, directions: int, tables: int):
             for size in sorted({len(b) for b in blobs}):
                 at = [k for k, b in enumerate(blobs) if len(b) == size]
                 names = bucket_names(_unit([blobs[k] for k in at]), directions, tables)
-                some = part.take(pa.array(np.repeat(at, tables)))
-                every = pa.array([n.tobytes() for n in names], pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), tables)))
-                columns = [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))), pa.array(names.ravel()), *some.columns, every]
-                yield pa.RecordBatch.from_arrays(columns, ["table", "name", "node", "n", "vector", "names"])
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(at)).columns, pa.array(list(names), pa.list_(pa.int64()))], ["node", "n", "vector", "names"])
 
     return run
 
@@ -105,7 +102,8 @@ def _compare(cosine: float):
         table = table.sort_by([("table", "ascending"), ("name", "ascending"), ("chunk", "ascending"), ("node", "ascending")])
         number, name, chunk = (table[c].to_numpy() for c in ("table", "name", "chunk"))
         nodes, n = table["node"].to_numpy(), table["n"].to_numpy()
-        blobs, names = table["vector"].to_pylist(), table["names"].to_pylist()
+        blobs = table["vector"].to_pylist()
+        names = table["names"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         edge = np.flatnonzero((name[1:] != name[:-1]) | (number[1:] != number[:-1])) + 1
         out_node, out_links, out_other = [], [], []
         for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(name)], strict=True):
@@ -121,7 +119,7 @@ def _compare(cosine: float):
                 near[:cut, cut:] = cos[:cut, cut:] >= cosine
             i, j = np.nonzero(near)
             if t := int(number[a]):
-                keys = np.frombuffer(b"".join(names[a:b]), np.int64).reshape(b - a, -1)[:, :t]
+                keys = names[a:b, :t]
                 fresh = np.concatenate([~(keys[i[k : k + 8192]] == keys[j[k : k + 8192]]).any(1) for k in range(0, max(1, len(i)), 8192)])
                 i, j = i[fresh], j[fresh]
             if not len(i):
@@ -155,14 +153,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     classes = durable.stored(classes, "classes")
     reps = durable.stored(classes.join(rows.select(F.col("row").alias("node"), "vector"), "node").select("node", "n", "vector"), "reps")
     directions, tables = plan(reps.count(), cosine)
-    entries = reps.mapInArrow(_names(cosine, directions, tables), "table int, name long, node long, n long, vector binary, names binary")
+    # Only names of buckets are dealt out; a vector follows to the buckets where it meets another one.
+    reps = durable.stored(reps.mapInArrow(_names(directions, tables), "node long, n long, vector binary, names array<long>"), "bucketed")
+    entries = reps.select("node", F.posexplode("names").alias("table", "name"))
     chunks = F.ceil(F.col("size") / F.least(F.greatest(F.col("size") / 16, F.lit(CHUNK)), F.lit(LARGEST_CHUNK))).cast("int")
     sized = entries.groupBy("table", "name").agg(F.count("*").alias("size")).filter("size > 1").select("table", "name", chunks.alias("chunks"))
-    met = entries.join(durable.stored(sized, "sized"), ["table", "name"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = entries.join(durable.stored(sized, "sized").hint("merge"), ["table", "name"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     low, high = F.least("chunk", "with"), F.greatest("chunk", "with")
     task = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("table", "name"), F.lit(durable.partitions(spark) * 8))).otherwise(F.xxhash64("table", "name", low, high))
-    dealt = dealt.select("table", "name", "chunk", "node", "n", "vector", "names", task.alias("task"))
+    dealt = met.select("table", "name", "chunk", "node", task.alias("task")).join(reps.hint("merge"), "node")
     found = durable.stored(dealt.groupBy("task").applyInArrow(_compare(cosine), "node long, links long, other long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = graph.components(found.filter("other IS NOT NULL").select(F.col("node").alias("src"), F.col("other").alias("dst")))
