@@ -39,7 +39,8 @@ def registry(raw: DataFrame, key: str = "doc_id") -> DataFrame:
     """One candidate for each key, label and span, numbered in order of acceptance.
 
     raw: key, label, start, end, text, origin, origin_ord (experts by their place, then generated spans), expert
-    (null for generated ones), confidence, threshold. Experts' maxima, last thresholds and sorted names are merged."""
+    (null for generated ones), confidence. Experts' highest confidences and sorted names are merged; registered() also
+    normalises, validates and keeps thresholds and a log."""
     is_expert = F.col("expert").isNotNull()
     pair = F.when(is_expert, F.struct("expert", "confidence"))
     grouped = raw.groupBy(key, "label", "start", "end").agg(
@@ -58,6 +59,44 @@ def registry(raw: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def registered(raw: DataFrame, sources: DataFrame, normalise: bool = False, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The registry of raw spans, and the log of what became of each.
+
+    raw: key, ord (order of arrival), label, start, end, text, expert (null for generated spans), confidence, threshold,
+    section, origin. normalise: boundaries are first set by label. Valid spans of equal place are one candidate: the
+    first one's origin and section, of each expert the highest confidence and the last threshold, all experts by name,
+    and how many experts' spans were merged. Later generated spans of the place are logged as duplicates."""
+    rows = raw
+    if normalise:
+        fixed = R.repaired(F.col("label"), F.struct("start", "end", "text"))
+        rows = rows.withColumn("_r", fixed).withColumn("normalised", (F.col("_r.start") != F.col("start")) | (F.col("_r.end") != F.col("end")))
+        rows = rows.withColumns({c: F.col(f"_r.{c}") for c in ("start", "end", "text")}).drop("_r")
+    else:
+        rows = rows.withColumn("normalised", F.lit(False))
+    rows = validated(rows, sources, key=key)
+    place = Window.partitionBy(key, "label", "start", "end", "reason").orderBy("ord")
+    first = (F.col("reason") == "accepted") & (F.row_number().over(place) == 1)
+    rows = rows.withColumn("first", first)
+    decision = F.when(F.col("reason") != "accepted", F.col("reason")).when(F.col("first"), "accepted").when(F.col("expert").isNotNull(), "merged_duplicate").otherwise("duplicate_exact_span")
+    log = rows.select(key, "ord", "label", "start", "end", "text", "origin", "normalised", decision.alias("decision"))
+    good = rows.filter("reason = 'accepted' AND (first OR expert IS NOT NULL)")
+    said = F.when(F.col("expert").isNotNull(), F.struct("expert", "ord", "confidence", "threshold"))
+    merged = good.groupBy(key, "label", "start", "end").agg(
+        F.min("text").alias("text"), F.min("ord").alias("ord"), F.min_by("origin", "ord").alias("origin"), F.min_by("section", "ord").alias("section"), F.min_by("normalised", "ord").alias("normalised"),
+        F.array_sort(F.collect_set("expert")).alias("proposed_by_experts"), F.collect_list(said).alias("said"), (F.count("*") - 1).alias("merged"),
+    )
+    of = lambda e: F.filter("said", lambda s: s["expert"] == e)
+    best = F.map_from_entries(F.transform("proposed_by_experts", lambda e: F.struct(e, F.array_max(F.transform(of(e), lambda s: s["confidence"])))))
+    last = F.map_from_entries(F.transform("proposed_by_experts", lambda e: F.struct(e, F.array_max(F.transform(of(e), lambda s: F.struct(s["ord"], s["threshold"])))["threshold"])))
+    number = F.row_number().over(Window.partitionBy(key, "label").orderBy("ord"))
+    prefix = F.element_at(F.create_map(*(F.lit(x) for kv in L.PREFIX.items() for x in kv)), F.col("label"))
+    out = merged.select(
+        key, "label", "start", "end", "text", "origin", "section", "normalised", "proposed_by_experts", best.alias("confidence_by_expert"), last.alias("threshold_by_expert"),
+        "merged", F.format_string("%s-C%04d", prefix, number).alias("candidate_id"), number.alias("number"),
+    )
+    return out, log
+
+
 def validated(candidates: DataFrame, sources: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """candidates with reason (accepted or why not) and severity; a candidate without source text has invalid offsets."""
     joined = candidates.join(sources.select(key, F.col(text).alias("_source")), key, "left")

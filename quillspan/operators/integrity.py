@@ -32,3 +32,43 @@ def violations(final: DataFrame, registry: DataFrame, sources: DataFrame, text:
     found = rows.select(F.explode(broken).alias("rule"), key, "label", "candidate_id")
     twice = final.groupBy(key, "label", "candidate_id").count().filter("count > 1").select(F.lit("repeated_candidate").alias("rule"), key, "label", "candidate_id")
     return found.unionByName(twice)
+
+
+def support_violations(final: DataFrame, matrix: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Final candidates under the strict policy that not all roles keep, where their label has votes at all."""
+    from .votes import ROLES
+
+    keys = [key, "label", "candidate_id"]
+    keeps = sum((F.col(r) == "keep").cast("int") for r in ROLES)
+    rows = final.select(*keys).join(matrix.select(key, "label").distinct(), [key, "label"], "left_semi").join(matrix.select(*keys, keeps.alias("_keeps")), keys, "left")
+    return rows.filter(F.coalesce("_keeps", F.lit(0)) < len(ROLES)).select(F.lit("not_supported_by_all_roles").alias("rule"), *keys)
+
+
+def order_violations(by_label: DataFrame, flat: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents whose flat list of final ids (key, pos, candidate_id) isn't their lists by label (key, label, pos,
+    candidate_id) one after the other, in the order of labels."""
+    from .candidates import label_ord
+
+    a = by_label.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(label_ord(F.col("label")).alias("o"), "pos", "candidate_id"))), lambda x: x["candidate_id"]).alias("_a"))
+    b = flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "candidate_id"))), lambda x: x["candidate_id"]).alias("_b"))
+    none = F.array().cast("array<string>")
+    rows = a.join(b, key, "full").filter(F.coalesce("_a", none) != F.coalesce("_b", none))
+    return rows.select(F.lit("lists_differ").alias("rule"), key, F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("candidate_id"))
+
+
+def status_violations(labels: DataFrame, final: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Claims that don't hold. labels: key, label, consensus (one row a label of each document); documents: key,
+    overall_consensus, unresolved (ids), summaries (variant-like map of summary names to their fields, null for none)."""
+    chosen = final.select(key, "label").distinct().withColumn("_chosen", F.lit(True))
+    claimed = labels.join(chosen, [key, "label"], "left").filter(F.col("consensus") & F.col("_chosen").isNull())
+    counts = labels.filter(F.col("label").isin(L.LABELS)).groupBy(key).agg(F.count_distinct("label").alias("_n"))
+    short = documents.select(key).join(counts, key, "left").filter(F.coalesce("_n", F.lit(0)) < len(L.LABELS))
+    early = documents.filter(F.col("overall_consensus") & (F.size("unresolved") > 0))
+    spans = documents.filter(F.col("summaries").isNotNull() & F.exists(F.map_values("summaries"), lambda f: F.array_contains(f, "start")))
+    declared = F.map_contains_key("summaries", "summary_based_on_final_spans") | F.map_contains_key("summaries", "summary_based_on_strict_unanimous_spans")
+    bare = documents.filter(F.col("summaries").isNotNull() & (F.size("summaries") > 0) & ~declared)
+    none = F.lit(None).cast("string")
+    out = claimed.select(F.lit("consensus_without_selection").alias("rule"), key, "label", none.alias("candidate_id"))
+    for rule, rows in (("labels_missing", short), ("consensus_with_unresolved", early), ("summary_holds_spans", spans), ("summary_without_provenance", bare)):
+        out = out.unionByName(rows.select(F.lit(rule).alias("rule"), key, none.alias("label"), none.alias("candidate_id")))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +10,10 @@ from ..functions import text as T
 
 
 def _exact_hits(source: Column, text: Column) -> Column:
-    """Offsets of all occurrences, overlapping ones too."""
-    last = F.length(source) - F.length(text)
-    places = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(source, i + 1, F.length(text)) == text)
-    return F.when((last >= 0) & (F.length(text) > 0), places).otherwise(F.array().cast("array<int>"))
+    """Offsets of all occurrences, overlapping ones too: the text is split before each of them, in one pass."""
+    ahead = F.concat(F.lit("(?=\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    places = T.let(F.split(source, ahead, -1), lambda pieces: F.filter(T.starts(pieces), lambda s: (s > 0) | source.startswith(text)))
+    return F.when(F.length(text) > 0, places).otherwise(F.array().cast("array<int>"))
 
 
 def _flexible_hits(source: Column, text: Column) -> Column:
@@ -33,10 +34,10 @@ def _nearest(hits: Column, start: Column) -> Column:
 def realigned(gold: DataFrame, sources: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """gold (key, label, start, end, text) with new offsets and how they came about.
 
-    Kept when the offsets give the text; else the nearest exact occurrence, else the nearest one with other white
+    Escaped newlines of an annotation's text are newlines. Kept when the offsets give the text; else the nearest exact occurrence, else the nearest one with other white
     space; else the offsets stay when the texts are equivalent or at least valid (mismatch), and go when not."""
-    rows = gold.join(sources.select(key, F.col(text).alias("_source")), key)
-    source, wanted, start, end = F.col("_source"), F.col("text"), F.col("start"), F.col("end")
+    rows = gold.join(sources.select(key, F.col(text).alias("_source")), key).withColumn("_wanted", T.annotated(F.col("text")))
+    source, wanted, start, end = F.col("_source"), F.col("_wanted"), F.col("start"), F.col("end")
     valid = (start >= 0) & (end > start) & (end <= F.length(source))
     there = F.substring(source, start + 1, end - start)
     same = valid & (there == wanted)
@@ -52,6 +53,20 @@ def realigned(gold: DataFrame, sources: DataFrame, text: str = "text", key: str
     return rows.select(key, "label", "start", "end", "text", new_start.alias("new_start"), new_end.alias("new_end"), how.alias("status"), T.offset_distance(start, new_start).alias("moved"))
 
 
+def gold_keys(file: Column, name: Column, index: Column) -> Column:
+    """By what a gold record can be found: its number, its name, its file with and without ending."""
+    stem = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    return F.array_distinct(F.array(index.cast("string"), name, T.safe_name(file), T.safe_name(stem)))
+
+
+def prediction_keys(index: Column, name: Column, input_type: Column, file: Column) -> Column:
+    """By what a prediction can be found: its number and name, and its file where it didn't come from JSON records."""
+    stem = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    other = F.coalesce(input_type != "json", F.lit(True))
+    values = F.array(index.cast("string"), name, F.when(other, file), F.when(other, stem))
+    return F.array_distinct(F.transform(F.filter(values, lambda v: v.isNotNull() & (v != "")), T.safe_name))
+
+
 def aligned(gold: DataFrame, predicted: DataFrame, gold_key: str, predicted_key: str, keys: str = "keys") -> DataFrame:
     """gold_key, predicted_key (only where exactly one prediction shares a key), matches (how many do)."""
     a = gold.select(gold_key, F.explode_outer(keys).alias("k")).distinct()
@@ -59,3 +74,35 @@ def aligned(gold: DataFrame, predicted: DataFrame, gold_key: str, predicted_key:
     pairs = a.join(b, "k", "left").select(gold_key, predicted_key).distinct()
     sums = pairs.groupBy(gold_key).agg(F.count(predicted_key).alias("matches"), F.min(predicted_key).alias(predicted_key))
     return sums.select(gold_key, F.when(F.col("matches") == 1, F.col(predicted_key)).alias(predicted_key), "matches")
+
+
+def _taken(batches):
+    """For mapInArrow over (gold, found) lists: gold in order takes its only prediction that is left."""
+    for part in batches:
+        rows = []
+        for scope, pairs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            used: set = set()
+            for p in sorted(pairs, key=lambda p: p["place"]):
+                left = [f for f in p["found"] or [] if f not in used]
+                if len(left) == 1:
+                    used.add(left[0])
+                rows.append((scope, p["place"], left[0] if len(left) == 1 else None, len(left)))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["scope", "place", "prediction", "matches"])
+
+
+def aligned_in_order(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """scope, place, prediction, matches: as aligned(), but a prediction that is taken no longer counts for later gold.
+
+    gold: scope (a gold file), place, keys; predicted: prediction, source_file, keys. A scope's gold meets the predictions
+    whose source file it is, or all where there is none. Scopes are independent."""
+    own = predicted.join(gold.select(F.col("scope").alias("source_file")).distinct(), "source_file", "left_semi").select("source_file").distinct()
+    scoped = gold.join(own.select(F.col("source_file").alias("scope"), F.lit(True).alias("own")), "scope", "left")
+    a = scoped.select("scope", "place", "own", F.explode_outer("keys").alias("k"))
+    b = predicted.select("prediction", "source_file", F.explode("keys").alias("k"))
+    fits = F.col("own").isNull() | (F.col("scope") == F.col("source_file"))
+    pairs = a.join(b, "k", "left").select("scope", "place", F.when(fits, F.col("prediction")).alias("prediction")).distinct()
+    found = pairs.groupBy("scope", "place").agg(F.array_sort(F.collect_set("prediction")).alias("found"))
+    lists = found.groupBy("scope").agg(F.collect_list(F.struct(F.col("place").cast("long").alias("place"), F.transform("found", lambda x: x.cast("long")).alias("found"))).alias("pairs"))
+    return lists.select("scope", "pairs").mapInArrow(_taken, "scope string, place long, prediction long, matches long")

@@ -1,4 +1,4 @@
-"""Expansion requests: exact quotes looked up in their regions, outcomes with reasons, and a ledger of what was asked."""
+"""Requests of reviewers and the meta agent merged, and candidates in batches that fit a prompt."""
 
 from __future__ import annotations
 
@@ -6,50 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-SIGNATURE = ["label", "requested_operation", "proposed_text", "sentence_id", "parent_candidate_id"]
-MARGIN = 300
-
-
-def _hits(region: Column, quote: Column) -> Column:
-    """Number of literal occurrences that do not overlap, and the first one's place (from 0)."""
-    gone = F.length(region) - F.length(F.replace(region, quote, F.lit("")))
-    return F.struct(F.floor(gone / F.length(quote)).cast("int").alias("n"), (F.position(quote, region) - 1).alias("at"))
-
-
-def resolved(requests: DataFrame, sources: DataFrame, units: DataFrame, registry: DataFrame, key: str = "doc_id") -> DataFrame:
-    """requests (key, request_id and SIGNATURE) with status, reason and the span found.
-
-    A quote is looked for in the named sentence, else around the parent (300 characters each side), else in the whole
-    text. One hit appends a candidate or names the one that exists; none or several leave the request unresolved."""
-    rows = requests.join(sources.select(key, F.col("text").alias("_source")), key, "left")
-    rows = rows.join(units.select(key, "sentence_id", F.col("start").alias("_us"), F.col("end").alias("_ue")), [key, "sentence_id"], "left")
-    parents = registry.select(key, F.col("candidate_id").alias("parent_candidate_id"), F.col("start").alias("_ps"), F.col("end").alias("_pe"))
-    rows = rows.join(parents, [key, "parent_candidate_id"], "left")
-    low = F.coalesce("_us", F.greatest(F.col("_ps") - MARGIN, F.lit(0)), F.lit(0))
-    high = F.coalesce(F.col("_ue"), F.col("_pe") + MARGIN, F.length("_source"))
-    quote = F.col("proposed_text")
-    rows = rows.withColumn("_low", low).withColumn("_hit", _hits(F.substring("_source", low + 1, high - low), quote))
-    start = F.when(F.col("_hit.n") == 1, F.col("_low") + F.col("_hit.at"))
-    rows = rows.withColumn("start", start).withColumn("end", F.col("start") + F.length(quote))
-    known = registry.select(key, "label", "start", "end", F.col("candidate_id").alias("_existing"))
-    rows = rows.join(known, [key, "label", "start", "end"], "left")
-    empty = quote.isNull() | (F.trim(quote) == "")
-    status = F.when(empty | F.col("start").isNull(), "unresolved").when(F.col("_existing").isNotNull(), "already_exists").otherwise("candidate_appended")
-    reason = F.when(empty, "no_proposed_text").when(F.col("_hit.n") == 0, "proposed_text_not_found").when(F.col("_hit.n") > 1, "ambiguous_proposed_text")
-    return rows.select(key, "request_id", *SIGNATURE, "start", "end", F.col("_existing").alias("candidate_id"), status.alias("status"), reason.alias("reason"))
-
-
-def with_ledger(requests: DataFrame, ledger: DataFrame, key: str = "doc_id") -> DataFrame:
-    """requests with the status of an equal earlier request (nulls are equal to nulls), null for new ones.
-
-    ledger: key, SIGNATURE, status. An earlier success reads previously_resolved, anything else previously_unresolved."""
-    known = ledger.groupBy(key, *SIGNATURE).agg(F.max((F.col("status") != "unresolved").cast("int")).alias("_ok")).alias("l")
-    same = F.col(f"r.{key}") == F.col(f"l.{key}")
-    for c in SIGNATURE:
-        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}"))
-    joined = requests.alias("r").join(known, same, "left")
-    return joined.select("r.*", F.when(F.col("l._ok") == 1, "previously_resolved").when(F.col("l._ok") == 0, "previously_unresolved").alias("earlier"))
+from .expansion import SIGNATURE
 
 
 def merged(doctors: DataFrame, meta: DataFrame, most: int, key: str = "doc_id") -> DataFrame:

@@ -147,6 +147,61 @@ def calibrated(rows: DataFrame, configs: DataFrame, key: str = "doc_id") -> Data
     return signatures.join(folded, [key, "label", "numbers"]).select("config_id", key, "label", F.posexplode("ids").alias("pos", "candidate_id"))
 
 
+def known(ids: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Given ids (key, label, pos, candidate_id) that the registry holds, in their order."""
+    return ids.join(rows.select(key, "label", "candidate_id").distinct(), [key, "label", "candidate_id"], "left_semi").select(key, "label", "pos", "candidate_id")
+
+
+def strict(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, label, pos, candidate_id: what all roles keep with good borders, without contained spans."""
+    items = grouped(rows.filter((F.col("keeps") == len(V.ROLES)) & F.col("issue").isNull()), ["number"], key)
+    return _picked(items, without_contained(F.col("items"), F.col("label")), key)
+
+
+def by_mode(rows: DataFrame, strict_ids: DataFrame | None = None, recommended: DataFrame | None = None, rules: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """mode, key, label, pos, candidate_id of all ten modes: strict, recommended and calibrated ones as far as they are given."""
+    parts = {name: mode(rows, name, key) for name in MODES}
+    if strict_ids is not None:
+        parts["strict"] = strict_ids
+    if recommended is not None:
+        parts["recommended"] = recommended
+    if rules is not None:
+        parts["calibrated"] = calibrated(rows, rules.withColumn("config_id", F.lit(0)), key)
+    out = None
+    for name, ids in parts.items():
+        one = ids.select(F.lit(name).alias("mode"), key, "label", "pos", "candidate_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SOURCE_MODES = ("recommended", "registry_all", "registry_filtered", "expert_consensus_verified", "pubmedbert_plus_verified")
+
+
+def by_source_mode(rows: DataFrame, rules: DataFrame, recommended: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """key, label, pos, candidate_id: each label by the mode that its rule names, any other name by the rule itself.
+
+    rules: one row a label, with source_mode and the fields of calibrated(); seven rows bound the broadcasts."""
+    out = None
+    for name in SOURCE_MODES:
+        of = F.broadcast(rules.filter(F.col("source_mode") == name).select("label"))
+        if name == "recommended":
+            if recommended is None:
+                continue
+            ids = known(recommended.join(of, "label", "left_semi"), rows, key)
+        else:
+            ids = mode(rows.join(of, "label", "left_semi"), name, key).select(key, "label", "pos", "candidate_id")
+        out = ids if out is None else out.unionByName(ids)
+    rest = rules.filter(~F.coalesce(F.col("source_mode").isin(*SOURCE_MODES), F.lit(False))).withColumn("config_id", F.lit(0))
+    return out.unionByName(calibrated(rows, rest, key).select(key, "label", "pos", "candidate_id"))
+
+
+def applied(rows: DataFrame, rules: DataFrame, recommended: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """key, label, pos, candidate_id, start, end, text: final spans of a configuration. cross_label_conflicts() of these
+    are the conflicts; a consensus is never claimed for them."""
+    ids = by_source_mode(rows, rules, recommended, key)
+    return ids.join(rows.select(key, "label", "candidate_id", "start", "end", "text"), [key, "label", "candidate_id"])
+
+
 def cross_label_conflicts(spans: DataFrame, key: str = "doc_id", least: float = 0.8) -> DataFrame:
     """Pairs of selected spans of different labels in one document that are equal or overlap heavily."""
     from .candidates import label_ord

@@ -14,13 +14,50 @@ ROLES = L.EXPERTS
 
 def review_partition(reviews: DataFrame) -> DataFrame:
     """reviews (keep_ids, reject_ids, assigned_ids) with unknown, overlap and missing ids, emptiness and validity."""
-    keep, reject = (F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != "")) for c in ("keep_ids", "reject_ids"))
+    keep, reject = (F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")) for c in ("keep_ids", "reject_ids"))
     sent = F.array_union(keep, reject)
     out = reviews.withColumn("unknown_ids", F.array_sort(F.array_except(sent, "assigned_ids"))).withColumn("overlap_ids", F.array_sort(F.array_intersect(keep, reject)))
     out = out.withColumn("missing_ids", F.array_except("assigned_ids", sent)).withColumn("empty_review", (F.size("assigned_ids") > 0) & (F.size(sent) == 0))
     return out.withColumn("valid", (F.size("unknown_ids") == 0) & (F.size("overlap_ids") == 0) & (F.size("missing_ids") == 0) & ~F.col("empty_review"))
 
 
+def normalized_review(reviews: DataFrame) -> DataFrame:
+    """reviews (decisions, keep_ids, reject_ids, assigned_ids) with lists of kept and rejected ids, their validation, and
+    the map `decided`, which is empty where ids are unknown or contradict each other, or nothing was sent.
+
+    The lists of ids count only where the decisions hold no keep and no reject."""
+    of = lambda what: F.coalesce(F.transform(F.filter("decisions", lambda d: d["decision"] == what), lambda d: F.trim(d["candidate_id"])), F.array().cast("array<string>"))
+    both = F.size(of("keep")) + F.size(of("reject")) == 0
+    lists = {c: F.when(both, F.coalesce(F.col(c), F.array().cast("array<string>"))).otherwise(of(what)) for c, what in (("keep_ids", "keep"), ("reject_ids", "reject"))}
+    out = review_partition(reviews.withColumns(lists))
+    usable = (F.size("unknown_ids") == 0) & (F.size("overlap_ids") == 0) & ~F.col("empty_review")
+    known = lambda c, what: F.transform(F.filter(F.array_distinct(F.transform(c, lambda x: F.trim(x))), lambda x: F.array_contains("assigned_ids", x)), lambda x: F.struct(x.alias("key"), F.lit(what).alias("value")))
+    pairs = F.when(usable, F.concat(known("keep_ids", "keep"), known("reject_ids", "reject"))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    return out.withColumn("decided", F.map_from_entries(pairs))
+
+
+def expert_of_role(role: Column) -> Column:
+    """The expert whose name a role is or begins with; otherwise what stands before the first underscore."""
+    out = F.substring_index(role, "_", 1)
+    for name in L.EXPERTS:
+        out = F.when((role == name) | role.startswith(name + "_"), name).otherwise(out)
+    return out
+
+
+def label_consensus(reviews: DataFrame, selected: DataFrame, matrix: DataFrame, by: list[str], keys: list[str], unresolved: DataFrame | None = None) -> DataFrame:
+    """consensus() of each group, and whether it also holds for the reviews: all roles complete, no unknown or
+    contradicting ids, no unresolved expansion (unresolved: rows of open requests by group)."""
+    sums = reviews.groupBy(*by).agg(F.count_distinct("role").alias("roles"), F.bool_and("valid").alias("valid"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("unknown_ids")))).alias("unknown_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("overlap_ids")))).alias("overlap_ids"))
+    out = sums.join(consensus(selected, matrix, by, keys), by, "left").na.fill(0, ["selected", "unanimous", "majority", "unresolved"])
+    if unresolved is not None:
+        out = out.join(unresolved.groupBy(*by).agg(F.count("*").alias("open_requests")), by, "left")
+    else:
+        out = out.withColumn("open_requests", F.lit(0))
+    complete = (F.col("roles") == len(ROLES)) & F.col("valid")
+    agreed = complete & (F.col("selected") > 0) & (F.size("unknown_ids") == 0) & (F.size("overlap_ids") == 0) & (F.col("unresolved") == 0) & (F.coalesce("open_requests", F.lit(0)) == 0)
+    return out.select(*by, complete.alias("review_complete"), "selected", "unanimous", "majority", "unresolved", "unknown_ids", "overlap_ids", agreed.alias("consensus_reached"))
+
+
 def merged_decisions(attempts: DataFrame, keys: list[str]) -> DataFrame:
     """The decision of the latest attempt for each key."""
     return attempts.groupBy(*keys).agg(F.max_by("decision", "attempt").alias("decision"))
@@ -104,5 +141,5 @@ def weighted_keep(weights: Column, roles: list[str] | None = None) -> Column:
 
 def vote_threshold(value: Column) -> Column:
     """A threshold as a number; near 0.67 it means two thirds, and so does what is no number."""
-    x = F.expr("try_cast(_v as double)") if isinstance(value, str) else value.cast("double")
+    x = value.try_cast("double")
     return F.when(x.isNull() | (F.abs(x - 0.67) < 0.005), 2 / 3).otherwise(x)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import calibrate, candidates, evaluate, generate, realign, select, votes
+from ..operators import calibrate, candidates, consultation, evaluate, expansion, generate, realign, reports, select, votes
 from ..sources import records, store
 from ..sources.studies import CTE, studies
 from . import oracle as O
@@ -598,3 +598,184 @@ def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = select.mode(_features(spark, sf_dir), "registry_filtered").join(pattern_candidates(spark, sf_dir), ["doc_id", "label", "candidate_id"])
     spoiled = chosen.withColumn("end", F.when(_seed() % 29 == 0, F.col("end") + 1).otherwise(F.col("end")))
     return integrity.violations(spoiled, pattern_candidates(spark, sf_dir), studies(spark, sf_dir))
+
+
+# --- sections, realignment of escaped texts, registry ---------------------------------------------------------------------
+
+_PLAIN = "replace(replace(text, '=== METHODS ===', '2. Methods'), '=== RESULTS ===', 'Results' || chr(10) || '3 Findings') || chr(10) || '4. Discussion' || chr(10) || 'End.'"
+
+
+def _section_sql(head: str, stop: str) -> str:
+    rest = f"regexp_extract(p, {O.q(rf'(?:^|{chr(92)}n){chr(92)}s*(?:{chr(92)}d+{chr(92)}.?{chr(92)}s*)?(?:{head}){chr(92)}s*{chr(92)}n(.*)')}, 1, 'is')"
+    return f"regexp_replace(regexp_extract({rest}, {O.q(rf'^(.*?){chr(92)}n{chr(92)}s*(?:{chr(92)}d+{chr(92)}.?{chr(92)}s*)?(?:{stop})')}, 1, 'is'), '^{chr(92)}s+|{chr(92)}s+$', '', 'g')"
+
+
+@query(f"WITH {CTE}, t AS (SELECT doc_id, {_PLAIN} AS p FROM studies) SELECT doc_id, {_section_sql(records.METHOD_HEAD, records.METHOD_STOP)} AS methods, {_section_sql(records.RESULT_HEAD, records.RESULT_STOP)} AS results FROM t")
+def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.replace(F.replace("text", F.lit("=== METHODS ==="), F.lit("2. Methods")), F.lit("=== RESULTS ==="), F.lit("Results\n3 Findings")), F.lit("\n4. Discussion\nEnd."))
+    return records.heading_sections(studies(spark, sf_dir).withColumn("text", text))
+
+
+@query(f"""WITH {CTE} SELECT doc_id, 'Participant' AS label, (10 + doc_id % 2 * 3)::int AS start, (70 + doc_id % 2 * 3)::int AS "end", replace(substring(text, 11, 60), chr(10), chr(92) || 'n') AS text, 10 AS new_start, 70 AS new_end, CASE WHEN doc_id % 2 = 0 THEN 'unchanged' ELSE 'exact_repair' END AS status, (doc_id % 2 * 3)::int AS moved FROM studies""")
+def gold_realign_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, moved = studies(spark, sf_dir), (F.col("doc_id") % 2 * 3).cast("int")
+    escaped = F.replace(F.substring("text", 11, 60), F.lit("\n"), F.lit("\\n"))
+    return realign.realigned(docs.select("doc_id", F.lit("Participant").alias("label"), (10 + moved).alias("start"), (70 + moved).alias("end"), escaped.alias("text")), docs)
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pattern span by one expert, some by another one too, some once more as a generated span."""
+    seed = _seed()
+    spans = _spans(spark, sf_dir).withColumn("seed", seed)
+    pick = lambda k: F.element_at(F.array(*(F.lit(e) for e in L.EXPERTS)), ((F.col("seed") + k) % 3 + 1).cast("int"))
+    again = lambda test, c: F.when(test, c)
+    one = lambda n, expert, k, origin: F.struct(F.lit(n).alias("turn"), expert.alias("expert"), ((F.col("seed") * (k + 1)) % 1000 / 1000.0).alias("confidence"), F.lit(0.5 + k / 10).alias("threshold"), F.lit(origin).alias("origin"))
+    turns = F.array_compact(F.array(one(0, pick(0), 0, "expert"), again(F.col("seed") % 4 == 0, one(1, pick(1), 1, "expert")), again(F.col("seed") % 5 == 0, one(2, pick(0), 2, "expert")), again(F.col("seed") % 7 == 0, one(3, F.lit(None).cast("string"), 3, "generated"))))
+    rows = spans.select("doc_id", "label", "start", "end", "text", F.explode(turns).alias("t")).select("doc_id", "label", "start", "end", "text", "t.*")
+    return rows.withColumn("ord", F.col("turn") * 1_000_000 + F.col("start") * 1000 + F.col("end")).withColumn("section", F.concat(F.lit("part"), F.col("turn")))
+
+
+_PICK = lambda k: f"[{R.quoted(L.EXPERTS)}][(seed + {k}) % 3 + 1]"
+_ARRIVALS = f"""{O.candidates_cte()}, s AS (SELECT *, {O.SEED} AS seed FROM pats), turns AS (SELECT *, 0 AS turn, {_PICK(0)} AS expert, 'expert' AS origin FROM s UNION ALL SELECT *, 1, {_PICK(1)}, 'expert' FROM s WHERE seed % 4 = 0 UNION ALL SELECT *, 2, {_PICK(0)}, 'expert' FROM s WHERE seed % 5 = 0
+    UNION ALL SELECT *, 3, NULL, 'generated' FROM s WHERE seed % 7 = 0), arrivals AS (SELECT *, turn * 1000000 + start * 1000 + "end" AS ord, ((seed * (turn + 1)) % 1000) / 1000.0::double AS confidence, (5 + turn) / 10.0::double AS threshold FROM turns),
+    judged AS (SELECT a.*, {O.validation('t.text', 'a.label', 'a.text', 'a.start', 'a."end"')} AS reason FROM arrivals a JOIN studies t USING (doc_id))"""
+
+
+@query(f"""{_ARRIVALS}, good AS (SELECT * FROM judged WHERE reason = 'accepted' AND expert IS NOT NULL), best AS (SELECT doc_id, label, start, "end", expert, max(confidence) AS c, arg_max(threshold, ord) AS t FROM good GROUP BY ALL),
+    maps AS (SELECT doc_id, label, start, "end", string_agg(expert || '=' || printf('%.3f', c) || '/' || printf('%.1f', t), ',' ORDER BY expert) AS experts FROM best GROUP BY ALL),
+    g AS (SELECT doc_id, label, start, "end", min(ord) AS ord, count(*) - 1 AS merged FROM good GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY ord) AS k FROM g)
+    SELECT doc_id, label, start::int AS start, "end"::int AS "end", printf('%s-C%04d', CASE label {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.PREFIX.items())} END, k) AS candidate_id, experts, merged::bigint AS merged FROM n JOIN maps USING (doc_id, label, start, "end")""")
+def registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = candidates.registered(_arrivals(spark, sf_dir), studies(spark, sf_dir))
+    said = F.concat_ws(",", F.transform("proposed_by_experts", lambda e: F.format_string("%s=%.3f/%.1f", e, F.element_at("confidence_by_expert", e), F.element_at("threshold_by_expert", e))))
+    return out.select("doc_id", "label", "start", "end", "candidate_id", said.alias("experts"), "merged")
+
+
+@query(f"""{_ARRIVALS}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label, start, "end", reason ORDER BY ord) AS n FROM judged)
+    SELECT label, CASE WHEN reason <> 'accepted' THEN reason WHEN n = 1 THEN 'accepted' WHEN expert IS NOT NULL THEN 'merged_duplicate' ELSE 'duplicate_exact_span' END AS decision, count(*) AS n FROM f GROUP BY 1, 2""")
+def registry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, log = candidates.registered(_arrivals(spark, sf_dir), studies(spark, sf_dir))
+    return log.groupBy("label", "decision").agg(F.count("*").alias("n"))
+
+
+# --- reviews, strict selection, modes by label ------------------------------------------------------------------------------
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One review of each role and group: its votes, in some groups an unknown id, in some a contradiction."""
+    cands = pattern_candidates(spark, sf_dir)
+    said = _votes(cands).filter("decision <> 'missing'").groupBy("doc_id", "label", "role").agg(F.collect_list(F.struct("candidate_id", "decision")).alias("decisions"))
+    ids = cands.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list("candidate_id")).alias("assigned_ids"))
+    roles = F.explode(F.array(*(F.lit(r) for r in L.EXPERTS))).alias("role")
+    rows = ids.select("doc_id", "label", "assigned_ids", roles).join(said, ["doc_id", "label", "role"], "left")
+    odd = F.when((F.col("doc_id") % 10 == 3) & (F.col("role") == "SciBERT"), F.array(F.struct(F.lit("XXX-C0001").alias("candidate_id"), F.lit("keep").alias("decision"))))
+    both = F.when((F.col("doc_id") % 10 == 7) & (F.col("role") == "PubMedBERT"), F.array(*(F.struct(F.get("assigned_ids", F.lit(0)).alias("candidate_id"), F.lit(d).alias("decision")) for d in ("keep", "reject"))))
+    none = F.array().cast("array<struct<candidate_id:string,decision:string>>")
+    rows = rows.withColumn("decisions", F.concat(F.coalesce("decisions", none), F.coalesce(odd, none), F.coalesce(both, none)))
+    return votes.normalized_review(rows.withColumns({"keep_ids": F.array().cast("array<string>"), "reject_ids": F.array().cast("array<string>")}))
+
+
+_ROLE_VOTES = " UNION ALL ".join(f"SELECT doc_id, label, '{e}' AS role, candidate_id, {e} AS decision FROM votes" for e in L.EXPERTS)
+
+
+@query(f"""{O.candidates_cte()}, v AS ({_ROLE_VOTES}), firsts AS (SELECT doc_id, label, min(candidate_id) AS f, count(*) AS n FROM cands GROUP BY ALL),
+    r AS (SELECT doc_id, label, role, list_sort(list(candidate_id) FILTER (decision = 'keep')) AS k, list_sort(list(candidate_id) FILTER (decision = 'reject')) AS x FROM v GROUP BY ALL),
+    e AS (SELECT r.doc_id, label, role, n, list_distinct(list_concat(coalesce(k, []), CASE WHEN doc_id % 10 = 3 AND role = 'SciBERT' THEN ['XXX-C0001'] ELSE [] END, CASE WHEN doc_id % 10 = 7 AND role = 'PubMedBERT' THEN [f] ELSE [] END)) AS k,
+        list_distinct(list_concat(coalesce(x, []), CASE WHEN doc_id % 10 = 7 AND role = 'PubMedBERT' THEN [f] ELSE [] END)) AS x FROM r JOIN firsts USING (doc_id, label)),
+    u AS (SELECT *, len(list_filter(list_concat(k, x), lambda i: i = 'XXX-C0001')) AS unknown, len(list_intersect(k, x)) AS overlap, len(list_distinct(list_concat(k, x))) AS sent FROM e)
+    SELECT doc_id, label, role, unknown::int AS unknown, overlap::int AS overlap, (n - (sent - unknown))::int AS missing, (CASE WHEN unknown > 0 OR overlap > 0 OR sent = 0 THEN 0 ELSE sent END)::int AS decided, unknown = 0 AND overlap = 0 AND n = sent AS valid FROM u""")
+def review_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = lambda c: F.size(c)
+    return _reviews(spark, sf_dir).select("doc_id", "label", "role", size("unknown_ids").alias("unknown"), size("overlap_ids").alias("overlap"), size("missing_ids").alias("missing"), size("decided").alias("decided"), "valid")
+
+
+@query(f"{O.candidates_cte()}, {O.without_contained('keeps = 3 AND issue IS NULL')}")
+def mode_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.strict(_features(spark, sf_dir))
+
+
+_BY_LABEL = {"Participant": "registry_filtered", "Intervention": "pubmedbert_plus_verified", "Outcome": "expert_consensus_verified", "SampleSize": "calibrated_rule"}
+
+
+def _rules(spark: SparkSession) -> DataFrame:
+    rules = calibrate.default_config(spark).drop("config_id", "source_mode")
+    named = spark.createDataFrame([(x, _BY_LABEL.get(x, "registry_all")) for x in L.LABELS], "label string, source_mode string")
+    return rules.join(named, "label")
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, label, pos, candidate_id FROM ({ORACLE_SQL[name]}) WHERE label = '{label}'" for label, name in (("Participant", "mode_registry_filtered"), ("Intervention", "mode_pubmedbert_plus_verified"), ("Outcome", "mode_expert_consensus_verified"), ("SampleSize", "calibrated_selection"))))
+def selection_by_source_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.by_source_mode(_features(spark, sf_dir), _rules(spark))
+
+
+_ABLATION = {"majority_vote": "mode_majority_vote", "pubmedbert_plus_verified": "mode_pubmedbert_plus_verified", "registry_filtered": "mode_registry_filtered"}
+
+
+def _ablation_sql() -> str:
+    chosen = " UNION ALL ".join(f"SELECT '{mode}' AS mode, doc_id, label, candidate_id FROM ({ORACLE_SQL[name]})" for mode, name in _ABLATION.items())
+    return f"""{O.gold_cte()}, {_TOKENS}, modes AS (SELECT unnest([{R.quoted(list(_ABLATION))}]) AS mode), chosen AS ({chosen}), mp AS (SELECT mode, doc_id, label, start, "end" FROM chosen JOIN cands USING (doc_id, label, candidate_id)),
+    ex AS (SELECT mode, label, count(*) AS p, count_if(EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = mp.doc_id AND g.label = mp.label AND g.start = mp.start AND g."end" = mp."end")) AS tp FROM mp GROUP BY ALL), gs AS (SELECT label, count(*) AS g FROM gold GROUP BY ALL),
+    exact AS (SELECT mode, d.label, coalesce(tp, 0) AS tp, coalesce(p, 0) - coalesce(tp, 0) AS fp, coalesce(g, 0) - coalesce(tp, 0) AS fn FROM modes CROSS JOIN dim d LEFT JOIN ex USING (mode, label) LEFT JOIN gs USING (label)),
+    gt AS (SELECT DISTINCT t.doc_id, ts, label FROM toks t JOIN gold s ON t.doc_id = s.doc_id AND ts < s."end" AND s.start < te), pt AS (SELECT DISTINCT mode, t.doc_id, ts, label FROM toks t JOIN mp s ON t.doc_id = s.doc_id AND ts < s."end" AND s.start < te),
+    ptn AS (SELECT mode, label, count(*) AS p, count(g.ts) AS tp FROM pt LEFT JOIN gt g USING (doc_id, ts, label) GROUP BY ALL), gtn AS (SELECT label, count(*) AS g FROM gt GROUP BY ALL),
+    token AS (SELECT mode, d.label, coalesce(tp, 0) AS tp, coalesce(p, 0) - coalesce(tp, 0) AS fp, coalesce(g, 0) - coalesce(tp, 0) AS fn FROM modes CROSS JOIN dim d LEFT JOIN ptn USING (mode, label) LEFT JOIN gtn USING (label)),
+    every AS (SELECT 'exact' AS family, * FROM exact UNION ALL SELECT 'token', * FROM token), summed AS (SELECT * FROM every UNION ALL SELECT family, mode, 'micro', sum(tp), sum(fp), sum(fn) FROM every GROUP BY family, mode),
+    pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::double, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::double, 0) AS recall FROM summed)
+    SELECT mode, family, label, tp::bigint AS tp, fp::bigint AS fp, fn::bigint AS fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM pr"""
+
+
+@query(_ablation_sql())
+def mode_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.stored(_features(spark, sf_dir), "features")
+    chosen = reports.union([select.mode(rows, name).withColumn("mode", F.lit(name)) for name in _ABLATION])
+    spans = chosen.join(rows.select("doc_id", "label", "candidate_id", "start", "end"), ["doc_id", "label", "candidate_id"]).select("mode", "doc_id", "label", "start", "end")
+    gold = rows.filter(_is_gold()).select("doc_id", "label", *_moved())
+    return _rounded(reports.ablation(generate.token_arrays(studies(spark, sf_dir)), gold, spans), "precision", "recall", "f1")
+
+
+@query(f"SELECT count_if(consensus_reached)::bigint AS labels_with_consensus, (SELECT count(*) * {len(L.LABELS)} FROM customer)::bigint AS total_document_labels, round(count_if(consensus_reached) / (SELECT count(*) * {len(L.LABELS)} FROM customer)::double, 6) AS rate FROM ({ORACLE_SQL['label_consensus']})")
+def consensus_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = studies(spark, sf_dir).count()
+    return _rounded(consultation.coverage(label_consensus(spark, sf_dir), documents), "rate")
+
+
+# --- expansion requests and replayed consultation -----------------------------------------------------------------------------
+
+
+def _requests(spark: SparkSession, sf_dir: str, cands: DataFrame) -> DataFrame:
+    """One request for each candidate: by turns all operations, some with a quote, an unknown parent or sentence."""
+    kind, seed = F.col("seed") % 8, F.col("seed")
+    op = F.element_at(F.array(*(F.lit(x) for x in ("exact_quote_proposal", "split_by_clause", "split_by_sentence", "expand_to_sentence_start", "expand_to_sentence_end", "search_missing_label", "generate_number_centered_span", "trim_left"))), (kind + 1).cast("int"))
+    rows = cands.withColumn("seed", _seed())
+    parent = F.when(kind.isin(1, 2, 3, 4), F.when(seed % 5 == 0, "XXX-C9999").otherwise(F.col("candidate_id")))
+    sentence = F.when(kind == 3, F.when(seed % 3 == 0, "S9999"))
+    quote = F.when(kind == 0, F.when(seed % 3 == 0, "no such words").otherwise(F.element_at(F.split("text", " "), -1)))
+    order = F.col("start") * 100_000 + F.col("end") * 10 + candidates.label_ord(F.col("label"))
+    return rows.select("doc_id", order.cast("int").alias("ord"), "label", op.alias("requested_operation"), parent.alias("parent_candidate_id"), sentence.alias("sentence_id"), quote.alias("proposed_text"))
+
+
+@query()
+def expansion_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cands = store.stored(pattern_candidates(spark, sf_dir), "candidates")
+    made = expansion.outcomes(_requests(spark, sf_dir, cands), studies(spark, sf_dir), cands)
+    return made.select("doc_id", "ord", "label", "requested_operation", "status", "reason", "candidate_id", F.size("added").alias("n_added"))
+
+
+@query()
+def consultation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds: votes become kinder each round, the meta agent selects what two roles keep, the second round asks
+    for sentences."""
+    cands = store.stored(pattern_candidates(spark, sf_dir).withColumn("origin", F.lit("expert")), "candidates")
+    rounds = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4))).alias("round")
+    keep = lambda k: (_seed() + 11 * k) % 4 < F.col("round") + 1
+    request = consultation._REQUEST
+    rows = cands.select("doc_id", "label", "candidate_id", "start", "end", "number", rounds)
+    roles = F.explode(F.array(*(F.struct(F.lit(f"{e}_DoctorAgent").alias("role"), F.when(keep(k), "keep").otherwise("reject").alias("decision")) for k, e in enumerate(L.EXPERTS)))).alias("v")
+    said = rows.select("doc_id", "label", "round", "candidate_id", roles).groupBy("doc_id", "label", "round", "v.role").agg(F.collect_list(F.struct("candidate_id", F.col("v.decision").alias("decision"))).alias("decisions"))
+    reviews = said.withColumns({"keep_ids": F.array().cast("array<string>"), "reject_ids": F.array().cast("array<string>"), "requests": F.array().cast(f"array<{request}>")})
+    kept = F.when(sum(keep(k).cast("int") for k in range(3)) >= 2, F.struct("number", "candidate_id"))
+    chosen = rows.groupBy("doc_id", "label", "round").agg(F.transform(F.array_sort(F.collect_list(kept)), lambda c: c["candidate_id"]).alias("selected"))
+    asks = F.when((F.col("round") == 2) & (F.col("doc_id") % 3 == 0), F.array(F.struct(F.col("label"), F.lit("expand_to_sentence_end").alias("requested_operation"), F.lit(None).cast("string").alias("parent_candidate_id"), F.lit("S0001").alias("sentence_id"), F.lit(None).cast("string").alias("proposed_text"))))
+    decided = chosen.withColumns({"unresolved": F.array().cast("array<string>"), "proofs": F.col("selected"), "requests": F.coalesce(asks.cast(f"array<{request}>"), F.array().cast(f"array<{request}>"))})
+    state, _ = consultation.replay(cands, studies(spark, sf_dir), reviews, decided)
+    return state

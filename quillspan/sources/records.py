@@ -5,9 +5,10 @@ Files are read whole as text and parsed as variants, so that records of differen
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions import text as T
 
 
@@ -47,12 +48,13 @@ def record_name(record: Column, index: Column) -> Column:
 def gold_items(records: DataFrame) -> DataFrame:
     """source_file, record_index, label, start, end, text of the first annotation that was not cancelled: its label items.
 
-    Of several labels of an item the first one counts."""
+    Of several labels of an item the first one counts; items whose label is unknown are left out."""
     item = "struct<type: string, value: struct<start: int, end: int, text: string, labels: array<string>>>"
     annotations = F.try_variant_get("record", "$.annotations", f"array<struct<was_cancelled: boolean, result: array<{item}>>>")
     first = F.get(F.filter(annotations, lambda a: ~F.coalesce(a["was_cancelled"], F.lit(False))), F.lit(0))
     rows = records.select("source_file", "record_index", F.explode(first["result"]).alias("r")).filter("r.type = 'labels'")
-    return rows.select("source_file", "record_index", F.get(F.col("r.value.labels"), F.lit(0)).alias("label"), F.col("r.value.start").alias("start"), F.col("r.value.end").alias("end"), F.col("r.value.text").alias("text"))
+    rows = rows.withColumn("label", F.get(F.col("r.value.labels"), F.lit(0))).filter(F.col("label").isin(L.LABELS))
+    return rows.select("source_file", "record_index", "label", F.col("r.value.start").alias("start"), F.col("r.value.end").alias("end"), F.col("r.value.text").alias("text"))
 
 
 def sections(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -61,19 +63,26 @@ def sections(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return docs.select(key, methods.alias("methods"), F.regexp_extract(F.col(text), r"(?s)=== RESULTS ===\s*(.*?)\s*\z", 1).alias("results"))
 
 
+# Heads of the sections of a plain text, and what ends each of them.
+METHOD_HEAD, METHOD_STOP = r"methods?|methodology|experimental\s+design", r"results?|discussion|analysis|conclusion"
+RESULT_HEAD, RESULT_STOP = r"results?|findings|outcomes", r"discussion|conclusion|analysis|limitations"
+
+
+def _section(text: Column, head: str, stop: str) -> Column:
+    """What stands between a head's own line and the next line that begins with a stop; empty without either."""
+    found = F.regexp_extract(text, rf"(?is)(?:^|\n)\s*(?:\d+\.?\s*)?(?:{head})\s*\n(.*?)(?=\n\s*(?:\d+\.?\s*)?(?:{stop}))", 1)
+    return F.regexp_replace(found, rf"^{T.SPACE}+|{T.SPACE}+$", "")
+
+
 def heading_sections(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, methods, results of plain texts: from a heading line to the next one. Markers are set by marked_input()."""
-    head = r"(?im)^\s*(?:\d+\.?\s*)?"
-    stop = r"(?=^\s*(?:\d+\.?\s*)?(?:results?|discussion|conclusions?|references|acknowledg\w+)\s*:?\s*$|\z)"
-    methods = F.regexp_extract(F.col(text), f"(?s){head}(?:materials and methods|methods?|methodology)\\s*:?\\s*$(.*?){stop}", 1)
-    results = F.regexp_extract(F.col(text), f"(?s){head}results?\\s*:?\\s*$(.*?){stop.replace('results?|', '')}", 1)
-    return docs.select(key, F.trim(methods).alias("methods"), F.trim(results).alias("results"))
+    """key, methods, results of plain texts by their headings. Markers are set by marked_input()."""
+    return docs.select(key, _section(F.col(text), METHOD_HEAD, METHOD_STOP).alias("methods"), _section(F.col(text), RESULT_HEAD, RESULT_STOP).alias("results"))
 
 
 def marked_input(methods: Column, results: Column) -> Column:
-    """Section texts behind their markers; empty sections have none."""
-    part = lambda name, c: F.when(F.trim(c) != "", F.concat(F.lit(f"=== {name} ===\n"), c))
-    return F.concat_ws("\n\n", part("METHODS", methods), part("RESULTS", results))
+    """Section texts behind their markers with an empty line between; an empty section has no marker."""
+    part = lambda name, c: F.when(F.trim(c) != "", F.concat(F.lit(f"=== {name} ===\n"), c)).otherwise("")
+    return F.concat(part("METHODS", methods), F.lit("\n\n"), part("RESULTS", results))
 
 
 def extracted_text(spark: SparkSession, path: str, extract, glob: str = "*") -> DataFrame:
@@ -117,3 +126,33 @@ def documents_json(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     item = F.struct("candidate_id", "label", "start", "end", "text")
     by_label = spans.groupBy(key, "label").agg(F.array_sort(F.collect_list(item)).alias("items"))
     return by_label.groupBy(key).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "items"))))).alias("final_spans_by_label"))
+
+
+def distinct_paths(paths: list[str]) -> list[str]:
+    """Paths in their order, each resolved one once."""
+    import os
+
+    return list(dict.fromkeys(os.path.realpath(os.path.expanduser(p)) for p in paths))
+
+
+def limited(records: DataFrame, most: int, file: str = "source_file", index: str = "record_index") -> DataFrame:
+    """The first records of each file."""
+    place = Window.partitionBy(file).orderBy(index)
+    return records.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= most).drop("_n")
+
+
+def with_source(records: DataFrame) -> DataFrame:
+    """records with source_file (a bare name) and source_index, unless the records hold fields of these names."""
+    own = F.coalesce(field(F.col("record"), "source_file"), F.element_at(F.split("source_file", "/"), -1))
+    index = F.coalesce(field(F.col("record"), "source_index").try_cast("int"), F.col("record_index"))
+    return records.withColumns({"source_file": own, "source_index": index})
+
+
+def write_splits(records: DataFrame, path: str, column: str = "split") -> None:
+    """One folder of JSON lines for each split."""
+    records.select(column, F.to_json("record").alias("value")).write.partitionBy(column).mode("overwrite").text(path)
+
+
+def run_totals(outcomes: DataFrame, status: str = "status") -> DataFrame:
+    """One row of how many documents were processed, skipped and failed."""
+    return outcomes.agg(*(F.count_if(F.col(status) == s).alias(s) for s in ("processed", "skipped", "failed")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import json_repair
 from quillspan.functions import rules as R
 from quillspan.functions import text as T
-from quillspan.operators import calibrate, candidates, evaluate, generate, realign, requests, select, votes
+from quillspan.operators import calibrate, candidates, evaluate, generate, realign, select, votes
 from quillspan.sources import records
 
 TOKEN = re.compile("\\w+(?:[-’']\\w+)*|[^\\w\\s]")
@@ -133,16 +133,6 @@ def test_grid_and_json(spark):
     assert json_repair.decisions(broken, {"A", "B"}) == {"A": "keep"}
 
 
-def test_requests(spark):
-    source = spark.createDataFrame([(1, "Mood was low. Mood rose again.")], "doc_id long, text string")
-    units = generate.units(source)
-    registry = spark.createDataFrame([(1, "Outcome", "OUT-C0001", 5, 12)], "doc_id long, label string, candidate_id string, start int, end int")
-    asked = [(1, 1, "Outcome", "add", "Mood", None, None), (1, 2, "Outcome", "add", "Mood", "S0002", None), (1, 3, "Outcome", "add", "was low", None, None), (1, 4, "Outcome", "add", None, None, None), (1, 5, "Outcome", "add", "gone", None, "OUT-C0001")]
-    df = spark.createDataFrame(asked, "doc_id long, request_id int, label string, requested_operation string, proposed_text string, sentence_id string, parent_candidate_id string")
-    got = {r["request_id"]: (r["status"], r["reason"], r["start"]) for r in requests.resolved(df, source, units, registry).collect()}
-    assert got == {1: ("unresolved", "ambiguous_proposed_text", None), 2: ("candidate_appended", None, 14), 3: ("already_exists", None, 5), 4: ("unresolved", "no_proposed_text", None), 5: ("unresolved", "proposed_text_not_found", None)}
-
-
 def test_contained_and_redundant(spark):
     rows = [(1, "Outcome", f"OUT-C000{k}", k, a, b, t, ["PubMedBERT"], {"PubMedBERT": 0.5}) for k, (a, b, t) in enumerate([(0, 22, "the depression symptoms"), (4, 22, "depression symptoms"), (40, 53, "anxiety score")], 1)]
     cands = spark.createDataFrame(rows, "doc_id long, label string, candidate_id string, number int, start int, end int, text string, proposed_by_experts array<string>, confidence_by_expert map<string,double>")
