@@ -50,10 +50,28 @@ FIRST_CLASS = 2 + SHORT_LIST
 SYMBOLS = FIRST_CLASS + CLASSES
 
 
+_SIGNS = np.zeros(256, bool)
+_SIGNS[np.frombuffer(b".,;:!?", np.uint8)] = True
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """Class of each word by its last three bytes; punctuation after them counts as one sign."""
+    data, at = scan.flat(words)
+    start, end = at[:-1], at[1:].copy()
+    which = np.flatnonzero(end > start)
+    while len(which := which[_SIGNS[data[end[which] - 1]]]):
+        end[which] -= 1
+        which = which[end[which] > start[which]]
+    h = (end < at[1:]).astype(np.uint64)
+    for k in (3, 2, 1):
+        place = end - k
+        h = h * np.uint64(257) + (np.where(place >= start, data[np.maximum(place, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0)) if len(data) else np.uint64(0))
+    h = (h ^ (h >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) % np.uint64(CLASSES)).astype(np.int64)
+
+
 def tail_class(word: bytes) -> int:
-    """Class of a word by its last letters; punctuation after them counts as one sign."""
-    core = word.rstrip(b".,;:!?")
-    return xxhash.xxh3_64_intdigest(core[-3:] + (b"." if len(core) < len(word) else b"")) % CLASSES
+    return int(tail_classes(pa.array([word], pa.binary()))[0])
 
 
 @dataclass(frozen=True)
@@ -76,8 +94,10 @@ class Model:
         return np.log(np.where(count > 0, known, unknown))
 
 
-def symbols(short: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    return np.array([short[w] if w in short else FIRST_CLASS + tail_class(w) for w in words], np.int64)
+def symbols(short: dict[bytes, int], words: pa.Array) -> np.ndarray:
+    """The symbol of each word; short: symbols of the most frequent words, in order from 2 on."""
+    known = pc.fill_null(pc.index_in(words, pa.array(list(short), pa.binary())), -1).to_numpy(zero_copy_only=False)
+    return np.where(known >= 0, known + 2, FIRST_CLASS + tail_classes(words)).astype(np.int64)
 
 
 def sequence(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -280,8 +300,8 @@ def _tails(short):
         for part in batches:
             for k in range(part.num_rows):
                 words, counts = _joined(pa.Table.from_batches([part.slice(k, 1)]))
-                rest = [(tail_class(w), c) for w, c in zip(words.to_pylist(), counts.tolist(), strict=True) if w and w not in short.value]
-                cls, n = (np.array(x, np.int64) for x in (zip(*rest, strict=True) if rest else ([], [])))
+                rest = (symbols(short.value, words) >= FIRST_CLASS) & (pc.binary_length(words).to_numpy() > 0)
+                cls, n = tail_classes(words)[rest], counts[rest]
                 sums = [np.bincount(cls, x, CLASSES).astype(np.int64) for x in (n, np.ones(len(n)), n == 1, n == 2)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), *map(pa.array, sums)], ["cls", "tokens", "words", "once", "twice"])
 
@@ -301,14 +321,13 @@ def _train(short, unigram, start):
     """For applyInArrow over a shard (key, text): the sums of its parameters, times its tokens, and the tokens.
 
     Rows are put in the order of their hash and text before, so that the shard's training follows from its rows."""
-    cache = scan.Recent(200_000)
 
     def run(table: pa.Table) -> pa.Table:
         trainer = Trainer(unigram.value, start.value, 1 + table["shard"][0].as_py())
         table = table.select(["key", "text"]).sort_by([("key", "ascending"), ("text", "ascending")])
         for part in scan.slices(iter(table.combine_chunks().to_batches()), "text", 2 << 20):
             tokens = scan.words(part.column(1))
-            each = np.array(cache.many(tokens.values.to_pylist(), lambda w: symbols(short.value, w).tolist()), np.int64)
+            each = symbols(short.value, tokens.values)
             w, one, two, _ = sequence(each[tokens.codes] if len(each) else np.zeros(0, np.int64), tokens.offsets)
             trainer.train(w, one, two)
         return pa.Table.from_batches([_in_parts(trainer.packed() * trainer.seen, trainer.seen)])
@@ -434,7 +453,7 @@ def _score(shared, n: int, v: int, buckets: int):
         bounds = tokens.offsets + np.arange(texts + 1)
         every = np.full(bounds[-1], len(words), np.int64)
         every[np.arange(len(codes)) + np.repeat(np.arange(texts), np.diff(tokens.offsets))] = codes
-        kinds = np.append(symbols(model.short, words), END)
+        kinds = np.append(symbols(model.short, tokens.values), END)
         w, one, two, _ = sequence(kinds[codes], tokens.offsets)
         p = model.left[two, w].astype(np.float64) + model.right[one, w] + model.bias[w] - model.norm[two, one]
         in_tail = kinds >= FIRST_CLASS
