@@ -12,6 +12,7 @@ import functools
 import heapq
 import itertools
 import json
+import re
 import sys
 import unicodedata
 import zlib
@@ -234,17 +235,35 @@ class Encoder:
         return np.diff(sums[tokens.offsets])
 
     def prefix_counts(self, text: str) -> np.ndarray:
-        """Entry i: tokens of the text up to byte i, with the pre-tokens of the whole text.
-
-        Entries can fall inside a pre-token (a longer prefix may need fewer tokens)."""
-        tokens = self.vocabulary.pretokens(pa.array([text]))
-        tables = self.vocabulary.prefix_tables(tokens.values.to_pylist())
-        parts, base = [np.zeros(1, np.int64)], 0
+        """Entry i: tokens of the text's first i bytes as a text of its own; -1 where they end inside a character.
+
+        For vocabularies that keep a blank before a word. Where a prefix ends, its last pre-token can end otherwise than
+        in the whole text: white space at the end is one pre-token, a contraction that is cut falls apart, and so does
+        a special string."""
+        voc, raw = self.vocabulary, text.encode()
+        tokens = voc.pretokens(pa.array([text]))
+        values = tokens.values.to_pylist()
+        tables = voc.prefix_tables(values)
+        out, at, cut = [0], 0, []
         for code in tokens.codes.tolist():
-            table = np.array(tables[code][1:], np.int64)
-            parts.append(table + base)
-            base += tables[code][-1]
-        return np.concatenate(parts)
+            word, table, base = values[code], tables[code], out[-1]
+            out += [base + n for n in table[1:]]
+            if word in voc.special_bytes:
+                cut += range(at + 1, at + len(word))
+            elif len(word) == 3 and word[:1] == b"'" and word[1:].isalpha():
+                out[at + 2] = base + 2
+            at += len(word)
+        blank = "".join("s" if k == scan.SPACE else "x" for k in scan.char_classes()[[ord(c) for c in text]].tolist())
+        for run in re.finditer("s+", blank):
+            a, word = len(text[: run.start()].encode()), text[run.start() : run.end()].encode()
+            table = voc.prefix_tables([word])[0]
+            out[a + 1 : a + len(table)] = [out[a] + n for n in table[1:]]
+        counts = np.array(out, np.int64)
+        counts[1:][(np.frombuffer(raw + b" ", np.uint8)[1:] & 0xC0) == 0x80] = -1
+        for k in cut:
+            if counts[k] >= 0:
+                counts[k] = self.count(pa.array([raw[:k].decode()]))[0]
+        return counts
 
     def shown(self, texts: pa.Array) -> tuple[list[int], list[bytes], list[bytes]]:
         """Of each text: token count, decimal ids joined by one blank, and decoded text, in UTF-8."""

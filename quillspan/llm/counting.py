@@ -33,14 +33,14 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
 
 
 def truncation(docs: DataFrame, vocabulary: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes_kept, n_tokens_kept: the longest prefix in bytes whose entry in the prefix table is at most `budget`."""
+    """id, n_bytes_kept, n_tokens_kept: the longest prefix of whole characters that is at most `budget` tokens long."""
     shared = bpe.Shared(docs.sparkSession, vocabulary)
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         kept, tokens = [], []
         for text in part.column(1).to_pylist():
             table = shared.get().prefix_counts(text or "")
-            at = int(np.flatnonzero(table <= budget)[-1])
+            at = int(np.flatnonzero((table >= 0) & (table <= budget))[-1])
             kept.append(at)
             tokens.append(int(table[at]))
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes_kept", "n_tokens_kept"])

@@ -100,6 +100,14 @@ def test_token_counts_and_truncation(spark, docs, rows, empty):
     table = encoder.prefix_counts(text)
     for end in (3, 9, 15, 21, len(text)):
         assert table[end] == len(library.encode(text[:end], add_special_tokens=False).ids)
+    for text in ("a\n\nb  c \n d", "I'll say we've 'tis they're it's 'r", "x!<|endoftext|>y z", "\u00e4\u00f6 \u4f60\u597d  \U0001f600!\t\tend", "", "  ", "12 345!?  "):
+        table = encoder.prefix_counts(text)
+        borders = [len(text[:k].encode()) for k in range(len(text) + 1)]
+        assert [int(table[b]) for b in borders] == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert all(table[k] == -1 for k in range(len(table)) if k not in borders)
+    text = "the quick brown foxes jumped over lazy dogs"
+    broken = counting.truncation(spark.createDataFrame([(1, "a\n\nb"), (1, "a\n\nb")], "doc_id long, text string"), path, 2).collect()
+    assert [(r["n_bytes_kept"], r["n_tokens_kept"]) for r in broken] == [(3, 2), (3, 2)]
     kept = counting.truncation(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), path, 4).orderBy("doc_id").collect()
     assert kept[0]["n_tokens_kept"] <= 4 and kept[1]["n_bytes_kept"] == 0
 
@@ -512,17 +520,100 @@ def test_slices_are_bounded():
     assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(0).to_pylist()) <= 1000 for p in parts)
 
 
-def test_pipeline(spark, tmp_path, docs):
+def test_pipeline(spark, tmp_path):
+    """run() on a small corpus with toxic and clean labels against an independent chain of plain loops."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    passage = " ".join(prose(40))
+    texts, toxic = {}, {}
+    for k in range(1200):
+        w = prose(rng.randint(30, 90))
+        toxic[k] = int(k % 6 == 0)
+        if toxic[k]:
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), rng.choice(["zwort", "zwort", "kgift"]) + rng.choice(["en", "er", "a"]))
+        texts[k] = " ".join(w)
+    for k in range(1200, 1240):
+        source = rng.choice([i for i in range(1200) if not toxic[i]])
+        kind, w = k % 4, texts[source].split()
+        texts[k] = texts[source].upper() if kind == 0 else " ".join([*w[:-1], "altered"]) if kind == 1 else " ".join([*prose(20), passage, *prose(20)]) if kind == 2 else " ".join(w)
+    texts |= {1240: "", 1241: None, 1242: "short"}
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in texts.items()]
+    folder = str(tmp_path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, 1, y) for k, y in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+    kept = {k: t for k, t in texts.items() if not toxic.get(k)}
+    last = {}
+    for k, t in kept.items():
+        last[(t or "").translate(LOWER)] = max(k, last.get((t or "").translate(LOWER), k))
+    kept = {k: kept[k] for k in last.values()}
+    sets = {}
+    for k, t in kept.items():
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(LOWER)) if x]
+        sets[k] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    kept = {k: kept[k] for k in set(brute_components(sets, 80).values())}
+    left = {k: x[3].decode("utf-8", "ignore") for k, x in brute_repeats(list(kept.items())).items()}
+    library = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    ids = {k: [*library.encode(t, add_special_tokens=False).ids, 0] for k, t in left.items()}
+
+    got = corpus_pipeline.run(spark, folder).collect()
+    pieces, places = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert {k: sorted(p) for k, p in pieces.items()} == {k: [(0, 0, len(x), zlib.crc32(np.array(x, "<u4").tobytes()))] for k, x in ids.items()}
+    for spans in places.values():
+        spans.sort()
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:j]) for j in range(len(spans))] and sum(n for _, n in spans) <= 2048
+    assert len(places) <= 1.1 * sum(map(len, ids.values())) / 2048 + 2
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
     import corpus_pipeline
 
     folder = str(tmp_path)
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES][-1] == "best-fit packing"
-    out = corpus_pipeline.run(spark, folder)
-    plain = spark.read.parquet(f"{folder}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[1:-1]:
-        plain = stage(spark, plain, folder)
-        assert plain.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted(r["doc_id"] for r in out.select("doc_id").distinct().collect()) == sorted(r["doc_id"] for r in plain.select("doc_id").collect())
-    assert durable.shared_folder(spark)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, score double").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_copies_go_whatever_the_columns_are_named(spark):
+    schema = "doc_id long, text string, _digest string, _again long, _kept long, _keep long, row long, digest string, again int"
+    df = spark.createDataFrame([(1, "A b c d e f", "x", 1, 2, 3, 4, "y", 5), (2, "a B c d e f", None, 1, 2, 3, 4, "y", 5), (2, "a B c d e f", None, 1, 2, 3, 4, "y", 5), (None, "z", "x", 1, 2, 3, 4, "y", 5)], schema)
+    kept = naming.without_copies(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"] or 0, r["_again"], r["digest"]) for r in kept.collect()) == [(0, 1, "y"), (2, 1, "y")]
+    one = jaccard.one_of_each(df)
+    assert one.columns == df.columns and sorted((r["doc_id"] or 0) for r in one.collect()) == [0, 1]
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    """Rows stay rows: repeated ids, null ids and null texts are encoded, counted, packed and scanned each."""
+    path = vocabulary("byte_bpe_50k.json")
+    line = "This project is licensed under the MIT License."
+    df = spark.createDataFrame([(1, line, 1), (1, line, 2), (None, None, 3), (None, "", 4)], "doc_id long, text string, n_tokens int")
+    assert counting.token_counts(df, path).count() == 4
+    assert encoding.encode_decode(df, vocabulary("word_bpe_49k.json")).count() == 4
+    packed = packing.pack(df, path).collect()
+    assert len(packed) == 4 and sum(r["length"] for r in packed if r["doc_id"] is None) == 2
+    assert {r["doc_id"] for r in licences.scan(df).collect()} <= {1}
+
+
+def test_component_of_several_chunks(spark, monkeypatch):
+    """Near copies in one component that is dealt out as chunks give the same groups as plain loops."""
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60)]
+    rows = []
+    for k in range(70):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"new{rng.randint(0, 9)}"
+        rows.append((k, " ".join(w)))
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, t in rows for w in [t.split()]}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4, 85).collect()}
+    assert got == brute_components(sets, 85)
