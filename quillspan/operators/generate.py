@@ -57,8 +57,8 @@ def pattern_spans(docs: DataFrame, labels: list[str] | None = None, strict_units
     for k, (_, _, p) in enumerate(wanted):
         one = T.marked(F.col("_text"), p)
         pieces = F.when(F.col("_which") == k, one) if pieces is None else pieces.when(F.col("_which") == k, one)
-    rows = rows.select(key, "_text", "_which", pieces.alias("_pieces")).filter(F.size("_pieces") > 1)
-    found = rows.select(key, "_text", "_which", F.posexplode(T.spans_of(F.col("_pieces"))).alias("_n", "_s")).filter("_n % 2 = 1")
+    # A filter on the pieces would be pushed below and run each pattern twice; a text without matches has one gap only.
+    found = rows.select(key, "_text", "_which", F.posexplode(T.spans_of(pieces)).alias("_n", "_s")).filter("_n % 2 = 1")
     whole = F.struct(F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), F.substring("_text", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("text"))
     spans = found.select(key, pick([x for x, _, _ in wanted]).alias("label"), T.trim_span(whole).alias("s"), pick([n for _, n, _ in wanted]).alias("method"))
     return spans.filter("s.end > s.start").select(key, "label", "s.start", "s.end", "s.text", "method")

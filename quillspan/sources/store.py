@@ -41,3 +41,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, its rows dealt out where they lie in fewer files than there are cores: a file may be one task only."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 K = "c_custkey"
 
 
@@ -29,4 +31,5 @@ CTE = f"studies AS (SELECT {K} AS doc_id, {TEXT} AS text FROM customer)"
 
 def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text for every customer."""
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col(K).alias("doc_id"), F.expr(TEXT).alias("text"))
+    keys = store.dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select(K))
+    return keys.select(F.col(K).alias("doc_id"), F.expr(TEXT).alias("text"))
