@@ -84,6 +84,8 @@ def saved_review(text: str, schema: dict) -> dict | None:
     for m in named.finditer(text):
         places.setdefault(m[1], m.start())
     cuts, found = sorted((at, cid) for cid, at in places.items()), []
+    if not cuts:
+        return None
     for (at, cid), (end, _) in zip(cuts, [*cuts[1:], (len(text), "")], strict=True):
         decision, issue = DECISION.search(text, at, end), ISSUE.search(text, at, end)
         if decision:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,12 @@ def context_limits(message: Column) -> Column:
     return F.when(window != "", F.struct(window.cast("int").alias("window"), used.cast("int").alias("prompt")))
 
 
+def limits_of(message: str) -> tuple[int, int] | None:
+    """context_limits() of one message in Python."""
+    found = re.search(CONTEXT_LIMITS, message)
+    return (int(found[1]), int(found[2])) if found else None
+
+
 def snippet(text: Column, most: int = SNIPPET_CHARS) -> Column:
     """A text, or its head with a mark where it is too long."""
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.left(text, F.lit(most - 18))), F.lit(CUT_MARK)))

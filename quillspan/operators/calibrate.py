@@ -63,6 +63,25 @@ def chosen_by_modes(features: DataFrame, recommended: DataFrame | None = None) -
     return out
 
 
+def _sums(chosen: DataFrame, features: DataFrame, tokens: DataFrame, gold: DataFrame) -> DataFrame:
+    """config_id, label, p, tp of chosen candidates (config_id, doc_id, label, candidate_id): their tokens, and those in gold.
+
+    tokens: doc_id, ord, start, end. Configurations that choose the same candidates of a group share one count."""
+    groups = chosen.groupBy("config_id", "doc_id", "label").agg(F.array_sort(F.collect_list("candidate_id")).alias("ids"))
+    picks = groups.select("doc_id", "label", "ids").distinct()
+    spans = picks.select("doc_id", "label", "ids", F.explode("ids").alias("candidate_id")).join(features.select("doc_id", "label", "candidate_id", "start", "end"), ["doc_id", "label", "candidate_id"])
+    predicted, wanted = _sides(tokens, spans, ["doc_id", "label", "ids"], "p"), _sides(tokens, gold, ["doc_id", "label"], "g")
+    sums = predicted.join(wanted, ["doc_id", "label", "ord"], "left").groupBy("doc_id", "label", "ids").agg(F.count("*").alias("p"), F.count("g").alias("tp"))
+    return groups.join(sums, ["doc_id", "label", "ids"]).groupBy("config_id", "label").agg(F.sum("p").alias("p"), F.sum("tp").alias("tp"))
+
+
+def _with_scores(sums: DataFrame, configs: DataFrame, tokens: DataFrame, gold: DataFrame) -> DataFrame:
+    totals = _sides(tokens, gold, ["doc_id", "label"], "g").groupBy("label").agg(F.count("*").alias("g"))
+    every = configs.select("config_id", "label").join(sums, ["config_id", "label"], "left").join(totals, "label", "left").na.fill(0, ["p", "tp", "g"])
+    tp, fp, fn = F.col("tp"), F.col("p") - F.col("tp"), F.col("g") - F.col("tp")
+    return every.select("config_id", "label", "tp", fp.alias("fp"), fn.alias("fn"), *T.f_scores(tp, fp, fn))
+
+
 def scored(features: DataFrame, tokens: DataFrame, gold: DataFrame, configs: DataFrame, modes: DataFrame | None = None, recommended: DataFrame | None = None) -> DataFrame:
     """config_id, label, tp, fp, fn, precision, recall, f1 of every configuration; modes: fixed_modes() to score with them."""
     chosen = select.calibrated(features, configs)
@@ -70,17 +89,56 @@ def scored(features: DataFrame, tokens: DataFrame, gold: DataFrame, configs: Dat
         wanted_modes = F.broadcast(modes.select("config_id", "label"))  # a literal table: some modes a label
         chosen = chosen.unionByName(chosen_by_modes(features, recommended).join(wanted_modes, ["config_id", "label"], "left_semi"))
         configs = configs.select("config_id", "label").unionByName(modes.select("config_id", "label"))
-    groups = chosen.groupBy("config_id", "doc_id", "label").agg(F.array_sort(F.collect_list("candidate_id")).alias("ids"))
-    picks = groups.select("doc_id", "label", "ids").distinct()
-    spans = picks.select("doc_id", "label", "ids", F.explode("ids").alias("candidate_id")).join(features.select("doc_id", "label", "candidate_id", "start", "end"), ["doc_id", "label", "candidate_id"])
-    predicted = _sides(tokens, spans, ["doc_id", "label", "ids"], "p")
-    wanted = _sides(tokens, gold, ["doc_id", "label"], "g")
-    sums = predicted.join(wanted, ["doc_id", "label", "ord"], "left").groupBy("doc_id", "label", "ids").agg(F.count("*").alias("p"), F.count("g").alias("tp"))
-    totals = wanted.groupBy("label").agg(F.count("*").alias("g"))
-    by_config = groups.join(sums, ["doc_id", "label", "ids"]).groupBy("config_id", "label").agg(F.sum("p").alias("p"), F.sum("tp").alias("tp"))
-    every = configs.select("config_id", "label").join(by_config, ["config_id", "label"], "left").join(totals, "label", "left").na.fill(0, ["p", "tp", "g"])
-    tp, fp, fn = F.col("tp"), F.col("p") - F.col("tp"), F.col("g") - F.col("tp")
-    return every.select("config_id", "label", "tp", fp.alias("fp"), fn.alias("fn"), *T.f_scores(tp, fp, fn))
+    return _with_scores(_sums(chosen, features, tokens, gold), configs, tokens, gold)
+
+
+def grid_sums(features: DataFrame, tokens: DataFrame, gold: DataFrame) -> DataFrame:
+    """config_id, label, p, tp of the whole grid() in one row a group. tokens: doc_id and arrays of start and end.
+
+    A rule keeps what its votes keep, what its experts keep, and what is rescued. So a group has as many selections as
+    distinct sets by votes times distinct sets by experts, times two: a handful instead of hundreds, and each is folded
+    and counted once. Only the sums by configuration leave the row."""
+    profiles, n_e = list(L.VOTE_PROFILES.values()), len(L.EXPERT_SUPPORTS) * len(L.CONFIDENCES)
+    strict = F.col("label").isin(select.R.L.STRICT_LABELS)
+    item = F.struct("number", *select._ITEM, "support", "confidence", "rescued", F.array(*(select.V.weighted_keep(F.array(*(F.lit(w) for w in p))) for p in profiles)).alias("shares"))
+    groups = features.filter("fits AND NOT weak").groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(item), lambda a, b: a["number"] - b["number"]).alias("items"))
+    spans = gold.groupBy("doc_id", "label").agg(F.collect_list(F.struct("start", "end")).alias("gold"))
+    rows = groups.join(tokens, "doc_id").join(spans, ["doc_id", "label"], "left")
+    meets = lambda s: F.filter(F.transform("tokens", lambda t, k: F.when((t["start"] < s["end"]) & (s["start"] < t["end"]), k)), lambda k: k.isNotNull())
+    rows = rows.withColumn("items", F.transform("items", lambda c: c.withField("tokens", meets(c)))).withColumn("gold", F.array_distinct(F.flatten(F.transform(F.coalesce("gold", F.array().cast("array<struct<start:int,end:int>>")), meets)))).drop("tokens")
+    numbers = lambda test: F.transform(F.filter("items", test), lambda c: c["number"])
+
+    def by_votes(p: int, f: float):
+        return numbers(lambda c: F.get(c["shares"], F.lit(p)) >= (2 / 3 if abs(f - 0.67) < 0.005 else f))
+
+    def by_experts(s: int, x: float):
+        return numbers(lambda c: (c["support"] >= s) & (c["confidence"] >= x))
+
+    rows = rows.withColumn("votes", F.array(*(by_votes(p, f) for p in range(len(profiles)) for f in L.VOTE_FRACTIONS)))
+    rows = rows.withColumn("experts", F.array(*(by_experts(s, x) for s in L.EXPERT_SUPPORTS for x in L.CONFIDENCES)))
+    rows = rows.withColumn("rescued", numbers(lambda c: c["rescued"])).withColumn("vd", F.array_distinct("votes")).withColumn("ed", F.array_distinct("experts"))
+    none = F.array().cast("array<int>")
+    both = lambda v: F.transform("ed", lambda e: F.transform(F.array(none, F.col("rescued")), lambda r: F.concat(v, e, r)))
+    rows = rows.withColumn("cross", F.flatten(F.flatten(F.transform("vd", both))))
+
+    def counted(chosen):
+        kept = select.without_redundant(F.filter("items", lambda c: F.array_contains(chosen, c["number"])), strict)
+        return T.let(F.array_distinct(F.flatten(F.transform(kept, lambda c: c["tokens"]))), lambda t: F.struct(F.size(t).alias("p"), F.size(F.array_intersect(t, F.col("gold"))).alias("tp")))
+
+    rows = rows.select("label", F.transform("cross", counted).alias("sums"), F.size("ed").alias("n"), F.transform("votes", lambda v: F.array_position("vd", v).cast("int") - 1).alias("iv"), F.transform("experts", lambda e: F.array_position("ed", e).cast("int") - 1).alias("ie"))
+    place = lambda v, e, r: (F.get("iv", v) * F.col("n") + F.get("ie", e)) * 2 + r
+    every = F.transform(F.sequence(F.lit(0), F.lit(len(profiles) * len(L.VOTE_FRACTIONS) * n_e * 2 - 1)), lambda k: F.get("sums", place(F.floor(k / (2 * n_e)).cast("int"), (F.floor(k / 2) % n_e).cast("int"), (k % 2).cast("int"))))
+    flat = rows.select("label", F.posexplode(every).alias("k", "s"))
+    return flat.groupBy((F.col("k") + len(L.FIXED_MODES)).cast("int").alias("config_id"), "label").agg(F.sum("s.p").alias("p"), F.sum("s.tp").alias("tp"))
+
+
+def grid_scored(features: DataFrame, docs: DataFrame, gold: DataFrame, recommended: DataFrame | None = None) -> DataFrame:
+    """scored() of the fixed modes and the whole grid. docs: doc_id and arrays of tokens."""
+    spark = features.sparkSession
+    tokens = docs.select("doc_id", F.posexplode("tokens").alias("ord", "t")).select("doc_id", "ord", "t.start", "t.end")
+    modes = _sums(chosen_by_modes(features, recommended), features, tokens, gold)
+    configs = grid(spark).select("config_id", "label").unionByName(fixed_modes(spark).select("config_id", "label"))
+    return _with_scores(grid_sums(features, docs, gold).unionByName(modes), configs, tokens, gold)
 
 
 def best(scores: DataFrame, prefer: str = "f1") -> DataFrame:

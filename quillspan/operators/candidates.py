@@ -109,3 +109,22 @@ def capped(new: DataFrame, existing: DataFrame, most: int = 80, key: str = "doc_
     fresh = new.filter("reason = 'accepted'").join(existing.select(key, "label", "start", "end"), [key, "label", "start", "end"], "left_anti")
     order = Window.partitionBy(key, "label").orderBy("start", "end", "method")
     return fresh.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("rank")
+
+
+def pre_expanded(docs: DataFrame, registry: DataFrame, most: int = 80, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The registry with up to `most` new spans of each core label, and the new ones alone.
+
+    New spans are pattern matches, cue clauses, and alternatives inside long candidates, each once under its first
+    method's name; invalid ones and ones that exist are left out. Their numbers follow the label's last one."""
+    from . import generate
+
+    new = capped(validated(generate.deterministic_spans(docs, registry, key=key), docs, key=key), registry, most, key)
+    last = registry.groupBy(key, "label").agg(F.max("number").alias("_last"))
+    place = Window.partitionBy(key, "label").orderBy("start", "end", "method")
+    rows = new.join(last, [key, "label"], "left").withColumn("number", F.coalesce("_last", F.lit(0)) + F.row_number().over(place))
+    prefix = F.element_at(F.create_map(*(F.lit(x) for kv in L.PREFIX.items() for x in kv)), F.col("label"))
+    rows = rows.select(
+        key, "label", "start", "end", "text", F.lit("deterministic_pre_expansion").alias("origin"), F.array().cast("array<string>").alias("proposed_by_experts"), F.create_map().cast("map<string,double>").alias("confidence_by_expert"),
+        F.format_string("%s-C%04d", prefix, F.col("number")).alias("candidate_id"), F.col("number").cast("int").alias("number"),
+    )
+    return registry.select(*rows.columns).unionByName(rows), rows

@@ -97,6 +97,13 @@ def deduplicated(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return spans.groupBy(key, "label", "start", "end").agg(F.min("text").alias("text"), F.min("method").alias("method"))
 
 
+def deterministic_spans(docs: DataFrame, registry: DataFrame, labels: list[str] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, label, start, end, text, method: pattern matches, cue clauses and inner alternatives of the core labels."""
+    wanted = labels or L.PRE_EXPANSION_LABELS
+    inner = inner_spans(registry.filter(F.col("label").isin(wanted)), key=key)
+    return deduplicated(pattern_spans(docs, wanted, text=text, key=key).unionByName(cue_clauses(docs, wanted, text, key)).unionByName(inner), key)
+
+
 def heading_sections(paragraphs: DataFrame, key: str = "file", order: str = "ord", text: str = "text") -> DataFrame:
     """Paragraphs with the last heading before them (a short line that ends in a colon or is all capitals)."""
     from pyspark.sql import Window

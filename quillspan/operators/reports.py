@@ -79,3 +79,18 @@ def variant_report(scores: DataFrame, prefer: str = "f1") -> DataFrame:
 
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def readable(metrics: DataFrame) -> DataFrame:
+    """family, label, line: scores as text, one line a label, micro and macro last."""
+    place = F.when(F.col("label") == "micro", 100).when(F.col("label") == "macro", 101).otherwise(F.array_position(F.array(*(F.lit(x) for x in L.LABELS)), F.col("label")))
+    number = lambda c: F.format_string("%s=%.4f", F.lit(c), F.col(c).cast("double"))
+    line = F.concat_ws(" ", F.rpad("label", 22, " "), number("precision"), number("recall"), number("f1"), F.format_string("tp=%s fp=%s fn=%s", F.coalesce(F.col("tp").cast("string"), F.lit("-")), F.coalesce(F.col("fp").cast("string"), F.lit("-")), F.coalesce(F.col("fn").cast("string"), F.lit("-"))))
+    return metrics.select("family", "label", place.cast("int").alias("place"), line.alias("line"))
+
+
+def overview(final: DataFrame, state: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, label, spans, termination, consensus_reached, unresolved: what a look at a document's result shows."""
+    counts = final.groupBy(key, "label").agg(F.count("*").alias("spans"))
+    rows = state.select(key, "label", "termination", "consensus_reached", F.size("unresolved_ids").alias("unresolved"))
+    return rows.join(counts, [key, "label"], "left").na.fill(0, ["spans"])

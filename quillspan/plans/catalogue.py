@@ -574,9 +574,30 @@ def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.grid(spark)
 
 
-@query()
+_SHARE = "list_sum(list_transform(range(1, 4), lambda k: CASE WHEN [" + ", ".join(L.EXPERTS) + "][k] = 'keep' THEN vote_weights[k] ELSE 0.0::double END)) / list_sum(vote_weights)"
+_FIXED = {"expert_consensus_verified": "mode_expert_consensus_verified", "pubmedbert_plus_verified": "mode_pubmedbert_plus_verified", "registry_filtered": "mode_registry_filtered"}
+
+
+def _best_sql() -> str:
+    modes = " UNION ALL ".join(f"SELECT {L.FIXED_MODES.index(m)} AS config_id, doc_id, label, candidate_id FROM ({ORACLE_SQL[name]})" for m, name in _FIXED.items())
+    return f"""{O.gold_cte()}, {_TOKENS}, {_GRID}, ok AS MATERIALIZED (SELECT *, CASE WHEN support > 0 THEN confidence ELSE 0 END AS top FROM feature WHERE fits AND NOT weak),
+    ch AS MATERIALIZED (SELECT o.doc_id, o.label, g.config_id, list_sort(list(number)) AS ns FROM ok o JOIN grid g USING (label) WHERE {_SHARE} >= CASE WHEN abs(min_vote_fraction - 0.67) < 0.005 THEN 2 / 3.0::double ELSE min_vote_fraction END OR (support >= min_expert_support AND top >= min_confidence) OR (use_high_quality_rescue AND rescued) GROUP BY ALL),
+    sig AS (SELECT DISTINCT doc_id, label, ns FROM ch), lists AS (SELECT doc_id, label, ns, list([{O.item()}] ORDER BY number) AS l FROM sig JOIN ok USING (doc_id, label) WHERE list_contains(ns, number) GROUP BY ALL),
+    kept AS (SELECT doc_id, label, ns, unnest({O.redundant_fold("l")}) AS candidate_id FROM lists), gt AS (SELECT DISTINCT t.doc_id, ts, label FROM toks t JOIN gold s ON t.doc_id = s.doc_id AND ts < s."end" AND s.start < te),
+    hit AS (SELECT DISTINCT k.doc_id, k.label, ns, ts FROM kept k JOIN cands c USING (doc_id, label, candidate_id) JOIN toks t ON t.doc_id = k.doc_id AND ts < c."end" AND c.start < te), hs AS (SELECT doc_id, label, ns, count(*) AS p, count(g.ts) AS tp FROM hit LEFT JOIN gt g USING (doc_id, label, ts) GROUP BY ALL),
+    rules AS (SELECT config_id, label, sum(p) AS p, sum(tp) AS tp FROM ch JOIN hs USING (doc_id, label, ns) GROUP BY ALL), mc AS ({modes}), mh AS (SELECT DISTINCT config_id, m.doc_id, m.label, ts FROM mc m JOIN cands c USING (doc_id, label, candidate_id) JOIN toks t ON t.doc_id = m.doc_id AND ts < c."end" AND c.start < te),
+    fixed AS (SELECT config_id, label, count(*) AS p, count(g.ts) AS tp FROM mh LEFT JOIN gt g USING (doc_id, label, ts) GROUP BY ALL), sums AS (SELECT * FROM rules UNION ALL SELECT * FROM fixed), totals AS (SELECT label, count(*) AS g FROM gt GROUP BY ALL),
+    every AS (SELECT c.config_id, c.label, coalesce(tp, 0) AS tp, coalesce(p, 0) - coalesce(tp, 0) AS fp, coalesce(g, 0) - coalesce(tp, 0) AS fn FROM (SELECT config_id, label FROM grid UNION ALL SELECT k::int, label FROM dim, range({len(L.FIXED_MODES)}) _(k)) c LEFT JOIN sums USING (config_id, label) LEFT JOIN totals USING (label)),
+    pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::double, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::double, 0) AS recall FROM every), fs AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM pr),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, recall DESC, precision DESC, config_id) AS n FROM fs)
+    SELECT config_id::int AS config_id, label, tp::bigint AS tp, fp::bigint AS fp, fn::bigint AS fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM r WHERE n = 1"""
+
+
+@query(_best_sql())
 def grid_best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrate.tuned(_features(spark, sf_dir), _study_tokens(spark, sf_dir), _gold(spark, sf_dir), calibrate.grid(spark), modes=calibrate.fixed_modes(spark))
+    rows = store.stored(_features(spark, sf_dir), "features")
+    gold = rows.filter(_is_gold()).select("doc_id", "label", *_moved())
+    return _rounded(calibrate.best(calibrate.grid_scored(rows, generate.token_arrays(studies(spark, sf_dir)), gold)), "precision", "recall", "f1")
 
 
 _DEFAULT = f"fits AND NOT weak AND (support >= 2 OR {O.AGREED})"
