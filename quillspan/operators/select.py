@@ -71,13 +71,15 @@ def _keeps_outer(label: Column, outer: Column, inner: Column) -> Column:
 
 
 def without_contained(items: Column, label: Column) -> Column:
-    """Fold over ordered pairs: of a strict containment of two kept spans the loser goes; a lost outer span asks no more."""
+    """Fold over ordered pairs: of a strict containment of two kept spans the loser goes; a lost outer span asks no more.
+
+    Only pairs of which one contains the other are built."""
     n = F.size(items)
-    pairs = F.flatten(F.transform(items, lambda a: F.transform(items, lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = F.flatten(F.transform(items, lambda a: F.transform(F.filter(items, lambda b: _contains(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
     def step(gone: Column, p: Column) -> Column:
         a, b = p["a"], p["b"]
-        live = ~F.array_contains(gone, a["candidate_id"]) & ~F.array_contains(gone, b["candidate_id"]) & _contains(a, b)
+        live = ~F.array_contains(gone, a["candidate_id"]) & ~F.array_contains(gone, b["candidate_id"])
         loser = F.when(_keeps_outer(label, a, b), b["candidate_id"]).otherwise(a["candidate_id"])
         return F.when(live, F.concat(gone, F.array(loser))).otherwise(gone)
 

@@ -67,8 +67,13 @@ def _matrix(cands: DataFrame) -> DataFrame:
     return votes.vote_matrix(cands, _votes(cands), ["doc_id", "label", "candidate_id"])
 
 
+def _stored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates as a table, for queries that read them more than once."""
+    return store.stored(pattern_candidates(spark, sf_dir), "candidates")
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cands = pattern_candidates(spark, sf_dir)
+    cands = _stored_candidates(spark, sf_dir)
     return select.features(cands, _matrix(cands))
 
 
@@ -246,7 +251,7 @@ def _cue_sql(labels: list[str]) -> str:
     SELECT doc_id, label, start::int AS start, "end"::int AS "end", text, method, reason, 'info' AS severity FROM fresh WHERE k <= 80""")
 def pre_expansion_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = studies(spark, sf_dir)
-    existing = pattern_candidates(spark, sf_dir)
+    existing = _stored_candidates(spark, sf_dir)
     new = generate.deduplicated(generate.cue_clauses(docs, L.PRE_EXPANSION_LABELS).unionByName(generate.inner_spans(existing)))
     return candidates.capped(candidates.validated(new, docs), existing, 80)
 
@@ -343,7 +348,7 @@ _ROLE_COLUMNS = ", ".join(L.EXPERTS)
 
 @query(f"{O.candidates_cte()} SELECT doc_id, label, candidate_id, {_ROLE_COLUMNS} FROM votes")
 def vote_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matrix(pattern_candidates(spark, sf_dir))
+    return _matrix(_stored_candidates(spark, sf_dir))
 
 
 _PAIRS = " UNION ALL ".join(f"SELECT label, '{a}' AS left_role, '{b}' AS right_role, {a} AS a, {b} AS b FROM votes" for a, b in (("SciBERT", "PubMedBERT"), ("SciBERT", "ClinicalBERT"), ("PubMedBERT", "ClinicalBERT")))
@@ -376,8 +381,9 @@ def consistency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{O.candidates_cte()}, s AS (SELECT doc_id, label, {_KEEPS} AS k FROM feature WHERE fits)
     SELECT doc_id, label, count(*) AS selected, count_if(k = 3)::bigint AS unanimous, count_if(k >= 2)::bigint AS majority, count_if(k < 3)::bigint AS unresolved, count_if(k < 3) = 0 AS consensus_reached FROM s GROUP BY doc_id, label""")
 def label_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = select.mode(_features(spark, sf_dir), "registry_filtered")
-    return votes.consensus(chosen, vote_matrix(spark, sf_dir), ["doc_id", "label"], ["doc_id", "label", "candidate_id"])
+    rows = store.stored(_features(spark, sf_dir), "features")
+    matrix = rows.select("doc_id", "label", "candidate_id", *L.EXPERTS)
+    return votes.consensus(select.mode(rows, "registry_filtered"), matrix, ["doc_id", "label"], ["doc_id", "label", "candidate_id"])
 
 
 # --- selection ------------------------------------------------------------------------------------------------------
@@ -413,7 +419,7 @@ _mode_query("expert_consensus_verified", None, sql=f"{O.candidates_cte()}, {O.wi
     least(a."end", b."end") - greatest(a.start, b.start) AS shared, least(a."end" - a.start, b."end" - b.start) AS shorter, a.start = b.start AND a."end" = b."end" AS same FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.o < b.o AND a.start < b."end" AND b.start < a."end")
     SELECT doc_id, CASE WHEN same THEN 'exact_duplicate_cross_label' ELSE 'heavy_overlap_cross_label' END AS type, left_label, right_label, left_id, right_id, shared::int AS overlap_chars FROM p WHERE same OR shared / shorter::double >= 0.8""")
 def cross_label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.cross_label_conflicts(_features(spark, sf_dir).filter("fits"))
+    return select.cross_label_conflicts(store.stored(_features(spark, sf_dir).filter("fits").select("doc_id", "label", "candidate_id", "start", "end", "text"), "fitting"))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------
@@ -511,7 +517,8 @@ def matched_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{O.gold_cte()}, c AS (SELECT d.label, count(g.doc_id) AS gold_spans, count_if(EXISTS (SELECT 1 FROM cands r WHERE r.doc_id = g.doc_id AND r.label = g.label AND r.start = g.start AND r."end" = g."end")) AS matched FROM dim d LEFT JOIN gold g USING (label) GROUP BY d.label),
     a AS (SELECT label, gold_spans::bigint AS gold_spans, matched::bigint AS matched FROM c UNION ALL SELECT 'micro', sum(gold_spans)::bigint, sum(matched)::bigint FROM c) SELECT label, gold_spans, matched, round(coalesce(matched / nullif(gold_spans, 0)::double, 0), 6) AS recall FROM a""")
 def oracle_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.oracle_recall(_gold(spark, sf_dir), pattern_candidates(spark, sf_dir)), "recall")
+    spans = store.stored(_spans(spark, sf_dir), "spans")
+    return _rounded(evaluate.oracle_recall(spans.filter(_is_gold()).select("doc_id", "label", *_moved()), spans), "recall")
 
 
 @query(f"""{O.gold_cte()}, {_TOKENS}, gt AS (SELECT DISTINCT t.doc_id, ts, te, label FROM toks t JOIN gold s ON t.doc_id = s.doc_id AND ts < s."end" AND s.start < te), h AS (SELECT g.label, EXISTS (SELECT 1 FROM cands s WHERE s.doc_id = g.doc_id AND s.label = g.label AND ts < s."end" AND s.start < te) AS hit FROM gt g),
@@ -616,9 +623,10 @@ _BROKEN = f"""chosen AS (SELECT doc_id, label, candidate_id, start, CASE WHEN {O
 def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import integrity
 
-    chosen = select.mode(_features(spark, sf_dir), "registry_filtered").join(pattern_candidates(spark, sf_dir), ["doc_id", "label", "candidate_id"])
+    cands = _stored_candidates(spark, sf_dir)
+    chosen = select.mode(select.features(cands, _matrix(cands)), "registry_filtered").join(cands, ["doc_id", "label", "candidate_id"])
     spoiled = chosen.withColumn("end", F.when(_seed() % 29 == 0, F.col("end") + 1).otherwise(F.col("end")))
-    return integrity.violations(spoiled, pattern_candidates(spark, sf_dir), studies(spark, sf_dir))
+    return integrity.violations(spoiled, cands, studies(spark, sf_dir))
 
 
 # --- sections, realignment of escaped texts, registry ---------------------------------------------------------------------
@@ -684,7 +692,7 @@ def registry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One review of each role and group: its votes, in some groups an unknown id, in some a contradiction."""
-    cands = pattern_candidates(spark, sf_dir)
+    cands = _stored_candidates(spark, sf_dir)
     said = _votes(cands).filter("decision <> 'missing'").groupBy("doc_id", "label", "role").agg(F.collect_list(F.struct("candidate_id", "decision")).alias("decisions"))
     ids = cands.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list("candidate_id")).alias("assigned_ids"))
     roles = F.explode(F.array(*(F.lit(r) for r in L.EXPERTS))).alias("role")
@@ -778,7 +786,7 @@ def _requests(spark: SparkSession, sf_dir: str, cands: DataFrame) -> DataFrame:
 
 @query()
 def expansion_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cands = store.stored(pattern_candidates(spark, sf_dir), "candidates")
+    cands = _stored_candidates(spark, sf_dir)
     made = expansion.outcomes(_requests(spark, sf_dir, cands), studies(spark, sf_dir), cands)
     return made.select("doc_id", "ord", "label", "requested_operation", "status", "reason", "candidate_id", F.size("added").alias("n_added"))
 
