@@ -2,6 +2,10 @@
 
 run(spark, sf_dir) applies STAGES to documents. Each stage is written as Parquet to the shared folder and read again as
 the next stage's input; all but the last return the columns of documents.
+
+Defined cases: empty tables give an empty result; without usable labels no document is toxic; null and empty texts are
+one text to the exact stage and have one piece in the end; rows that repeat wholly are copies; columns of any other name
+pass through the stages unchanged.
 """
 
 from __future__ import annotations
