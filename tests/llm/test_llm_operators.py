@@ -383,6 +383,17 @@ def test_toxic_scores_equal_brute_force():
     assert np.allclose(model.probability(got), [1 / (1 + math.exp(-(brute(t) - 3.0))) for t in texts])
 
 
+def test_logistic_curve_of_separable_classes():
+    """The curve separates what can be separated, wherever the classes lie, and follows the share where nothing can be."""
+    for low, high, n in ((0.0, 11.0, 40), (0.0, 50.0, 3), (4.0, 6.0, 500), (0.0, 0.2, 2000)):
+        x, y = np.array([low] * 8 + [high]), np.array([0.0] * 8 + [1.0])
+        a, b = toxicity._logistic(x, y, np.full(9, n / 3))
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        assert a > 0 and p[0] < 0.3 and p[-1] > 0.5
+    a, b = toxicity._logistic(np.zeros(4), np.array([0.0, 0.0, 0.0, 1.0]), np.full(4, 50.0))
+    assert 1 / (1 + math.exp(-b)) == pytest.approx(0.25, abs=0.01)
+
+
 def test_stems_keep_their_odds_under_any_ending(spark):
     """Compounds of a stem with free endings are found in held-out rows; the stem also stands in a few clean texts."""
     rng = random.Random(8)
