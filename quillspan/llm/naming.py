@@ -123,10 +123,22 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str =
 
 def without_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_groups keeps, with all their columns; of wholly repeated rows one stays."""
-    kept = exact_groups(docs, block_bytes, id_col, text_col).filter("kept").select("doc_id", "text_sha256")
+    known, kept_id, text = _unused(docs, "known", "kept_id", "kept_text")
+    kept = exact_groups(docs, block_bytes, id_col, text_col).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(text))
     normal = F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(normal, 256).alias("digest"))
-    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("text_sha256"))
-    once = Window.partitionBy("digest", "id").orderBy("id")
-    rows = packed.join(durable.stored(kept, "kept").hint("merge"), same, "left_semi").withColumn("again", F.row_number().over(once))
-    return rows.filter("again = 1").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    rows = docs.withColumn(known, F.sha2(normal, 256))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(known) == F.col(text))
+    (again,) = _unused(rows, "again")
+    once = Window.partitionBy(known, id_col).orderBy(id_col)
+    rows = rows.join(durable.stored(kept, "kept").hint("merge"), same, "left_semi").withColumn(again, F.row_number().over(once))
+    return rows.filter(F.col(again) == 1).drop(again, known)
+
+
+def _unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names of helper columns that docs doesn't use."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
