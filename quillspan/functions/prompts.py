@@ -81,3 +81,18 @@ def local_snippet(name: Column, text: Column) -> Column:
 def batch_of(place: Column, size: int) -> Column:
     """Number of the fixed-size batch that a place (from 0) falls into."""
     return F.floor(place / max(1, size)).cast("int")
+
+
+def review_prompt(role: Column, label: Column, guidelines: Column, candidates: Column, units: Column) -> tuple[Column, Column]:
+    """System and user text by which a reviewer decides on each candidate of a label. All arguments are texts."""
+    system = F.concat(F.lit("You are "), role, F.lit(". Decide keep or reject for every listed candidate of the label. Use only listed ids. You may propose exact quotes of the shown sentences."))
+    user = F.concat_ws("\n\n", F.concat(F.lit("LABEL: "), label), F.concat(F.lit("GUIDELINES:\n"), guidelines), F.concat(F.lit("CANDIDATES:\n"), candidates), F.concat(F.lit("SENTENCES:\n"), units))
+    return system, user
+
+
+def meta_prompt(role: Column, label: Column, guidelines: Column, candidates: Column, units: Column, votes: Column, round_: Column, allow_expansion: bool = True) -> tuple[Column, Column]:
+    """System and user text by which a meta agent selects candidates, with the votes; no requests in a last round."""
+    system = F.concat(F.lit("You are "), role, F.lit(". Select from the listed candidates and prove each by an exact quote of a shown sentence. Write no spans of your own."))
+    last = [] if allow_expansion else [F.lit("This is the last pass: return no expansion requests.")]
+    user = F.concat_ws("\n\n", F.concat(F.lit("LABEL: "), label), F.concat(F.lit("GUIDELINES:\n"), guidelines), F.concat(F.lit("CANDIDATES:\n"), candidates), F.concat(F.lit("SENTENCES:\n"), units), F.concat(F.lit("VOTES:\n"), votes), F.concat(F.lit("ROUND: "), round_.cast("string")), *last)
+    return system, user

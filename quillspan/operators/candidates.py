@@ -128,3 +128,14 @@ def pre_expanded(docs: DataFrame, registry: DataFrame, most: int = 80, key: str
         F.format_string("%s-C%04d", prefix, F.col("number")).alias("candidate_id"), F.col("number").cast("int").alias("number"),
     )
     return registry.select(*rows.columns).unionByName(rows), rows
+
+
+def spans_of(ids: DataFrame, registry: DataFrame, strict: bool = True, key: str = "doc_id") -> DataFrame:
+    """ids (key, label, pos, candidate_id) with start, end and text of their candidates.
+
+    An id that the registry doesn't hold raises when rows are read, or is left out where strict is off."""
+    rows = ids.join(registry.select(key, "label", "candidate_id", "start", "end", "text"), [key, "label", "candidate_id"], "left" if strict else "inner")
+    if not strict:
+        return rows
+    unknown = F.raise_error(F.concat(F.lit("no such candidate: "), F.col("candidate_id"))).cast("int")
+    return rows.withColumn("start", F.when(F.col("start").isNull(), unknown).otherwise(F.col("start")))

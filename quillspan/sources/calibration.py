@@ -60,6 +60,31 @@ def payloads(spark: SparkSession, files: list[str] = (), folders: list[str] = ()
     return rows.select("source_file", many.alias("many"), F.posexplode(listed).alias("place", "payload")).select("source_file", "place", F.when(F.col("many"), F.concat(name, F.lit("#"), F.col("place"))).otherwise(name).alias("name"), "payload")
 
 
+_SPAN = "struct<candidate_id:string,label:string,start:int,end:int,text:string,proposed_by_experts:array<string>,confidence_by_expert:map<string,double>>"
+
+
+def payload_spans(predictions: DataFrame, field: str = "final_spans_by_label") -> DataFrame:
+    """source_file, place, label, pos and a span's fields from an object of lists by label in each payload; labels that are
+    unknown are left out. final_spans_by_label and label_candidate_registries have this shape."""
+    lists = F.explode(F.array(*(F.struct(F.lit(x).alias("label"), F.try_variant_get("payload", f"$.{field}.{x}", f"array<{_SPAN}>").alias("spans")) for x in L.LABELS))).alias("l")
+    rows = predictions.select("source_file", "place", lists).select("source_file", "place", F.col("l.label").alias("label"), F.posexplode("l.spans").alias("pos", "s"))
+    return rows.select("source_file", "place", "label", "pos", *(F.col(f"s.{c}") for c in ("candidate_id", "start", "end", "text", "proposed_by_experts", "confidence_by_expert")))
+
+
+def payload_ids(predictions: DataFrame, field: str = "recommended_candidate_ids_by_label") -> DataFrame:
+    """source_file, place, label, pos, candidate_id from an object of lists of ids by label in each payload."""
+    lists = F.explode(F.array(*(F.struct(F.lit(x).alias("label"), F.try_variant_get("payload", f"$.{field}.{x}", "array<string>").alias("ids")) for x in L.LABELS))).alias("l")
+    return predictions.select("source_file", "place", lists).select("source_file", "place", F.col("l.label").alias("label"), F.posexplode("l.ids").alias("pos", "candidate_id"))
+
+
+def payload_votes(predictions: DataFrame) -> DataFrame:
+    """source_file, place, label, candidate_id, role, decision from the payloads' vote matrices."""
+    kind = "map<string,map<string,string>>"
+    lists = F.explode(F.array(*(F.struct(F.lit(x).alias("label"), F.try_variant_get("payload", f"$.candidate_vote_matrices_by_label.{x}", kind).alias("votes")) for x in L.LABELS))).alias("l")
+    rows = predictions.select("source_file", "place", lists).select("source_file", "place", F.col("l.label").alias("label"), F.explode("l.votes").alias("candidate_id", "cast"))
+    return rows.select("source_file", "place", "label", "candidate_id", F.explode("cast").alias("role", "decision"))
+
+
 def configurations(spark: SparkSession, path: str) -> DataFrame:
     """label and its rule from a JSON object with an object `labels`; a label that is missing raises."""
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"labels map<string,{RULE}>").alias("c"))

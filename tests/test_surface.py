@@ -5,9 +5,10 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillspan.functions import sql
-from quillspan.operators import generate
+from quillspan.functions import prompts, sql
+from quillspan.operators import calibrate, candidates, generate
 from quillspan.sources import calibration, records
 from quillspan.streaming import ingest
 
@@ -65,3 +66,38 @@ def test_file_stream(spark, tmp_path):
         ingest.ingest(ingest.record_stream(spark, folder), out, checkpoint).awaitTermination(60)
     got = sorted((r["doc_id"], r["sentence_id"], r["text"]) for r in spark.read.parquet(out).collect())
     assert got == [(1, "S0001", "One."), (1, "S0002", "Two."), (3, "S0001", "Three!")]
+
+
+def test_payloads_are_flattened(spark, tmp_path):
+    (tmp_path / "a.labelcentered.json").write_text(json.dumps({
+        "label_candidate_registries": {"Outcome": [{"candidate_id": "OUT-C0001", "label": "Outcome", "start": 0, "end": 4, "text": "mood", "proposed_by_experts": ["SciBERT"], "confidence_by_expert": {"SciBERT": 0.5}}], "Other": [{"candidate_id": "X"}]},
+        "candidate_vote_matrices_by_label": {"Outcome": {"OUT-C0001": {"SciBERT_Outcome": "keep"}}},
+        "recommended_candidate_ids_by_label": {"Outcome": ["OUT-C0001", "OUT-C0009"]},
+    }))
+    held = calibration.payloads(spark, folders=[str(tmp_path)])
+    assert [(r["label"], r["pos"], r["candidate_id"], r["text"], r["confidence_by_expert"]) for r in calibration.payload_spans(held, "label_candidate_registries").collect()] == [("Outcome", 0, "OUT-C0001", "mood", {"SciBERT": 0.5})]
+    ids = calibration.payload_ids(held)
+    assert [r["candidate_id"] for r in ids.orderBy("pos").collect()] == ["OUT-C0001", "OUT-C0009"]
+    assert [tuple(r)[2:] for r in calibration.payload_votes(held).collect()] == [("Outcome", "OUT-C0001", "SciBERT_Outcome", "keep")]
+    registry = calibration.payload_spans(held, "label_candidate_registries").withColumn("doc_id", F.col("place"))
+    wanted = ids.withColumn("doc_id", F.col("place")).select("doc_id", "label", "pos", "candidate_id")
+    assert candidates.spans_of(wanted, registry, strict=False).count() == 1
+    with pytest.raises(Exception, match="no such candidate"):
+        candidates.spans_of(wanted, registry).collect()
+
+
+def test_splits_are_fixed_by_seed_and_key(spark):
+    rows = spark.range(50).withColumnRenamed("id", "doc_id")
+    one = {r["doc_id"]: r["split"] for r in calibrate.split(rows, "doc_id", [("dev", 10), ("check", 5)]).collect()}
+    two = {r["doc_id"]: r["split"] for r in calibrate.split(rows.repartition(7), "doc_id", [("dev", 10), ("check", 5)]).collect()}
+    assert one == two and sorted(one.values()) == ["check"] * 5 + ["dev"] * 10 + ["test"] * 35
+    assert one != {r["doc_id"]: r["split"] for r in calibrate.split(rows, "doc_id", [("dev", 10), ("check", 5)], seed=14).collect()}
+
+
+def test_prompt_texts(spark):
+    lit = lambda t: F.lit(t)
+    system, user = prompts.review_prompt(prompts.doctor_role(lit("SciBERT"), lit("Outcome")), lit("Outcome"), lit("g"), lit("c"), lit("u"))
+    meta, asked = prompts.meta_prompt(prompts.meta_role(lit("Outcome")), lit("Outcome"), lit("g"), lit("c"), lit("u"), lit("v"), lit(4), False)
+    row = spark.range(1).select(system.alias("s"), user.alias("u"), meta.alias("m"), asked.alias("a")).first()
+    assert "SciBERT_Outcome_DoctorAgent" in row["s"] and "CANDIDATES:\nc" in row["u"] and "Outcome_MetaAgent" in row["m"]
+    assert row["a"].endswith("return no expansion requests.") and "ROUND: 4" in row["a"]
