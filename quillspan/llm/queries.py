@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, durable, encoding, jaccard, language, licences, naming, packing, substrings, toxicity, vectors
+from . import counting, durable, encoding, filters, jaccard, language, licences, lines, naming, packing, substrings, toxicity, vectors, whitening
 
 
 def tokenizer(name: str) -> str:
@@ -62,11 +62,27 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(durable.documents(spark, sf_dir), 4, 85)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_toxicity, op4_bpe_encoding, op5_embedding_near_dedup, op6_suffix_array_dedup, op7_best_fit_packing, op8_token_counts, op9_license_scans, op10_ngram_jaccard_join)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = durable.documents(spark, sf_dir)
+    out = lines.clean(docs, lines.insert(docs))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.interactions(durable.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_toxicity, op4_bpe_encoding, op5_embedding_near_dedup, op6_suffix_array_dedup, op7_best_fit_packing, op8_token_counts, op9_license_scans, op10_ngram_jaccard_join, op11_line_dedup, op12_filter_interaction_audit, op13_embedding_whitening)}
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""",
     "op9_license_scans": licences.oracle_sql(),
+    "op11_line_dedup": lines.oracle_sql(),
+    "op12_filter_interaction_audit": filters.oracle_sql(),
 }
