@@ -55,7 +55,8 @@ def cover(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
 
 
-WORD = r"[\p{L}\p{N}_]+(?:[-\x{2019}'][\p{L}\p{N}_]+)*"
+# Possessive: the parts share no character, so that nothing is tried again; Java would keep a frame for each repetition.
+WORD = r"[\p{L}\p{N}_]++(?:[-\x{2019}'][\p{L}\p{N}_]++)*+"
 _NOT_SPACE = "[^" + SPACE[1:]
 
 

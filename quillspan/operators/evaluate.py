@@ -6,9 +6,15 @@ metric has a row for each label, also for labels without spans; micro sums label
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions import intervals as I
 from ..functions import labels as L
 from ..functions import text as T
 from .candidates import label_ord
@@ -71,20 +77,24 @@ def _lists(both: DataFrame, by: list[str], order: bool) -> DataFrame:
 
 
 def _matched(lists: DataFrame, threshold: float) -> DataFrame:
-    """lists with a column m: the pairs (score, i, j) that are matched, best first.
-
-    Pairs that don't overlap are dropped before they are built."""
-    near = lambda a: F.filter(F.transform("ps", lambda b, j: F.struct(T.iou(a["start"], a["end"], b["start"], b["end"]).alias("score"), j.alias("j"))), lambda x: (x["score"] >= threshold))
-    pairs = F.flatten(F.transform("gs", lambda a, i: F.transform(near(a), lambda x: F.struct(x["score"].alias("score"), i.alias("i"), x["j"].alias("j")))))
-
-    def step(taken: Column, x: Column) -> Column:
-        free = ~F.exists(taken, lambda y: (y["i"] == x["i"]) | (y["j"] == x["j"]))
-        return F.when(free, F.concat(taken, F.array(x))).otherwise(taken)
-
-    def folded(order: Column) -> Column:
-        return F.aggregate(order, F.slice(order, 1, 0), step)
-
-    return lists.withColumn("m", T.let(F.reverse(F.array_sort(pairs)), folded))
+    """lists with a column m: the pairs (score, i, j) that are matched, best first. Rows are independent groups."""
+    names = lists.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in I.sliced(batches, lambda b: I.lengths(b["gs"]) + I.lengths(b["ps"])):
+            sides, bases = [], []
+            for side in ("gs", "ps"):
+                many, spans = I.lengths(part[side]), part[side].flatten()
+                sides.append((np.repeat(np.arange(part.num_rows), many), I.field(spans, "start").astype(np.int64), I.field(spans, "end").astype(np.int64)))
+                bases.append(np.cumsum(many) - many)
+            i, j, score = (np.array(x) for x in I.greedy_matches(*sides, part.num_rows, threshold))
+            i, j = i.astype(np.int64), j.astype(np.int64)
+            row = sides[0][0][i]
+            pairs = pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array((i - bases[0][row]).astype(np.int32)), pa.array((j - bases[1][row]).astype(np.int32))], ["score", "i", "j"])
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=part.num_rows)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.ListArray.from_arrays(pa.array(ends), pairs)], [*names, "m"])
+
+    return lists.mapInArrow(run, StructType([*lists.schema.fields, *StructType.fromDDL("m array<struct<score:double,i:int,j:int>>").fields]))
 
 
 def greedy_of(both: DataFrame, threshold: float, same_label: bool = True) -> DataFrame:
@@ -141,20 +151,32 @@ def character_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def flagged_of(tokens: DataFrame, both: DataFrame) -> DataFrame:
     """doc_id, ord, g, p: tokens with the labels of gold and predicted spans that overlap them, as bit sets by label
-    order. tokens: doc_id and an array of start and end; a document's spans meet its tokens before they become rows."""
-    item = F.struct("start", "end", F.when(F.col("side") == "g", F.pow(F.lit(2), label_ord(F.col("label")))).otherwise(0).cast("int").alias("g"), F.when(F.col("side") == "p", F.pow(F.lit(2), label_ord(F.col("label")))).otherwise(0).cast("int").alias("p"))
-    lists = both.filter("end > start").groupBy("doc_id").agg(F.collect_list(item).alias("spans"))
-    docs = tokens.join(lists, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,g:int,p:int>>")))
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("p"))
-
-    def bits(t: Column) -> Column:
-        def add(a: Column, s: Column) -> Column:
-            return F.when((s["start"] < t["end"]) & (t["start"] < s["end"]), F.struct(a["g"].bitwiseOR(s["g"]).alias("g"), a["p"].bitwiseOR(s["p"]).alias("p"))).otherwise(a)
-
-        return F.aggregate("spans", start, add)
-
-    made = docs.select("doc_id", F.posexplode(F.transform("tokens", bits)).alias("ord", "b"))
-    return made.select("doc_id", "ord", "b.g", "b.p")
+    order. tokens: doc_id and an array of start and end.
+
+    A document's spans meet its tokens before they become rows; borders of each side and label are sorted once and
+    searched for each token, so that a document costs its tokens and spans times a logarithm."""
+    item = F.struct("start", "end", label_ord(F.col("label")).alias("o"), (F.col("side") == "p").alias("p"))
+    lists = both.filter("end > start").filter(F.col("label").isin(L.LABELS)).groupBy("doc_id").agg(F.collect_list(item).alias("spans"))
+    met = tokens.select("doc_id", "tokens").join(lists, "doc_id", "left").select("doc_id", "tokens", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in I.sliced(batches, lambda b: I.lengths(b["tokens"]) + I.lengths(b["spans"])):
+            many, own = I.lengths(part["tokens"]), part["tokens"].flatten()
+            spans, of = part["spans"].flatten(), np.repeat(np.arange(part.num_rows), I.lengths(part["spans"]))
+            row = np.repeat(np.arange(part.num_rows), many)
+            t_start, t_end, s_start, s_end = (I.field(x, c).astype(np.int64) for x in (own, spans) for c in ("start", "end"))
+            move = I.shifts(part.num_rows, t_start, t_end, s_start, s_end)
+            label, predicted = I.field(spans, "o"), I.field(spans, "p").astype(bool)
+            flags = {False: np.zeros(len(row), np.int32), True: np.zeros(len(row), np.int32)}
+            for side, bits in flags.items():
+                for k in np.unique(label[predicted == side]).tolist():
+                    some = (predicted == side) & (label == k)
+                    hit = I.met((s_start + move[of])[some], (s_end + move[of])[some], t_start + move[row], t_end + move[row])
+                    bits |= hit.astype(np.int32) << int(k)
+            places = np.arange(len(row)) - (np.cumsum(many) - many)[row]
+            yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(row)), pa.array(places.astype(np.int32)), pa.array(flags[False]), pa.array(flags[True])], ["doc_id", "ord", "g", "p"])
+
+    return met.mapInArrow(run, StructType([tokens.schema["doc_id"], *StructType.fromDDL("ord int, g int, p int").fields]))
 
 
 def _flagged(tokens: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -214,22 +236,35 @@ def token_confusion(flags: DataFrame) -> DataFrame:
 def character_confusion(docs: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Cells by characters, the first label in order winning on overlaps. docs: doc_id, length.
 
-    A document is cut at all span borders; each elementary piece has one gold and one predicted label."""
-    rows = gold.select("doc_id", F.lit("g").alias("side"), label_ord(F.col("label")).alias("o"), "start", "end").unionByName(predicted.select("doc_id", F.lit("p").alias("side"), label_ord(F.col("label")).alias("o"), "start", "end"))
-    lists = docs.select("doc_id", "length").join(rows.groupBy("doc_id").agg(F.collect_list(F.struct("side", "o", "start", "end")).alias("spans")), "doc_id", "left")
-    lists = lists.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<side:string,o:int,start:int,end:int>>")))
-    ends = F.flatten(F.transform("spans", lambda s: F.array(F.least(F.greatest(s["start"], F.lit(0)), F.col("length")), F.least(F.greatest(s["end"], F.lit(0)), F.col("length")))))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.col("length")), ends)))
-    pieces = lists.withColumn("cuts", cuts).select("spans", F.explode(F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("a"), F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("b"))).alias("x"))
-
-    def first(side: str) -> Column:
-        hit = F.array_min(F.transform(F.filter("spans", lambda s: (s["side"] == side) & (s["start"] <= F.col("x.a")) & (s["end"] >= F.col("x.b"))), lambda s: s["o"]))
-        out = F.lit(NONE)
-        for k, name in enumerate(L.LABELS):
-            out = F.when(hit == k, name).otherwise(out)
-        return out
-
-    return _confusion(pieces.select(first("g").alias("gold_label"), first("p").alias("predicted_label"), (F.col("x.b") - F.col("x.a")).alias("n")), [*L.LABELS, NONE])
+    A document is cut at all span borders; a sweep gives each piece its gold and its predicted label, and a batch its
+    cells."""
+    item = F.struct("start", "end", label_ord(F.col("label")).alias("o"), (F.col("side") == "p").alias("p"))
+    lists = sides(gold, predicted).filter("end > start").filter(F.col("label").isin(L.LABELS)).groupBy("doc_id").agg(F.collect_list(item).alias("spans"))
+    met = docs.select("doc_id", F.col("length").cast("long").alias("length")).filter("length > 0").join(lists, "doc_id", "left").select("length", "spans")
+    names = [*L.LABELS, NONE]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in I.sliced(batches, lambda b: I.lengths(b["spans"]) + 1):
+            size = part["length"].to_numpy()
+            spans, of = part["spans"].flatten(), np.repeat(np.arange(part.num_rows), I.lengths(part["spans"]))
+            move = np.cumsum(size) - size
+            start, end = (np.clip(I.field(spans, c).astype(np.int64), 0, size[of]) + move[of] for c in ("start", "end"))
+            label, predicted = I.field(spans, "o"), I.field(spans, "p").astype(bool)
+            cuts = np.unique(np.concatenate((move, move + size, start, end)))
+            from_, to = cuts[:-1], cuts[1:]
+            tops = []
+            for side in (False, True):
+                top = np.full(len(from_), len(L.LABELS))
+                for k in range(len(L.LABELS) - 1, -1, -1):
+                    some = (predicted == side) & (label == k) & (end > start)
+                    top[I.met(start[some], end[some], from_, to)] = k
+                tops.append(top)
+            cells = np.zeros((len(names), len(names)), np.int64)
+            np.add.at(cells, tuple(tops), to - from_)
+            g, p = np.nonzero(cells)
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in g], pa.string()), pa.array([names[k] for k in p], pa.string()), pa.array(cells[g, p])], ["gold_label", "predicted_label", "n"])
+
+    return _confusion(met.mapInArrow(run, "gold_label string, predicted_label string, n long"), names)
 
 
 def presence_metrics(docs: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -4,12 +4,16 @@ features() gives each candidate what the policies ask for; mode() gives the ids
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import rules as R
 from ..functions import text as T
 from . import votes as V
+from .ranges import overlap_join
 
 MODES = ("pubmedbert_only", "majority_vote", "pubmedbert_anchor", "pubmedbert_plus_verified", "expert_consensus_verified", "registry_filtered", "registry_all")
 
@@ -56,35 +60,50 @@ def without_redundant(items: Column, strict: Column) -> Column:
     return F.aggregate(items, F.slice(items, 1, 0), step)
 
 
-def _contains(a: Column, b: Column) -> Column:
-    return (a["start"] <= b["start"]) & (b["end"] <= a["end"]) & ~((a["start"] == b["start"]) & (a["end"] == b["end"]))
-
-
-def _keeps_outer(label: Column, outer: Column, inner: Column) -> Column:
+def _stays(label: str, outer: int, inner: int, issue: list, size: list, single: list) -> bool:
     """Whether of a span and one inside it the outer one stays."""
-    by_issue = F.when(outer["issue"].isNotNull() & inner["issue"].isNull(), False).when(inner["issue"].isNotNull() & outer["issue"].isNull(), True)
-    return (
-        F.when(label.isin("SampleSize", "DesignDescription", "StatisticalAnalysis"), True)
-        .when(label == "ComparisonGroup", F.size(F.split(T.clean(inner["text"]), " ")) < 2)
-        .otherwise(F.coalesce(by_issue, F.length(inner["text"]) >= F.length(outer["text"])))
-    )
-
+    if label in ("SampleSize", "DesignDescription", "StatisticalAnalysis"):
+        return True
+    if label == "ComparisonGroup":
+        return single[inner]
+    return issue[inner] if issue[outer] != issue[inner] else size[inner] >= size[outer]
+
+
+def _uncontained(label: str, starts: list, ends: list, issue: list, size: list, single: list) -> list[int]:
+    """Places of the spans that stay. Spans in their order meet those inside them, found among the sorted starts; each
+    live pair takes out one span, so that no more pairs are judged than there are spans."""
+    n = len(starts)
+    by_start = np.argsort(np.array(starts, np.int64), kind="stable")
+    sorted_starts, sorted_ends = np.array(starts, np.int64)[by_start], np.array(ends, np.int64)[by_start]
+    low, high = np.searchsorted(sorted_starts, starts, "left").tolist(), np.searchsorted(sorted_starts, ends, "right").tolist()
+    gone = np.zeros(n, bool)
+    for a in range(n):
+        if gone[a] or high[a] - low[a] < 2:
+            continue
+        near = by_start[low[a] : high[a]][sorted_ends[low[a] : high[a]] <= ends[a]]
+        for b in np.sort(near[~gone[near]]).tolist():
+            if starts[a] == starts[b] and ends[a] == ends[b]:
+                continue
+            if _stays(label, a, b, issue, size, single):
+                gone[b] = True
+            else:
+                gone[a] = True
+                break
+    return np.flatnonzero(~gone).tolist()
 
-def without_contained(items: Column, label: Column) -> Column:
-    """Fold over ordered pairs: of a strict containment of two kept spans the loser goes; a lost outer span asks no more.
 
-    Only pairs of which one contains the other are built."""
-    n = F.size(items)
-    pairs = F.flatten(F.transform(items, lambda a: F.transform(F.filter(items, lambda b: _contains(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+@F.arrow_udf(ArrayType(StringType()))
+def _uncontained_ids(label: pa.Array, ids: pa.Array, starts: pa.Array, ends: pa.Array, issue: pa.Array, size: pa.Array, single: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in (label, ids, starts, ends, issue, size, single)), strict=True)
+    return pa.array([None if r[1] is None else [r[1][k] for k in _uncontained(r[0], *r[2:])] for r in rows], pa.list_(pa.string()))
 
-    def step(gone: Column, p: Column) -> Column:
-        a, b = p["a"], p["b"]
-        live = ~F.array_contains(gone, a["candidate_id"]) & ~F.array_contains(gone, b["candidate_id"])
-        loser = F.when(_keeps_outer(label, a, b), b["candidate_id"]).otherwise(a["candidate_id"])
-        return F.when(live, F.concat(gone, F.array(loser))).otherwise(gone)
 
-    lost = F.aggregate(pairs, F.array().cast("array<string>"), step)
-    return T.let(lost, lambda gone: F.when(n > 0, F.filter(items, lambda x: ~F.array_contains(gone, x["candidate_id"]))).otherwise(items))
+def without_contained(items: Column, label: Column) -> Column:
+    """The ids that stay when of each strict containment of two kept spans the loser goes, pairs taken in order of the
+    outer and then of the inner span; a lost outer span asks no more."""
+    of = lambda f: F.transform(items, f)
+    single = of(lambda x: F.size(F.split(T.clean(x["text"]), " ")) < 2)
+    return _uncontained_ids(label, of(lambda x: x["candidate_id"]), of(lambda x: x["start"]), of(lambda x: x["end"]), of(lambda x: x["issue"].isNotNull()), of(lambda x: F.length(x["text"])), single)
 
 
 _ITEM = ("candidate_id", "start", "end", "text", "plain", "weak", "anchor", "boundary", "issue")
@@ -96,9 +115,13 @@ def grouped(chosen: DataFrame, order: list[str], key: str = "doc_id") -> DataFra
     return chosen.groupBy(key, "label").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"]).alias("items"))
 
 
-def _picked(items: DataFrame, result: Column, key: str) -> DataFrame:
-    ids = F.transform(result, lambda x: x["candidate_id"])
-    return items.select(key, "label", F.posexplode(ids).alias("pos", "candidate_id"))
+def _ids(items: Column) -> Column:
+    return F.transform(items, lambda x: x["candidate_id"])
+
+
+def _picked(items: DataFrame, ids: Column, key: str) -> DataFrame:
+    """A row for each of a group's ids, which are made first: a generator takes no Python function."""
+    return items.select(key, "label", ids.alias("ids")).select(key, "label", F.posexplode("ids").alias("pos", "candidate_id"))
 
 
 def mode(rows: DataFrame, name: str, key: str = "doc_id", prune_contained: bool = True) -> DataFrame:
@@ -115,7 +138,7 @@ def mode(rows: DataFrame, name: str, key: str = "doc_id", prune_contained: bool
     if name in plain:
         items = grouped(rows.filter(plain[name]), ["number"], key)
         prune = prune_contained and name in ("majority_vote", "pubmedbert_anchor")
-        return _picked(items, without_contained(F.col("items"), F.col("label")) if prune else F.col("items"), key)
+        return _picked(items, without_contained(F.col("items"), F.col("label")) if prune else _ids(F.col("items")), key)
     agreed = (votes >= 2) | F.col("rescued")
     if name == "pubmedbert_plus_verified":
         kept = rows.filter(fits & F.when(F.col("anchor"), ~F.col("weak")).otherwise(agreed)).withColumn("rank", F.when(F.col("anchor"), 0).otherwise(1))
@@ -124,7 +147,7 @@ def mode(rows: DataFrame, name: str, key: str = "doc_id", prune_contained: bool
     else:
         raise ValueError(f"no such mode: {name}")
     items = grouped(kept, ["rank", "number"], key)
-    return _picked(items, without_redundant(F.col("items"), strict), key)
+    return _picked(items, _ids(without_redundant(F.col("items"), strict)), key)
 
 
 def calibrated(rows: DataFrame, configs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -209,11 +232,10 @@ def cross_label_conflicts(spans: DataFrame, key: str = "doc_id", least: float =
     from .candidates import label_ord
 
     named = spans.select(key, "label", label_ord(F.col("label")).alias("ord"), "candidate_id", "start", "end", "text")
-    a, b = named.alias("a"), named.alias("b")
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.ord") < F.col("b.ord")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")))
+    pairs = overlap_join(named, named, key).filter("a.ord < b.ord")
     shared = T.overlap(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end"))
     shorter = F.greatest(F.lit(1), F.least(F.col("a.end") - F.col("a.start"), F.col("b.end") - F.col("b.start")))
     same = (F.col("a.start") == F.col("b.start")) & (F.col("a.end") == F.col("b.end")) & (F.col("a.text") == F.col("b.text"))
     kind = F.when(same, "exact_duplicate_cross_label").when(shared / shorter >= least, "heavy_overlap_cross_label")
-    found = pairs.select(F.col(f"a.{key}").alias(key), kind.alias("type"), F.col("a.label").alias("left_label"), F.col("b.label").alias("right_label"), F.col("a.candidate_id").alias("left_id"), F.col("b.candidate_id").alias("right_id"), shared.alias("overlap_chars"))
+    found = pairs.select(key, kind.alias("type"), F.col("a.label").alias("left_label"), F.col("b.label").alias("right_label"), F.col("a.candidate_id").alias("left_id"), F.col("b.candidate_id").alias("right_id"), shared.alias("overlap_chars"))
     return found.filter("type IS NOT NULL")
