@@ -2,55 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions import intervals as I
+from ..functions import quotes
 from ..functions import text as T
 
 
-def _exact_hits(source: Column, text: Column) -> Column:
-    """Offsets of all occurrences, overlapping ones too: the text is split before each of them, in one pass."""
-    ahead = F.concat(F.lit("(?=\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    places = T.let(F.split(source, ahead, -1), lambda pieces: F.filter(T.starts(pieces), lambda s: (s > 0) | source.startswith(text)))
-    return F.when(F.length(text) > 0, places).otherwise(F.array().cast("array<int>"))
-
-
-def _flexible_hits(source: Column, text: Column) -> Column:
-    """Starts and ends of non-overlapping occurrences in which white space may differ."""
-    pattern = T.flexible_pattern(text)
-    found = F.regexp_extract_all(source, pattern, 0)
-    gaps = F.split(source, pattern, -1)
-    both = F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.array(g, m)))
-    return F.when(F.size(found) > 0, F.filter(T.spans_of(both), lambda _, k: k % 2 == 1)).otherwise(F.slice(T.spans_of(both), 1, 0))
-
-
-def _nearest(hits: Column, start: Column) -> Column:
-    """The hit nearest to an offset, the lowest of equally near ones."""
-    ranked = F.array_sort(F.transform(hits, lambda h: F.struct(F.abs(h["start"] - start).alias("far"), h["start"].alias("start"), h["end"].alias("end"))))
-    return F.get(ranked, F.lit(0))
+def _repairs(text: str, spans: list[dict]) -> list[tuple]:
+    """new_start, new_end, status of each span of a text, and what stands at its offsets where nothing was found."""
+    out, lost = [None] * len(spans), []
+    for k, s in enumerate(spans):
+        start, end = s["start"], s["end"]
+        valid = start is not None and end is not None and 0 <= start < end <= len(text)
+        there = text[start:end] if valid else None
+        if valid and there == s["wanted"]:
+            out[k] = (start, end, "unchanged", None)
+        else:
+            lost.append((k, there))
+    exact = quotes.places(text, [spans[k]["wanted"] for k, _ in lost if spans[k]["wanted"]])
+    left = []
+    for k, there in lost:
+        at = quotes.nearest(exact.get(spans[k]["wanted"], []), spans[k]["start"])
+        if at is None:
+            left.append((k, there))
+        else:
+            out[k] = (at, at + len(spans[k]["wanted"]), "exact_repair", None)
+    loose = quotes.flexible_places(text, [spans[k]["wanted"] for k, _ in left if spans[k]["wanted"]]) if left else {}
+    for k, there in left:
+        at = quotes.nearest(loose.get(spans[k]["wanted"], []), spans[k]["start"])
+        out[k] = (*at, "whitespace_repair", None) if at else (spans[k]["start"], spans[k]["end"], "mismatch" if there is not None else "dropped", there)
+    return out
+
+
+def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (key, text, spans): the spans as rows with their repairs."""
+    for part in batches:
+        many, flat = I.lengths(part.column(2)), part.column(2).flatten()
+        found = [r for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True) for r in _repairs(text or "", spans or [])]
+        columns = [pa.array([r[c] for r in found], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
+        rows = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), many)))
+        yield pa.RecordBatch.from_arrays([rows, *(flat.field(c) for c in ("label", "start", "end", "text", "wanted")), *columns], [part.schema.names[0], "label", "start", "end", "text", "wanted", "new_start", "new_end", "status", "there"])
 
 
 def realigned(gold: DataFrame, sources: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """gold (key, label, start, end, text) with new offsets and how they came about.
 
     Escaped newlines of an annotation's text are newlines. Kept when the offsets give the text; else the nearest exact occurrence, else the nearest one with other white
-    space; else the offsets stay when the texts are equivalent or at least valid (mismatch), and go when not."""
-    rows = gold.join(sources.select(key, F.col(text).alias("_source")), key).withColumn("_wanted", T.annotated(F.col("text")))
-    source, wanted, start, end = F.col("_source"), F.col("_wanted"), F.col("start"), F.col("end")
-    valid = (start >= 0) & (end > start) & (end <= F.length(source))
-    there = F.substring(source, start + 1, end - start)
-    same = valid & (there == wanted)
-    exact = F.when(~same, _nearest(F.transform(_exact_hits(source, wanted), lambda s: F.struct(s.alias("start"), (s + F.length(wanted)).alias("end"))), start))
-    rows = rows.withColumn("_exact", exact).withColumn("_same", same).withColumn("_valid", valid)
-    rows = rows.withColumn("_flex", F.when(~F.col("_same") & F.col("_exact").isNull() & (F.trim(wanted) != ""), _nearest(_flexible_hits(source, wanted), start)))
-    equal = F.col("_valid") & (T.comparable(there) == T.comparable(wanted))
-    how = (
-        F.when(F.col("_same"), "unchanged").when(F.col("_exact").isNotNull(), "exact_repair").when(F.col("_flex").isNotNull(), "whitespace_repair")
-        .when(equal, "equivalent").when(F.col("_valid"), "mismatch").otherwise("dropped")
-    )
-    new_start, new_end = (F.coalesce(F.col(f"_exact.{c}"), F.col(f"_flex.{c}"), F.col(c)) for c in ("start", "end"))
-    return rows.select(key, "label", "start", "end", "text", new_start.alias("new_start"), new_end.alias("new_end"), how.alias("status"), T.offset_distance(start, new_start).alias("moved"))
+    space; else the offsets stay when the texts are equivalent or at least valid (mismatch), and go when not.
+
+    A text is read once for all its spans, and is not copied to them."""
+    item = F.struct("label", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text", T.annotated(F.col("text")).alias("wanted"))
+    lists = gold.groupBy(key).agg(F.collect_list(item).alias("spans"))
+    met = lists.join(sources.select(key, F.col(text).alias("_source")), key).select(key, "_source", "spans")
+    fields = StructType.fromDDL("label string, start int, end int, text string, wanted string, new_start int, new_end int, status string, there string").fields
+    rows = met.mapInArrow(_repaired, StructType([gold.schema[key], *fields]))
+    equal = (F.col("status") == "mismatch") & (T.comparable(F.col("there")) == T.comparable(F.col("wanted")))
+    return rows.select(key, "label", "start", "end", "text", "new_start", "new_end", F.when(equal, "equivalent").otherwise(F.col("status")).alias("status"), T.offset_distance(F.col("start"), F.col("new_start")).alias("moved"))
 
 
 def gold_keys(file: Column, name: Column, index: Column) -> Column:
