@@ -59,13 +59,9 @@ def registry(raw: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def registered(raw: DataFrame, sources: DataFrame, normalise: bool = False, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The registry of raw spans, and the log of what became of each.
-
-    raw: key, ord (order of arrival), label, start, end, text, expert (null for generated spans), confidence, threshold,
-    section, origin. normalise: boundaries are first set by label. Valid spans of equal place are one candidate: the
-    first one's origin and section, of each expert the highest confidence and the last threshold, all experts by name,
-    and how many experts' spans were merged. Later generated spans of the place are logged as duplicates."""
+def arrivals(raw: DataFrame, sources: DataFrame, normalise: bool = False, key: str = "doc_id") -> DataFrame:
+    """Raw spans of registered() with their boundaries set where that is wanted, `normalised`, reason and severity. There is
+    no shuffle but that of the texts, and no state: a stream of spans goes through as well."""
     rows = raw
     if normalise:
         fixed = R.repaired(F.col("label"), F.struct("start", "end", "text"))
@@ -73,7 +69,17 @@ def registered(raw: DataFrame, sources: DataFrame, normalise: bool = False, key:
         rows = rows.withColumns({c: F.col(f"_r.{c}") for c in ("start", "end", "text")}).drop("_r")
     else:
         rows = rows.withColumn("normalised", F.lit(False))
-    rows = validated(rows, sources, key=key)
+    return validated(rows, sources, key=key)
+
+
+def registered(raw: DataFrame, sources: DataFrame, normalise: bool = False, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The registry of raw spans, and the log of what became of each.
+
+    raw: key, ord (order of arrival), label, start, end, text, expert (null for generated spans), confidence, threshold,
+    section, origin. normalise: boundaries are first set by label. Valid spans of equal place are one candidate: the
+    first one's origin and section, of each expert the highest confidence and the last threshold, all experts by name,
+    and how many experts' spans were merged. Later generated spans of the place are logged as duplicates."""
+    rows = arrivals(raw, sources, normalise, key)
     place = Window.partitionBy(key, "label", "start", "end", "reason").orderBy("ord")
     first = (F.col("reason") == "accepted") & (F.row_number().over(place) == 1)
     rows = rows.withColumn("first", first)
