@@ -576,11 +576,6 @@ _GRID = f"""grid AS (SELECT label, ({len(L.FIXED_MODES)} + (((p * {len(L.VOTE_FR
     [{R.quoted(list(L.VOTE_PROFILES))}][p + 1] AS vote_weight_profile, ({[list(x) for x in L.VOTE_PROFILES.values()]}::double[][])[p + 1] AS vote_weights FROM (SELECT unnest([{R.quoted(L.LABELS)}]) AS label), range({len(L.VOTE_PROFILES)}) _(p), range({len(L.VOTE_FRACTIONS)}) _(f), range({len(L.EXPERT_SUPPORTS)}) _(s), range({len(L.CONFIDENCES)}) _(c), range(2) _(r))"""
 
 
-@query(f"WITH {_GRID} SELECT *, 'calibrated_rule' AS source_mode, true AS require_label_filter, true AS reject_weak_fragments FROM grid")
-def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrate.grid(spark)
-
-
 _SHARE = "list_sum(list_transform(range(1, 4), lambda k: CASE WHEN [" + ", ".join(L.EXPERTS) + "][k] = 'keep' THEN vote_weights[k] ELSE 0.0::double END)) / list_sum(vote_weights)"
 _FIXED = {"expert_consensus_verified": "mode_expert_consensus_verified", "pubmedbert_plus_verified": "mode_pubmedbert_plus_verified", "registry_filtered": "mode_registry_filtered"}
 

@@ -89,6 +89,9 @@ def boundary_issue(label: str, text: str) -> str:
         WHEN {label} = 'StatisticalAnalysis' AND len({found}) < 3 AND NOT {any_cue(low, L.METHOD_CUES)} THEN 'insufficient_statistical_evidence' END"""
 
 
+DASH = r"[-\x{2010}-\x{2015}]"
+
+
 def validation(source: str, label: str, text: str, start: str, end: str) -> str:
     p = f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
     return f"""CASE WHEN {label} NOT IN ({R.quoted(L.LABELS)}) THEN 'unsupported_label'
@@ -97,9 +100,9 @@ def validation(source: str, label: str, text: str, start: str, end: str) -> str:
         WHEN {p} = '' THEN 'whitespace_only'
         WHEN {has(p, '^[[:punct:]]+$')} THEN 'punctuation_only'
         WHEN lower({p}) IN ({R.quoted(L.STOPWORDS)}) THEN 'isolated_stopword'
-        WHEN {has(p, '^[A-Za-z]$')} THEN 'one_character_alphabetic_fragment'
-        WHEN {has(p, '^##')} OR {has(p, '^-?[A-Za-z]{1,2}-?$')} OR (length({p}) <= 20 AND {has(p, '^[A-Za-z]{2,}-$')}) THEN 'broken_subword_fragment'
-        WHEN (length({p}) <= 2 AND NOT {has(p, '^[0-9]+$')}) OR (length({p}) <= 50 AND len(string_split({clean(text)}, ' ')) <= 6 AND {has(p, '[A-Za-z]-' + chr(92) + 's+[A-Za-z]')})
+        WHEN {has(p, '^' + chr(92) + 'p{L}$')} THEN 'one_character_alphabetic_fragment'
+        WHEN {has(p, '^##')} OR {has(p, f'^{DASH}?[A-Za-z]{{1,2}}{DASH}?$')} OR (length({p}) <= 20 AND {has(p, '^[A-Za-z]{2,}' + DASH + '$')}) THEN 'broken_subword_fragment'
+        WHEN (length({p}) <= 2 AND NOT {has(p, '^' + chr(92) + 'p{N}+$')}) OR (length({p}) <= 50 AND len(string_split({clean(text)}, ' ')) <= 6 AND {has(p, '[A-Za-z]-' + chr(92) + 's+[A-Za-z]')})
             OR (length({p}) - length(replace({p}, chr(10), '')) >= 3 AND list_max(list_transform(string_split({p}, chr(10)), lambda x: length(trim(x)))) <= 3) THEN 'malformed_pdf_fragment'
         WHEN {label} = 'SampleSize' AND {has(p, '^[(]' + chr(92) + 's*[Nn]' + chr(92) + 's*=')} AND NOT ends_with({p}, ')') THEN 'incomplete_sample_size_parenthesis'
         ELSE coalesce({boundary_issue(label, text)}, 'accepted') END"""

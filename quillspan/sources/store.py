@@ -44,6 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """df, its rows dealt out where they lie in fewer files than there are cores: a file may be one task only."""
+    """A plain scan, its rows dealt out where it would be fewer tasks than there are cores: then it is small, since large
+    files are split, or it is a few files that cannot be split. A scan of more tasks is read as it lies."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
