@@ -6,8 +6,10 @@ words across line ends of at most (2 - t) / t times a template's words, which is
 
 A part that reaches t holds at least n t / (2 - t) of a template's n bigrams. So texts that hold none of some words,
 which stand in more of each template's bigrams than it can miss, go first; then a text meets the templates of
-which it holds enough bigrams. The template table is a fixed list of this module (some ten kilobytes), which bounds the
-broadcast. Everything is DataFrame functions.
+which it holds enough bigrams. Each bigram is looked up once in the templates' sets, which leaves a bit mask, and knows
+the last place where it stood before; from then on lines and windows are counts over these two numbers. A window's
+counts grow along one pass from its first bigram, so that a text costs its length times the length of a window. The
+templates are literals of the plan. Everything is DataFrame functions.
 
 Defined cases: null and empty texts and parts with fewer than two words match nothing; ties between templates go to
 the smaller name; repeated rows are reported each; an empty table gives an empty result; other columns are not read.
@@ -110,38 +112,89 @@ def _dice(shared: Column, n: Column, m: Column) -> Column:
     return 2 * shared / (n + m)
 
 
-def _windows(rows: DataFrame, least: float) -> DataFrame:
-    """rows (words, lines, pairs, licence, wanted, most, shared) with `found`: windows that reach `least`, the best one of
-    each first bigram, and the whole text. A window that begins or ends at another bigram than a template's is never better."""
-    at = F.filter(F.transform("pairs", lambda x, k: F.struct(k.alias("at"), x.alias("pair"))), lambda x: F.array_contains("wanted", x["pair"]))
-    rows = rows.withColumn("hits", at)
-    ahead = F.transform("hits", lambda h, k: F.struct(h["at"].alias("a"), F.filter(F.slice("hits", k + 1, F.col("most")), lambda x: x["at"] < h["at"] + F.col("most")).alias("in")))
-    rows = rows.withColumn("starts", F.filter(ahead, lambda s: F.size(F.array_distinct(F.transform(s["in"], lambda x: x["pair"]))) >= F.col("shared")))
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def part(a: Column, e: Column) -> Column:
-        inside = F.slice("pairs", a + 1, e - a + 1)
-        shared = F.size(F.array_intersect(inside, F.col("wanted")))
-        return F.struct((-_dice(shared, F.size(F.array_distinct(inside)), F.size("wanted"))).alias("worse"), (-shared).alias("fewer"), a.alias("a"), e.alias("e"))
 
-    def best(s: Column) -> Column:
-        ends = F.slice(s["in"], F.col("shared"), F.greatest(F.size(s["in"]) - F.col("shared") + 1, F.lit(0)))
-        return F.array_min(F.transform(ends, lambda x: part(s["a"], x["at"])))
+def _can_match(text: Column, words: list[str]) -> Column:
+    """Whether a text holds one of some words. It is lower-cased once for all of them. Words of up to three letters are
+    part of many others, so that they must stand alone."""
 
-    whole = F.array(part(F.lit(0), F.size("pairs") - 1))
-    return rows.withColumn("found", F.array_sort(F.filter(F.concat(F.transform("starts", best), whole), lambda x: x["worse"] <= -least)))
+    def any_of(low: Column) -> Column:
+        held = F.lit(False)
+        for word in words:
+            one = F.contains(low, F.lit(word))
+            held = held | (one if len(word) > 3 else one & text.rlike(f"(?i)(?:^|[^a-z0-9]){word}(?:$|[^a-z0-9])"))
+        return held
+
+    return _let(F.lower(text), any_of)
+
+
+def _earlier(pairs: Column) -> Column:
+    """For each place of an array the last earlier place of the same value, -1 without one: equal values are neighbours
+    once the places are sorted by value."""
+
+    def linked(s: Column) -> Column:
+        before = lambda k: F.get(s, k - 1)
+        return F.transform(s, lambda x, k: F.struct(x["k"], F.when((k > 0) & (before(k)["p"] == x["p"]), before(k)["k"]).otherwise(-1).alias("earlier")))
+
+    placed = F.array_sort(F.transform(pairs, lambda p, k: F.struct(p.alias("p"), k.alias("k"))))
+    return F.transform(F.array_sort(_let(placed, linked)), lambda x: x["earlier"])
+
+
+def _runs(lines: Column) -> Column:
+    """line, base, stop of each line that has words: its number, its first word and the one behind its last."""
+    bases = F.filter(F.transform(lines, lambda x, k: F.when((k == 0) | (F.get(lines, k - 1) != x), k)), lambda k: k.isNotNull())
+    return _let(bases, lambda b: F.transform(b, lambda at, k: F.struct(F.get(lines, at).alias("line"), at.alias("base"), F.coalesce(F.get(b, k + 1), F.size(lines)).alias("stop"))))
+
+
+def _held(cell: Column) -> Column:
+    return cell["mask"].bitwiseAND(F.col("bit")) != 0
+
+
+def _distinct(cells: Column, base: Column, test) -> Column:
+    """How many values of a stretch that begins at base pass a test, each counted where it stands first."""
+    return F.aggregate(cells, F.lit(0), lambda n, c: n + F.when((c["earlier"] < base) & test(c), 1).otherwise(0))
+
+
+def _windows(least: float) -> Column:
+    """Windows that reach `least`, the best one of each first bigram, and the whole text. A window that begins or ends at
+    another bigram than a template's is never better. From each start one pass over at most `most` places keeps the
+    counts of distinct bigrams, all and shared."""
+
+    def best(marked: Column, a: Column) -> Column:
+        start = F.struct(F.lit(0).alias("all"), F.lit(0).alias("shared"), F.lit(None).cast("struct<worse: double, fewer: int, a: int, e: int>").alias("best"))
+
+        def step(s: Column, c: Column) -> Column:
+            every = s["all"] + F.when(c["earlier"] < a, 1).otherwise(0)
+            shared = s["shared"] + F.when(c["held"] & (c["earlier"] < a), 1).otherwise(0)
+            here = F.struct((-_dice(shared, F.col("n"), every)).alias("worse"), (-shared).alias("fewer"), a.alias("a"), c["at"].alias("e"))
+            return F.struct(every.alias("all"), shared.alias("shared"), F.when(c["held"], F.least(s["best"], here)).otherwise(s["best"]).alias("best"))
+
+        return F.aggregate(F.slice(marked, a + 1, F.col("most")), start, step, lambda s: s["best"])
+
+    def found(hits: Column, marked: Column) -> Column:
+        starts = F.filter(hits, lambda h, k: F.coalesce(F.get(hits, k + F.col("shared") - 1) < h + F.col("most"), F.lit(False)))
+        shared = _distinct(F.col("cells"), F.lit(0), _held)
+        whole = F.struct((-_dice(shared, F.col("n"), F.col("all"))).alias("worse"), (-shared).alias("fewer"), F.lit(0).alias("a"), (F.size("cells") - 1).alias("e"))
+        return F.array_sort(F.filter(F.concat(F.transform(starts, lambda a: best(marked, a)), F.array(whole)), lambda x: x["worse"] <= -least))
+
+    marked = F.transform("cells", lambda c, k: F.struct(c["earlier"], _held(c).alias("held"), k.alias("at")))
+    at = lambda cells: F.transform(F.filter(cells, lambda c: c["held"]), lambda c: c["at"])
+    return _let(marked, lambda cells: _let(at(cells), lambda hits: found(hits, cells)))
 
 
 def _of_lines(least: float) -> Column:
     """Lines that reach `least` as wholes, with the first and the last bigram that the template has there."""
 
-    def line(words: Column, k: Column) -> Column:
-        pairs = _pairs(words)
-        worse = -_dice(F.size(F.array_intersect(pairs, F.col("wanted"))), F.size(F.array_distinct(pairs)), F.size("wanted"))
-        base = F.array_position("lines", k)
-        inside = F.transform(F.filter("hits", lambda h: (h["at"] >= base - 1) & (h["at"] < base + F.size(words) - 2)), lambda h: h["at"])
-        return F.struct(k.alias("line"), worse.alias("worse"), F.col("licence"), F.array_min(inside).alias("a"), F.array_max(inside).alias("e"))
+    def line(x: Column) -> Column:
+        cells = F.slice("cells", x["base"] + 1, x["stop"] - x["base"] - 1)
+        at = F.filter(F.transform(cells, lambda c, k: F.when(_held(c), x["base"] + k)), lambda k: k.isNotNull())
+        worse = -_dice(_distinct(cells, x["base"], _held), F.col("n"), x["all"])
+        return F.struct(x["line"], worse.alias("worse"), F.col("licence"), F.array_min(at).alias("a"), F.array_max(at).alias("e"))
 
-    return F.filter(F.transform("rows", line), lambda x: x["worse"] <= -least)
+    return F.filter(F.transform("runs", line), lambda x: x["worse"] <= -least)
 
 
 def _apart(items: Column) -> Column:
@@ -157,21 +210,28 @@ def scan(docs: DataFrame, least: float = LEAST_DICE, templates: dict[str, str] |
     with the most of its template's bigrams stays. A passage that overlaps what a reported line's template matches there
     is not reported again when it has the same template or lies inside that line."""
     templates = templates or TEMPLATES
-    held = F.lit(False)
-    for word in anchors(templates, least):
-        held = held | F.contains(F.col("low"), F.lit(word))
-    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lower(F.col(text_col)).alias("low")).filter(held)
+    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(_can_match(F.col("text"), anchors(templates, least)))
     split = some.select("doc_id", F.transform(F.split("text", "\n"), _words).alias("rows"))
-    rows = [(name, bigrams(text), len(re.findall("[a-z0-9]+", text.lower()))) for name, text in templates.items()]
-    sizes = [(name, pairs, int((n - 1) * (2 - least) / least + 1e-9), least_shared(len(pairs), least)) for name, pairs, n in rows if pairs]
-    known = docs.sparkSession.createDataFrame([(sizes,)], "known array<struct<licence: string, wanted: array<string>, most: int, shared: int>>")
+    listed = [(name, pairs, len(re.findall("[a-z0-9]+", text.lower()))) for name, text in templates.items() if (pairs := bigrams(text))]
+    # As one text, since a literal at a time takes seconds; bigrams hold letters, digits and blanks only.
+    of = lambda pairs: "p IN (" + ", ".join(f"'{x}'" for x in pairs) + ")"
+    bits = " + ".join(f"IF({of(pairs)}, {1 << k}L, 0L)" for k, (_, pairs, _) in enumerate(listed))
+    masks = F.expr(f"transform(pairs, p -> IF({of(sorted({x for _, pairs, _ in listed for x in pairs}))}, {bits}, 0L))")
     texts = split.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "rows", _pairs(F.flatten("rows")).alias("pairs"),
+        F.monotonically_increasing_id().alias("row"), "doc_id", _pairs(F.flatten("rows")).alias("pairs"),
         F.flatten(F.transform("rows", lambda w, k: F.array_repeat(k, F.size(w)))).alias("lines"),
     )
-    enough = F.filter("known", lambda t: F.size(F.array_intersect("pairs", t["wanted"])) >= t["shared"])
-    met = texts.crossJoin(F.broadcast(known)).select("row", "doc_id", "rows", "pairs", "lines", F.explode(enough).alias("t")).select("row", "doc_id", "rows", "pairs", "lines", "t.*")
-    found = _windows(met, least)
+    some = texts.select("row", "doc_id", "pairs", "lines", masks.alias("masks")).filter(F.exists("masks", lambda m: m != 0))
+    cells = F.zip_with("masks", _earlier(F.col("pairs")), lambda m, e: F.struct(m.alias("mask"), e.alias("earlier")))
+    marked = some.select("row", "doc_id", "lines", cells.alias("cells"), _runs(F.col("lines")).alias("runs"))
+    stretch = lambda x: F.slice("cells", x["base"] + 1, x["stop"] - x["base"] - 1)
+    runs = F.transform(F.filter("runs", lambda x: F.exists(stretch(x), lambda c: c["mask"] != 0)), lambda x: x.withField("all", _distinct(stretch(x), x["base"], lambda _: F.lit(True))))
+    first = F.transform(F.filter("cells", lambda c: (c["earlier"] < 0) & (c["mask"] != 0)), lambda c: c["mask"])
+    marked = marked.select("row", "doc_id", "lines", "cells", runs.alias("runs"), first.alias("first"), _distinct(F.col("cells"), F.lit(0), lambda _: F.lit(True)).alias("all"))
+    known = F.array(*(F.struct(F.lit(name).alias("licence"), F.lit(1 << k).cast("long").alias("bit"), F.lit(len(pairs)).alias("n"), F.lit(int((n - 1) * (2 - least) / least + 1e-9)).alias("most"), F.lit(least_shared(len(pairs), least)).alias("shared")) for k, (name, pairs, n) in enumerate(listed)))
+    enough = F.filter(known, lambda t: F.size(F.filter("first", lambda m: m.bitwiseAND(t["bit"]) != 0)) >= t["shared"])
+    met = marked.select("row", "doc_id", "lines", "cells", "runs", "all", F.explode(enough).alias("t")).select("row", "doc_id", "lines", "cells", "runs", "all", "t.*")
+    found = met.withColumn("found", _windows(least))
     spans = F.transform(_apart(F.col("found")), lambda x: F.struct(x["fewer"], x["worse"], F.col("licence"), x["a"], x["e"], F.element_at("lines", x["a"] + 1).alias("line"), F.element_at("lines", x["e"] + 2).alias("last")))
     parts = found.select("row", "doc_id", spans.alias("spans"), _of_lines(least).alias("whole")).filter((F.size("spans") > 0) | (F.size("whole") > 0))
     one = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.collect_list("whole")).alias("whole"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
@@ -191,7 +251,7 @@ def oracle_sql(least: float = LEAST_DICE) -> str:
         WITH t(licence, wanted) AS (VALUES {quoted}),
         l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
         w AS (SELECT doc_id, line_no, string_split(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM l),
-        b AS (SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pairs FROM w WHERE len(words) BETWEEN 2 AND 400),
+        b AS (SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pairs FROM w WHERE len(words) >= 2),
         d AS (SELECT doc_id, line_no, licence, 2.0 * len(list_intersect(pairs, wanted)) / (len(pairs) + len(wanted)) AS dice FROM b, t WHERE len(pairs) > 0)
         SELECT doc_id, line_no, licence, round(dice, 6) AS dice FROM d WHERE dice >= {least}
         QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, licence) = 1"""

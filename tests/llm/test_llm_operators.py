@@ -303,6 +303,17 @@ def test_licence_passages(spark):
     assert got == [(0, 2, "GPL-3.0/header"), (1, 1, "MIT/full"), (2, 1, "MIT/full"), (3, 1, "MIT/notice"), (4, 2, "Proprietary/reserved"), (5, 1, "MIT/notice")]
 
 
+def test_many_licences_in_one_text(spark):
+    mit, isc = licences.TEMPLATES["MIT/full"], licences.TEMPLATES["ISC/full"]
+    wide = textwrap.fill(isc, 70)
+    df = spark.createDataFrame([(1, "\n".join([mit] * 12)), (2, "\n\n-- next --\n\n".join([wide] * 3)), (3, "since nc-17 encore")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["line_no"], r["licence"], r["dice"]) for r in licences.scan(df).collect())
+    assert [g for g in got if g[0] == 1] == [(1, k, "MIT/full", 1.0) for k in range(1, 13)]
+    step = wide.count("\n") + 4  # a text, a blank line, a divider, a blank line
+    assert [(g[1], g[2]) for g in got if g[0] == 2] == [(1 + k * step, "ISC/full") for k in range(3)]
+    assert not [g for g in got if g[0] == 3]
+
+
 def test_licence_windows_equal_brute_force(spark):
     rng = random.Random(8)
     templates = {"t/long": "alpha bravo carol delta alpha bravo extra", "t/short": "gamma delta omega"}
