@@ -1,4 +1,5 @@
-"""What is asked of models outside the engine: token scores of experts, and answers of reviewers as JSON.
+"""What is asked of models outside the engine: token scores of experts, and answers of reviewers as JSON (functions.answers
+has their schemas).
 
 A model is a function that is given when a worker starts (a factory, so that weights are loaded once a task); it runs in
 Arrow batches. Functions that replay recorded scores and answers fit as well as real ones.
@@ -70,21 +71,6 @@ def expert_spans(probs: DataFrame, thresholds: DataFrame, sources: DataFrame, te
     return lists.select(key, F.posexplode("spans").alias("ord", "s")).select(key, "ord", "s.label", "s.start", "s.end", "s.text", "s.expert", "s.confidence", "s.threshold", "s.section", F.lit("expert").alias("origin"))
 
 
-def review_schema(ids: list[str]) -> dict:
-    """JSON schema of a review that can name given candidates only."""
-    item = {"type": "object", "properties": {"candidate_id": {"type": "string", "enum": ids}, "decision": {"type": "string", "enum": ["keep", "reject"]}, "issue_type": {"type": "string", "enum": ["none", "boundary", "label", "unsupported"]}, "justification": {"type": "string"}}}
-    return {"type": "object", "properties": {"decisions": {"type": "array", "items": item}, "expansion_requests": {"type": "array"}, "missing_label": {"type": "boolean"}, "comment": {"type": "string"}}, "required": ["decisions"]}
-
-
-def meta_schema(ids: list[str], sentences: list[str], label: str, allow_expansion: bool = True) -> dict:
-    """JSON schema of a meta decision over given candidates and sentences."""
-    listed = {"type": "array", "items": {"type": "string", "enum": ids}}
-    fields = {f"{c}_candidate_ids": listed for c in ("selected", "rejected", "unresolved")}
-    proof = {"type": "object", "properties": {"candidate_id": {"type": "string", "enum": ids}, "evidence_sentence_id": {"type": "string", "enum": sentences}, "evidence_quote": {"type": "string"}}}
-    asked = {"type": "array", "maxItems": 5 if allow_expansion else 0, "items": {"type": "object", "properties": {"label": {"const": label}, "sentence_id": {"type": "string", "enum": sentences}}}}
-    return {"type": "object", "properties": fields | {"consensus_proof": {"type": "array", "items": proof}, "expansion_requests": asked, "rationale": {"type": "string"}}}
-
-
 def answer(chat: Callable, system: str, user: str, schema: dict) -> tuple[str | None, str, str | None]:
     """An answer as JSON text, how it came about (structured, repaired, unstructured or failed), and the last error.
 

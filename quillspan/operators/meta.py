@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import rules as R
 from ..functions import text as T
+from ..functions.answers import MOST_CUES, MOST_SEARCHES, SEARCHES
+from ..functions.answers import CUE as CUE_CHARS
+from ..functions.answers import RATIONALE as PROOF_CHARS
+from ..functions.answers import REASON as REASON_CHARS
 
-# Heads that a span should not begin with, signs at its ends, and the searches that may be asked for.
+# Heads that a span should not begin with, and signs at its ends.
 HEADS = ["intervention ", "design ", "statistical analysis "]
 FULL_STOPS, LEADING, DASHES = "[.!?]$", "^[.,;:]", "[-–—]$"
-SEARCHES = ["search_missing_label", "verify_consensus", "repair_boundary"]
-MOST_SEARCHES, MOST_CUES, REASON_CHARS, CUE_CHARS, PROOF_CHARS = 3, 8, 300, 80, 360
 
 
 def _starts_with_head(text: Column) -> Column:

@@ -24,6 +24,11 @@ def features(candidates: DataFrame, matrix: DataFrame, key: str = "doc_id") -> D
     joined = candidates.join(matrix, keys, "left")
     for r in V.ROLES:
         joined = joined.withColumn(r, F.coalesce(F.col(r), F.lit("missing")))
+    return described(joined)
+
+
+def described(joined: DataFrame) -> DataFrame:
+    """What candidates with their votes (votes.voted) are judged by."""
     label, text, experts = F.col("label"), F.col("text"), F.col("proposed_by_experts")
     keeps = sum((F.col(r) == "keep").cast("int") for r in V.ROLES)
     return joined.select(

@@ -64,10 +64,25 @@ def merged_decisions(attempts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def vote_matrix(candidates: DataFrame, votes: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates with one column a role: keep, reject or missing."""
-    pivoted = votes.filter(F.col("decision").isin("keep", "reject")).groupBy(*keys).pivot("role", ROLES).agg(F.max("decision"))
-    joined = candidates.select(*keys).join(pivoted, keys, "left")
-    return joined.select(*keys, *(F.coalesce(F.col(r), F.lit("missing")).alias(r) for r in ROLES))
+    """Candidates with one column a role: keep, reject or missing; see voted()."""
+    return voted(candidates.select(*keys), votes, keys)
+
+
+def voted(candidates: DataFrame, votes: DataFrame, keys: list[str]) -> DataFrame:
+    """All columns of candidates, and one column a role: keep, reject or missing. A rejection wins over other votes of its role.
+
+    Candidates and votes meet in one aggregate by their keys, which names each candidate; equal null keys count as equal.
+    Where both lie by some of the keys (store.placed), rows stay where they are. Votes on nothing known are left out."""
+    others = [c for c in candidates.columns if c not in keys]
+    row = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(True)
+    code = F.when(F.col("decision") == "reject", 2).when(F.col("decision") == "keep", 1)
+    known = candidates.select(*keys, row.alias("_row"), *(F.lit(None).cast("int").alias(f"_{k}") for k in range(len(ROLES))))
+    none = F.lit(None).cast(known.schema["_row"].dataType)
+    cast = votes.select(*keys, none.alias("_row"), *(F.when(F.col("role") == r, code).alias(f"_{k}") for k, r in enumerate(ROLES)))
+    met = known.unionByName(cast).groupBy(*keys).agg((F.first("_row", ignorenulls=True) if others else F.max("_row")).alias("_row"), *(F.max(f"_{k}").alias(f"_{k}") for k in range(len(ROLES))))
+    decided = [F.when(F.col(f"_{k}") == 2, "reject").when(F.col(f"_{k}") == 1, "keep").otherwise("missing").alias(r) for k, r in enumerate(ROLES)]
+    columns = [F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in candidates.columns]
+    return met.filter("_row IS NOT NULL").select(*columns, *decided)
 
 
 def _cohen(n: Column, agree: Column, keep_a: Column, keep_b: Column) -> Column:

@@ -68,13 +68,17 @@ def _matrix(cands: DataFrame) -> DataFrame:
 
 
 def _stored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates as a table, for queries that read them more than once."""
-    return store.stored(pattern_candidates(spark, sf_dir), "candidates")
+    """Candidates as a table by document and label, for queries that read them more than once."""
+    return store.placed(pattern_candidates(spark, sf_dir), "candidates", ["doc_id", "label"], together=True)
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands = _stored_candidates(spark, sf_dir)
-    return select.features(cands, _matrix(cands))
+    return select.described(votes.voted(cands, _votes(cands), ["doc_id", "label", "candidate_id"]))
+
+
+def _placed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.placed(_features(spark, sf_dir), "features", ["doc_id", "label"], together=True)
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,7 +385,7 @@ def consistency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{O.candidates_cte()}, s AS (SELECT doc_id, label, {_KEEPS} AS k FROM feature WHERE fits)
     SELECT doc_id, label, count(*) AS selected, count_if(k = 3)::bigint AS unanimous, count_if(k >= 2)::bigint AS majority, count_if(k < 3)::bigint AS unresolved, count_if(k < 3) = 0 AS consensus_reached FROM s GROUP BY doc_id, label""")
 def label_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.stored(_features(spark, sf_dir), "features")
+    rows = _placed_features(spark, sf_dir)
     matrix = rows.select("doc_id", "label", "candidate_id", *L.EXPERTS)
     return votes.consensus(select.mode(rows, "registry_filtered"), matrix, ["doc_id", "label"], ["doc_id", "label", "candidate_id"])
 
@@ -597,7 +601,7 @@ def _best_sql() -> str:
 
 @query(_best_sql())
 def grid_best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.stored(_features(spark, sf_dir), "features")
+    rows = _placed_features(spark, sf_dir)
     gold = rows.filter(_is_gold()).select("doc_id", "label", *_moved())
     return _rounded(calibrate.best(calibrate.grid_scored(rows, generate.token_arrays(studies(spark, sf_dir)), gold)), "precision", "recall", "f1")
 
@@ -751,7 +755,7 @@ def _ablation_sql() -> str:
 
 @query(_ablation_sql())
 def mode_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.stored(_features(spark, sf_dir), "features")
+    rows = _placed_features(spark, sf_dir)
     chosen = reports.union([select.mode(rows, name).withColumn("mode", F.lit(name)) for name in _ABLATION])
     spans = chosen.join(rows.select("doc_id", "label", "candidate_id", "start", "end"), ["doc_id", "label", "candidate_id"]).select("mode", "doc_id", "label", "start", "end")
     gold = rows.filter(_is_gold()).select("doc_id", "label", *_moved())

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import json_repair, prompts
+from ..functions import answers, json_repair, prompts
 from ..functions import labels as L
 from ..functions import rules as R
 from ..functions import text as T
@@ -93,6 +93,25 @@ def adaptive_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.batches(items, 150, 3, "conv_id")
 
 
+_SHOWN = "count(*)::int AS most_decisions, min(candidate_id) AS first_id, max(candidate_id) AS last_id"
+
+
+@query(f"""{O.candidates_cte()} SELECT doc_id, label, label AS asked_label, {_SHOWN}, {len(answers.ISSUES)} AS n_issues, (SELECT count(*) FROM ({C._units_sql('studies')}) u WHERE u.doc_id = cands.doc_id)::int AS n_sentences, 5 AS most_expansions, 3 AS most_searches FROM cands GROUP BY ALL""")
+def answer_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What schemas of reviews and label decisions allow, read from the schemas' JSON: one of each for a document's label."""
+    docs = studies(spark, sf_dir).select("doc_id", F.transform(T.source_units(F.col("text")), lambda u: u["sentence_id"]).alias("sentences"))
+    shown = C.pattern_candidates(spark, sf_dir).groupBy("doc_id", "label").agg(F.array_sort(F.collect_list("candidate_id")).alias("ids")).join(docs, "doc_id")
+    made = shown.select("doc_id", "label", answers.review_column(F.col("ids"), F.col("label")).alias("r"), answers.label_decision_column(F.col("ids"), F.col("sentences"), F.col("label")).alias("m"))
+    of = lambda c, *path: F.get_json_object(c, "$.properties." + ".".join(path))
+    one, asked = "decisions.items.properties", "expansion_requests.items.properties"
+    ids = F.from_json(of("r", one, "candidate_id.enum"), "array<string>")
+    return made.select(
+        "doc_id", "label", of("r", asked, "label.enum[0]").alias("asked_label"), of("r", "decisions.minItems").cast("int").alias("most_decisions"), F.get(ids, F.lit(0)).alias("first_id"),
+        F.element_at(F.from_json(of("m", "selected_candidate_ids.items.enum"), "array<string>"), -1).alias("last_id"), F.json_array_length(of("r", one, "issue_type.enum")).alias("n_issues"),
+        F.json_array_length(of("m", asked, "sentence_id.enum")).alias("n_sentences"), of("m", "expansion_requests.maxItems").cast("int").alias("most_expansions"), of("m", "source_search_requests.maxItems").cast("int").alias("most_searches"),
+    )
+
+
 # --- reviews, proofs, requests ----------------------------------------------------------------------------------------------
 
 
@@ -166,7 +185,7 @@ def merged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{O.candidates_cte()}, s AS (SELECT * FROM ({ORACLE_SQL['selection_by_source_mode']})) SELECT s.doc_id, s.label, pos, candidate_id, start::int AS start, "end"::int AS "end", text FROM s JOIN cands USING (doc_id, label, candidate_id)""")
 def applied_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.applied(store.stored(C._features(spark, sf_dir), "features"), C._rules(spark))
+    return select.applied(C._placed_features(spark, sf_dir), C._rules(spark))
 
 
 @query(f"""{O.candidates_cte()} SELECT doc_id, label, (number - 1)::int AS pos, candidate_id, start::int AS start, "end"::int AS "end", text FROM cands WHERE {O.SEED} % 4 <> 0""")

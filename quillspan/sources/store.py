@@ -43,6 +43,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, name: str, by: list[str], together: bool = False) -> DataFrame:
+    """stored() as a table in as many buckets as a shuffle has partitions: grouping, windows and joins by the columns `by`
+    (grouping and windows also by more columns) read it without an exchange.
+
+    together: df ends in a shuffle by these columns already, so that writing needs none either. All rows of a key lie in
+    one bucket, which Spark doesn't split when it reads: keys are to be bounded, such as a document's label. Null keys
+    share a bucket. The table leaves the catalogue with its files."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"quillspan_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    rows = df if together else df.repartition(buckets, *by)
+    rows.write.option("compression", "zstd").option("path", path).bucketBy(buckets, *by).saveAsTable(table)
+    atexit.register(_dropped, spark, table, path)
+    return spark.table(table)
+
+
+def _dropped(spark: SparkSession, table: str, path: str) -> None:
+    with contextlib.suppress(Exception):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    remove(spark, path)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """A plain scan, its rows dealt out where it would be fewer tasks than there are cores: then it is small, since large
     files are split, or it is a few files that cannot be split. A scan of more tasks is read as it lies."""

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quillspan.functions import answers
 from quillspan.functions import labels as L
 from quillspan.operators import calibrate, candidates, consultation, evaluate, external, generate, reports, select, votes
 
@@ -50,7 +51,7 @@ def test_experts_to_registry(spark):
 
 
 def test_answers(spark):
-    schema = external.review_schema(["A", "B"])
+    schema = answers.review(["A", "B"], "Outcome")
     said = []
 
     def chat(system, user, schema, most):
@@ -80,7 +81,7 @@ def test_answers(spark):
     with pytest.raises(RuntimeError):
         external.check_model("m", ["other"])
     external.check_model("m", ["m"])
-    meta = external.meta_schema(["A"], ["S0001"], "Outcome", False)
+    meta = answers.label_decision(["A"], ["S0001"], "Outcome", False)
     assert meta["properties"]["expansion_requests"]["maxItems"] == 0
 
 
