@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
+from ..sources.store import apart
 from . import select
 
 
@@ -42,7 +43,7 @@ def default_config(spark: SparkSession) -> DataFrame:
 
 def _sides(tokens: DataFrame, spans: DataFrame, by: list[str], name: str) -> DataFrame:
     a, b = tokens.alias("t"), spans.alias("s")
-    met = a.join(b, (F.col("t.doc_id") == F.col("s.doc_id")) & (F.col("t.start") < F.col("s.end")) & (F.col("s.start") < F.col("t.end")))
+    met = a.join(apart(b), (F.col("t.doc_id") == F.col("s.doc_id")) & (F.col("t.start") < F.col("s.end")) & (F.col("s.start") < F.col("t.end")))
     return met.select(*(F.col(f"s.{c}").alias(c) for c in by), F.col("t.ord").alias("ord")).distinct().withColumn(name, F.lit(1))
 
 
@@ -55,7 +56,7 @@ def chosen_by_modes(features: DataFrame, recommended: DataFrame | None = None) -
         if name == "recommended":
             if recommended is None:
                 continue
-            picked = recommended.select("doc_id", "label", "pos", "candidate_id").join(features.select("doc_id", "label", "candidate_id"), ["doc_id", "label", "candidate_id"], "left_semi")
+            picked = recommended.select("doc_id", "label", "pos", "candidate_id").join(apart(features.select("doc_id", "label", "candidate_id")), ["doc_id", "label", "candidate_id"], "left_semi")
         else:
             picked = select.mode(features, name)
         picked = picked.select(F.lit(k).alias("config_id"), "doc_id", "label", "pos", "candidate_id")
@@ -69,10 +70,10 @@ def _sums(chosen: DataFrame, features: DataFrame, tokens: DataFrame, gold: DataF
     tokens: doc_id, ord, start, end. Configurations that choose the same candidates of a group share one count."""
     groups = chosen.groupBy("config_id", "doc_id", "label").agg(F.array_sort(F.collect_list("candidate_id")).alias("ids"))
     picks = groups.select("doc_id", "label", "ids").distinct()
-    spans = picks.select("doc_id", "label", "ids", F.explode("ids").alias("candidate_id")).join(features.select("doc_id", "label", "candidate_id", "start", "end"), ["doc_id", "label", "candidate_id"])
+    spans = picks.select("doc_id", "label", "ids", F.explode("ids").alias("candidate_id")).join(apart(features.select("doc_id", "label", "candidate_id", "start", "end")), ["doc_id", "label", "candidate_id"])
     predicted, wanted = _sides(tokens, spans, ["doc_id", "label", "ids"], "p"), _sides(tokens, gold, ["doc_id", "label"], "g")
-    sums = predicted.join(wanted, ["doc_id", "label", "ord"], "left").groupBy("doc_id", "label", "ids").agg(F.count("*").alias("p"), F.count("g").alias("tp"))
-    return groups.join(sums, ["doc_id", "label", "ids"]).groupBy("config_id", "label").agg(F.sum("p").alias("p"), F.sum("tp").alias("tp"))
+    sums = predicted.join(apart(wanted), ["doc_id", "label", "ord"], "left").groupBy("doc_id", "label", "ids").agg(F.count("*").alias("p"), F.count("g").alias("tp"))
+    return groups.join(apart(sums), ["doc_id", "label", "ids"]).groupBy("config_id", "label").agg(F.sum("p").alias("p"), F.sum("tp").alias("tp"))
 
 
 def _with_scores(sums: DataFrame, configs: DataFrame, tokens: DataFrame, gold: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def grid_sums(features: DataFrame, tokens: DataFrame, gold: DataFrame) -> DataFr
     item = F.struct("number", *select._ITEM, "support", "confidence", "rescued", F.array(*(select.V.weighted_keep(F.array(*(F.lit(w) for w in p))) for p in profiles)).alias("shares"))
     groups = features.filter("fits AND NOT weak").groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(item), lambda a, b: a["number"] - b["number"]).alias("items"))
     spans = gold.groupBy("doc_id", "label").agg(F.collect_list(F.struct("start", "end")).alias("gold"))
-    rows = groups.join(tokens, "doc_id").join(spans, ["doc_id", "label"], "left")
+    rows = groups.join(apart(tokens), "doc_id").join(apart(spans), ["doc_id", "label"], "left")
     meets = lambda s: F.filter(F.transform("tokens", lambda t, k: F.when((t["start"] < s["end"]) & (s["start"] < t["end"]), k)), lambda k: k.isNotNull())
     rows = rows.withColumn("items", F.transform("items", lambda c: c.withField("tokens", meets(c)))).withColumn("gold", F.array_distinct(F.flatten(F.transform(F.coalesce("gold", F.array().cast("array<struct<start:int,end:int>>")), meets)))).drop("tokens")
     numbers = lambda test: F.transform(F.filter("items", test), lambda c: c["number"])

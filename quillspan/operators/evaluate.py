@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from ..functions import intervals as I
 from ..functions import labels as L
 from ..functions import text as T
+from ..sources.store import apart
 from .candidates import label_ord
 
 NONE = "NONE"
@@ -143,7 +144,7 @@ def character_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     g, p = covered(gold), covered(predicted)
     total = lambda x, name: x.groupBy("label").agg(F.sum(F.col("end") - F.col("start")).alias(name))
     a, b = g.alias("a"), p.alias("b")
-    met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")))
+    met = a.join(apart(b), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")))
     shared = met.select(F.col("a.label").alias("label"), T.overlap(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end")).alias("n")).groupBy("label").agg(F.sum("n").alias("tp"))
     sums = total(g, "g").join(total(p, "p"), "label", "full").join(shared, "label", "left").na.fill(0)
     return rolled_up(sums.select("label", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn")))
@@ -157,7 +158,7 @@ def flagged_of(tokens: DataFrame, both: DataFrame) -> DataFrame:
     searched for each token, so that a document costs its tokens and spans times a logarithm."""
     item = F.struct("start", "end", label_ord(F.col("label")).alias("o"), (F.col("side") == "p").alias("p"))
     lists = both.filter("end > start").filter(F.col("label").isin(L.LABELS)).groupBy("doc_id").agg(F.collect_list(item).alias("spans"))
-    met = tokens.select("doc_id", "tokens").join(lists, "doc_id", "left").select("doc_id", "tokens", "spans")
+    met = tokens.select("doc_id", "tokens").join(apart(lists), "doc_id", "left").select("doc_id", "tokens", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in I.sliced(batches, lambda b: I.lengths(b["tokens"]) + I.lengths(b["spans"])):
@@ -240,7 +241,7 @@ def character_confusion(docs: DataFrame, gold: DataFrame, predicted: DataFrame)
     cells."""
     item = F.struct("start", "end", label_ord(F.col("label")).alias("o"), (F.col("side") == "p").alias("p"))
     lists = sides(gold, predicted).filter("end > start").filter(F.col("label").isin(L.LABELS)).groupBy("doc_id").agg(F.collect_list(item).alias("spans"))
-    met = docs.select("doc_id", F.col("length").cast("long").alias("length")).filter("length > 0").join(lists, "doc_id", "left").select("length", "spans")
+    met = docs.select("doc_id", F.col("length").cast("long").alias("length")).filter("length > 0").join(apart(lists), "doc_id", "left").select("length", "spans")
     names = [*L.LABELS, NONE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +272,7 @@ def presence_metrics(docs: DataFrame, gold: DataFrame, predicted: DataFrame) ->
     """Documents that have a label or not, for each label. docs: doc_id."""
     n = docs.select("doc_id").distinct().agg(F.count("*").alias("docs"))
     has = lambda x, c: x.select("doc_id", "label").distinct().withColumn(c, F.lit(1))
-    both = has(gold, "g").join(has(predicted, "p"), ["doc_id", "label"], "full").na.fill(0, ["g", "p"])
+    both = has(gold, "g").join(apart(has(predicted, "p")), ["doc_id", "label"], "full").na.fill(0, ["g", "p"])
     counts = both.groupBy("label").agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum((1 - F.col("g")) * F.col("p")).alias("fp"), F.sum(F.col("g") * (1 - F.col("p"))).alias("fn"))
     each = _all_labels(counts, ["tp", "fp", "fn"]).crossJoin(F.broadcast(n))  # one row on the right side
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
@@ -307,7 +308,7 @@ def oracle_recall(gold: DataFrame, registry: DataFrame, threshold: float | None
     """How many gold spans the registry holds, exactly or by overlap."""
     if threshold is None:
         keys = ["doc_id", "label", "start", "end"]
-        matched = gold.join(registry.select(*keys).distinct(), keys, "left_semi").groupBy("label").agg(F.count("*").alias("matched"))
+        matched = gold.join(apart(registry.select(*keys).distinct()), keys, "left_semi").groupBy("label").agg(F.count("*").alias("matched"))
     else:
         matched = greedy_matches(gold, registry, threshold).groupBy("label").agg(F.count("*").alias("matched"))
     sums = gold.groupBy("label").agg(F.count("*").alias("gold_spans")).join(matched, "label", "left")
@@ -330,7 +331,7 @@ def per_document(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Counts and set-based exact scores of each document."""
     keys = ["doc_id", "label", "start", "end"]
     g, p = gold.select(*keys).distinct().withColumn("g", F.lit(1)), predicted.select(*keys).distinct().withColumn("p", F.lit(1))
-    both = g.join(p, keys, "full").na.fill(0, ["g", "p"])
+    both = g.join(apart(p), keys, "full").na.fill(0, ["g", "p"])
     sums = both.groupBy("doc_id").agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum((1 - F.col("g")) * F.col("p")).alias("fp"), F.sum(F.col("g") * (1 - F.col("p"))).alias("fn"))
     return sums.select("doc_id", "tp", "fp", "fn", *T.f_scores(F.col("tp"), F.col("fp"), F.col("fn")))
 

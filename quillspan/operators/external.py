@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import json_repair, prompts
 from ..functions import labels as L
 from ..functions import text as T
-from ..sources.store import stored
+from ..sources.store import apart, stored
 from . import candidates, votes
 
 WINDOW, STRIDE = 512, 128
@@ -62,7 +62,7 @@ def expert_spans(probs: DataFrame, thresholds: DataFrame, sources: DataFrame, te
     arrival (expert, label, span), as candidates.registered() takes them. Tokens over the threshold are merged and white
     space at the ends goes."""
     merged = candidates.merged_intervals(candidates.above_threshold(probs, thresholds), [key, "expert", "label"])
-    rows = merged.join(sources.select(key, F.col(text).alias("_source")), key)
+    rows = merged.join(apart(sources.select(key, F.col(text).alias("_source"))), key)
     rows = rows.withColumn("_s", T.trim_space(F.struct("start", "end", F.substring("_source", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))))
     rows = rows.filter("_s.end > _s.start").join(F.broadcast(thresholds), ["expert", "label"])  # a row for each expert and label
     expert = F.array_position(F.array(*(F.lit(e) for e in L.EXPERTS)), F.col("expert"))
@@ -135,17 +135,17 @@ def reviewed(assigned: DataFrame, ask: Callable[[DataFrame, int], DataFrame], ke
         if not left.limit(1).count():
             break
         visible = left.groupBy(*keys).agg(F.array_sort(F.collect_list("candidate_id")).alias("assigned_ids"))
-        got = ask(left, attempt).join(visible, keys).withColumns({"keep_ids": none, "reject_ids": none})
+        got = ask(left, attempt).join(apart(visible), keys).withColumns({"keep_ids": none, "reject_ids": none})
         one = votes.normalized_review(got).select(*keys, F.lit(attempt).alias("attempt"), F.explode("decided").alias("candidate_id", "decision"))
         sent = stored(one if sent is None else sent.unionByName(one), "reviews")
-        left = stored(left.join(sent.select(*keys, "candidate_id").distinct(), [*keys, "candidate_id"], "left_anti"), "left")
+        left = stored(left.join(apart(sent.select(*keys, "candidate_id").distinct()), [*keys, "candidate_id"], "left_anti"), "left")
     last = votes.merged_decisions(sent, [*keys, "candidate_id"]).groupBy(*keys).agg(F.collect_list(F.struct("candidate_id", "decision")).alias("decisions"))
     tries = sent.groupBy(*keys).agg((F.max("attempt") + 1).alias("attempts"))
-    rows = every.join(last, keys, "left").join(tries, keys, "left").withColumn("decisions", F.coalesce("decisions", F.array().cast("array<struct<candidate_id:string,decision:string>>")))
+    rows = every.join(apart(last), keys, "left").join(apart(tries), keys, "left").withColumn("decisions", F.coalesce("decisions", F.array().cast("array<struct<candidate_id:string,decision:string>>")))
     return votes.normalized_review(rows.withColumns({"keep_ids": none, "reject_ids": none}))
 
 
 def with_provenance(summaries: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Summaries (key, summary) with what they rest on: documents has key, consensus, policy, unresolved_labels."""
-    rows = summaries.join(documents, key)
+    rows = summaries.join(apart(documents), key)
     return rows.withColumns({"summary_based_on_consensus": F.col("consensus"), "summary_based_on_final_spans": F.lit(True), "summary_final_selection_policy": F.col("policy"), "summary_based_on_strict_unanimous_spans": F.col("policy") == "strict"}).drop("consensus", "policy")

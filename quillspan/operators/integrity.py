@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..sources.store import apart
 
 
 def violations(final: DataFrame, registry: DataFrame, sources: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -13,9 +14,9 @@ def violations(final: DataFrame, registry: DataFrame, sources: DataFrame, text:
 
     final and registry: key, label, candidate_id, start, end, text. Rules: known label, offsets inside the text, text
     equal to its slice, candidate known, equal to its candidate, identifier of its label, no identifier twice."""
-    rows = final.select(key, "label", "candidate_id", "start", "end", "text").join(sources.select(key, F.col(text).alias("_source")), key, "left")
+    rows = final.select(key, "label", "candidate_id", "start", "end", "text").join(apart(sources.select(key, F.col(text).alias("_source"))), key, "left")
     known = registry.select(key, "candidate_id", F.col("label").alias("r_label"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("text").alias("r_text"))
-    rows = rows.join(known, [key, "candidate_id"], "left")
+    rows = rows.join(apart(known), [key, "candidate_id"], "left")
     prefix = F.element_at(F.create_map(*(F.lit(x) for kv in L.PREFIX.items() for x in kv)), F.col("label"))
     inside = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.length("_source"))
     same = (F.col("label") == F.col("r_label")) & (F.col("start") == F.col("r_start")) & (F.col("end") == F.col("r_end")) & (F.col("text") == F.col("r_text"))
@@ -40,7 +41,7 @@ def support_violations(final: DataFrame, matrix: DataFrame, key: str = "doc_id")
 
     keys = [key, "label", "candidate_id"]
     keeps = sum((F.col(r) == "keep").cast("int") for r in ROLES)
-    rows = final.select(*keys).join(matrix.select(key, "label").distinct(), [key, "label"], "left_semi").join(matrix.select(*keys, keeps.alias("_keeps")), keys, "left")
+    rows = final.select(*keys).join(apart(matrix.select(key, "label").distinct()), [key, "label"], "left_semi").join(apart(matrix.select(*keys, keeps.alias("_keeps"))), keys, "left")
     return rows.filter(F.coalesce("_keeps", F.lit(0)) < len(ROLES)).select(F.lit("not_supported_by_all_roles").alias("rule"), *keys)
 
 
@@ -52,7 +53,7 @@ def order_violations(by_label: DataFrame, flat: DataFrame, key: str = "doc_id")
     a = by_label.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(label_ord(F.col("label")).alias("o"), "pos", "candidate_id"))), lambda x: x["candidate_id"]).alias("_a"))
     b = flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "candidate_id"))), lambda x: x["candidate_id"]).alias("_b"))
     none = F.array().cast("array<string>")
-    rows = a.join(b, key, "full").filter(F.coalesce("_a", none) != F.coalesce("_b", none))
+    rows = a.join(apart(b), key, "full").filter(F.coalesce("_a", none) != F.coalesce("_b", none))
     return rows.select(F.lit("lists_differ").alias("rule"), key, F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("candidate_id"))
 
 
@@ -60,9 +61,9 @@ def status_violations(labels: DataFrame, final: DataFrame, documents: DataFrame,
     """Claims that don't hold. labels: key, label, consensus (one row a label of each document); documents: key,
     overall_consensus, unresolved (ids), summaries (variant-like map of summary names to their fields, null for none)."""
     chosen = final.select(key, "label").distinct().withColumn("_chosen", F.lit(True))
-    claimed = labels.join(chosen, [key, "label"], "left").filter(F.col("consensus") & F.col("_chosen").isNull())
+    claimed = labels.join(apart(chosen), [key, "label"], "left").filter(F.col("consensus") & F.col("_chosen").isNull())
     counts = labels.filter(F.col("label").isin(L.LABELS)).groupBy(key).agg(F.count_distinct("label").alias("_n"))
-    short = documents.select(key).join(counts, key, "left").filter(F.coalesce("_n", F.lit(0)) < len(L.LABELS))
+    short = documents.select(key).join(apart(counts), key, "left").filter(F.coalesce("_n", F.lit(0)) < len(L.LABELS))
     early = documents.filter(F.col("overall_consensus") & (F.size("unresolved") > 0))
     spans = documents.filter(F.col("summaries").isNotNull() & F.exists(F.map_values("summaries"), lambda f: F.array_contains(f, "start")))
     declared = F.map_contains_key("summaries", "summary_based_on_final_spans") | F.map_contains_key("summaries", "summary_based_on_strict_unanimous_spans")

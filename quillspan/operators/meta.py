@@ -12,6 +12,7 @@ from ..functions.answers import MOST_CUES, MOST_SEARCHES, SEARCHES
 from ..functions.answers import CUE as CUE_CHARS
 from ..functions.answers import RATIONALE as PROOF_CHARS
 from ..functions.answers import REASON as REASON_CHARS
+from ..sources.store import apart
 
 # Heads that a span should not begin with, and signs at its ends.
 HEADS = ["intervention ", "design ", "statistical analysis "]
@@ -75,8 +76,8 @@ def valid_proofs(proofs: DataFrame, selected: DataFrame, units: DataFrame, by: l
     """The first proof of each selected candidate whose quote stands in the sentence that it names; long texts are cut.
 
     proofs: by, ord, candidate_id, evidence_sentence_id, evidence_quote, label_fit_rationale, boundary_rationale."""
-    rows = proofs.join(selected.select(*by, "candidate_id").distinct(), [*by, "candidate_id"], "left_semi")
-    rows = rows.join(units.select(key, F.col("sentence_id").alias("evidence_sentence_id"), F.col("text").alias("_unit")), [key, "evidence_sentence_id"])
+    rows = proofs.join(apart(selected.select(*by, "candidate_id").distinct()), [*by, "candidate_id"], "left_semi")
+    rows = rows.join(apart(units.select(key, F.col("sentence_id").alias("evidence_sentence_id"), F.col("text").alias("_unit"))), [key, "evidence_sentence_id"])
     rows = rows.filter((F.trim("evidence_quote") != "") & F.col("_unit").contains(F.col("evidence_quote")))
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "candidate_id").orderBy("ord"))).filter("_n = 1")
     cut = {c: F.left(F.coalesce(c, F.lit("")), F.lit(PROOF_CHARS)) for c in ("label_fit_rationale", "boundary_rationale")}
@@ -85,7 +86,7 @@ def valid_proofs(proofs: DataFrame, selected: DataFrame, units: DataFrame, by: l
 
 def missing_proofs(selected: DataFrame, proofs: DataFrame, by: list[str]) -> DataFrame:
     """Selected candidates without a proof."""
-    return selected.join(proofs.select(*by, "candidate_id").distinct(), [*by, "candidate_id"], "left_anti")
+    return selected.join(apart(proofs.select(*by, "candidate_id").distinct()), [*by, "candidate_id"], "left_anti")
 
 
 def strict_selected(selected: DataFrame, bank: DataFrame, matrix: DataFrame, by: list[str]) -> DataFrame:
@@ -95,7 +96,7 @@ def strict_selected(selected: DataFrame, bank: DataFrame, matrix: DataFrame, by:
 
     keys = [*by, "candidate_id"]
     unanimous = matrix.filter(" AND ".join(f"{r} = 'keep'" for r in ROLES)).select(*keys)
-    rows = selected.join(unanimous, keys, "left_semi").join(bank.select(*keys, "text"), keys)
+    rows = selected.join(apart(unanimous), keys, "left_semi").join(apart(bank.select(*keys, "text")), keys)
     return rows.withColumn("reason", R.boundary_issue(F.col("label"), F.col("text"))).drop("text")
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import apart
+
 WIDTHS = [32 * 4**k for k in range(13)]
 
 
@@ -48,7 +50,7 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str = "doc_id") -> Data
     # Of equal levels only a looks up b, so that no pair comes twice.
     for (low, lower), (up, upper), least in (((a, "a"), (b, "b"), F.col("own")), ((b, "b"), (a, "a"), F.col("own") + 1)):
         asked = _binned(low, key, lower, F.array_except(known, F.sequence(F.lit(-1), least - 1)))
-        met = asked.drop("own").join(_binned(up, key, upper, home).drop("own"), ["_key", "level", "bin"])
+        met = asked.drop("own").join(apart(_binned(up, key, upper, home).drop("own")), ["_key", "level", "bin"])
         start, end = F.greatest("a.start", "b.start"), F.least("a.end", "b.end")
         met = met.filter((start < end) & (F.floor(start / _width(F.col("level"))) == F.col("bin")))
         parts.append(met.select(F.col("_key").alias(key), "a", "b"))

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from ..functions import intervals as I
 from ..functions import quotes
 from ..functions import text as T
+from ..sources.store import apart
 
 
 def _repairs(text: str, spans: list[dict]) -> list[tuple]:
@@ -60,7 +61,7 @@ def realigned(gold: DataFrame, sources: DataFrame, text: str = "text", key: str
     A text is read once for all its spans, and is not copied to them."""
     item = F.struct("label", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text", T.annotated(F.col("text")).alias("wanted"))
     lists = gold.groupBy(key).agg(F.collect_list(item).alias("spans"))
-    met = lists.join(sources.select(key, F.col(text).alias("_source")), key).select(key, "_source", "spans")
+    met = lists.join(apart(sources.select(key, F.col(text).alias("_source"))), key).select(key, "_source", "spans")
     fields = StructType.fromDDL("label string, start int, end int, text string, wanted string, new_start int, new_end int, status string, there string").fields
     rows = met.mapInArrow(_repaired, StructType([gold.schema[key], *fields]))
     equal = (F.col("status") == "mismatch") & (T.comparable(F.col("there")) == T.comparable(F.col("wanted")))
@@ -85,7 +86,7 @@ def aligned(gold: DataFrame, predicted: DataFrame, gold_key: str, predicted_key:
     """gold_key, predicted_key (only where exactly one prediction shares a key), matches (how many do)."""
     a = gold.select(gold_key, F.explode_outer(keys).alias("k")).distinct()
     b = predicted.select(predicted_key, F.explode(keys).alias("k")).filter("k IS NOT NULL").distinct()
-    pairs = a.join(b, "k", "left").select(gold_key, predicted_key).distinct()
+    pairs = a.join(apart(b), "k", "left").select(gold_key, predicted_key).distinct()
     sums = pairs.groupBy(gold_key).agg(F.count(predicted_key).alias("matches"), F.min(predicted_key).alias(predicted_key))
     return sums.select(gold_key, F.when(F.col("matches") == 1, F.col(predicted_key)).alias(predicted_key), "matches")
 
@@ -116,7 +117,7 @@ def aligned_in_order(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     a = scoped.select("scope", "place", "own", F.explode_outer("keys").alias("k"))
     b = predicted.select("prediction", "source_file", F.explode("keys").alias("k"))
     fits = F.col("own").isNull() | (F.col("scope") == F.col("source_file"))
-    pairs = a.join(b, "k", "left").select("scope", "place", F.when(fits, F.col("prediction")).alias("prediction")).distinct()
+    pairs = a.join(apart(b), "k", "left").select("scope", "place", F.when(fits, F.col("prediction")).alias("prediction")).distinct()
     found = pairs.groupBy("scope", "place").agg(F.array_sort(F.collect_set("prediction")).alias("found"))
     lists = found.groupBy("scope").agg(F.collect_list(F.struct(F.col("place").cast("long").alias("place"), F.transform("found", lambda x: x.cast("long")).alias("found"))).alias("pairs"))
     return lists.select("scope", "pairs").mapInArrow(_taken, "scope string, place long, prediction long, matches long")

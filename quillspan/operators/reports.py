@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..sources.store import apart
 from . import evaluate
 
 METRICS = ("precision", "recall", "f1", "accuracy")
@@ -93,4 +94,4 @@ def overview(final: DataFrame, state: DataFrame, key: str = "doc_id") -> DataFra
     """key, label, spans, termination, consensus_reached, unresolved: what a look at a document's result shows."""
     counts = final.groupBy(key, "label").agg(F.count("*").alias("spans"))
     rows = state.select(key, "label", "termination", "consensus_reached", F.size("unresolved_ids").alias("unresolved"))
-    return rows.join(counts, [key, "label"], "left").na.fill(0, ["spans"])
+    return rows.join(apart(counts), [key, "label"], "left").na.fill(0, ["spans"])

@@ -10,6 +10,7 @@ from ..functions import answers, json_repair, prompts
 from ..functions import labels as L
 from ..functions import rules as R
 from ..functions import text as T
+from ..sources.store import apart
 from ..operators import calibrate, candidates, evaluate, generate, meta, realign, requests, select, votes
 from ..sources import records, store
 from ..sources.studies import CTE, studies
@@ -65,7 +66,7 @@ _EXCERPT = "CASE WHEN length(c.text) <= 900 THEN c.text ELSE left(c.text, 446) |
     || chr(10) || 'text_excerpt=' || {_EXCERPT} || chr(10) || 'boundary_context=' || {_CONTEXT} AS line, coalesce(list_sort(experts)[1], 'none') || '_' || label || '_DoctorAgent' AS doctor, label || '_MetaAgent' AS meta, coalesce(list_sort(experts)[1], 'none') AS expert
     FROM cands c JOIN studies s USING (doc_id)""")
 def candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.pattern_candidates(spark, sf_dir).join(studies(spark, sf_dir).select("doc_id", F.col("text").alias("source")), "doc_id")
+    rows = C.pattern_candidates(spark, sf_dir).join(apart(studies(spark, sf_dir).select("doc_id", F.col("text").alias("source"))), "doc_id")
     item = F.struct("candidate_id", "label", "start", "end", "text", "proposed_by_experts", "confidence_by_expert")
     doctor = prompts.doctor_role(F.coalesce(F.get("proposed_by_experts", F.lit(0)), F.lit("none")), F.col("label"))
     return rows.select("doc_id", "label", "candidate_id", prompts.candidate_line(item, F.col("source")).alias("line"), doctor.alias("doctor"), prompts.meta_role(F.col("label")).alias("meta"), votes.expert_of_role(doctor).alias("expert"))
@@ -100,7 +101,7 @@ _SHOWN = "count(*)::int AS most_decisions, min(candidate_id) AS first_id, max(ca
 def answer_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What schemas of reviews and label decisions allow, read from the schemas' JSON: one of each for a document's label."""
     docs = studies(spark, sf_dir).select("doc_id", F.transform(T.source_units(F.col("text")), lambda u: u["sentence_id"]).alias("sentences"))
-    shown = C.pattern_candidates(spark, sf_dir).groupBy("doc_id", "label").agg(F.array_sort(F.collect_list("candidate_id")).alias("ids")).join(docs, "doc_id")
+    shown = C.pattern_candidates(spark, sf_dir).groupBy("doc_id", "label").agg(F.array_sort(F.collect_list("candidate_id")).alias("ids")).join(apart(docs), "doc_id")
     made = shown.select("doc_id", "label", answers.review_column(F.col("ids"), F.col("label")).alias("r"), answers.label_decision_column(F.col("ids"), F.col("sentences"), F.col("label")).alias("m"))
     of = lambda c, *path: F.get_json_object(c, "$.properties." + ".".join(path))
     one, asked = "decisions.items.properties", "expansion_requests.items.properties"
