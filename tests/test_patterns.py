@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from quillspan.functions import labels as L
+from quillspan.functions import rules as R
 from quillspan.functions import text as T
 from quillspan.operators import generate
 
@@ -46,3 +47,15 @@ def test_long_prose_takes_little(spark):
     began = time.monotonic()
     assert generate.pattern_spans(df, ["Intervention"]).count() == 0
     assert time.monotonic() - began < 30
+
+
+def test_reasons_of_distinct_pieces_are_those_of_places(spark):
+    rows = [("two words here", s, e, t) for s, e in ((0, 3), (4, 9), (-1, 3), (3, 3), (10, 40)) for t in ("two", "words", "", "##a", "x", "12")]
+    df = spark.createDataFrame(rows, "source string, start int, end int, text string")
+    for label in ("Outcome", "SampleSize", "Foreign"):
+        at = [F.col(c) for c in ("source", "text", "start", "end")]
+        whole = df.withColumn("r", R.validation(at[0], F.lit(label), *at[1:])).groupBy("r").count()
+        outside, other = R.misplaced(*at)
+        once = df.select("text", outside.alias("outside"), other.alias("other")).groupBy("text", "outside", "other").agg(F.count("*").alias("n"))
+        judged = once.withColumn("r", R.reason(F.lit(label), F.col("text"), F.col("outside"), F.col("other"))).groupBy("r").agg(F.sum("n").alias("count"))
+        assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in judged.collect()}
