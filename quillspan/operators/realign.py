@@ -83,11 +83,17 @@ def prediction_keys(index: Column, name: Column, input_type: Column, file: Colum
 
 
 def aligned(gold: DataFrame, predicted: DataFrame, gold_key: str, predicted_key: str, keys: str = "keys") -> DataFrame:
-    """gold_key, predicted_key (only where exactly one prediction shares a key), matches (how many do)."""
-    a = gold.select(gold_key, F.explode_outer(keys).alias("k")).distinct()
+    """gold_key, predicted_key (only where exactly one prediction shares a key), matches (how many do).
+
+    Gold of one key meets the key's count of predictions, so that a key which many share makes no pairs. Only gold of
+    several keys is paired, since a prediction may share more than one of them."""
+    a = gold.select(gold_key, F.explode_outer(keys).alias("k")).groupBy(gold_key).agg(F.collect_set("k").alias("ks"))
     b = predicted.select(predicted_key, F.explode(keys).alias("k")).filter("k IS NOT NULL").distinct()
-    pairs = a.join(apart(b), "k", "left").select(gold_key, predicted_key).distinct()
-    sums = pairs.groupBy(gold_key).agg(F.count(predicted_key).alias("matches"), F.min(predicted_key).alias(predicted_key))
+    found = [F.count(predicted_key).alias("matches"), F.min(predicted_key).alias(predicted_key)]
+    one = a.filter("size(ks) < 2").select(gold_key, F.get("ks", F.lit(0)).alias("k")).join(apart(b.groupBy("k").agg(*found)), "k", "left")
+    one = one.select(gold_key, F.coalesce("matches", F.lit(0)).alias("matches"), predicted_key)
+    pairs = a.filter("size(ks) > 1").select(gold_key, F.explode("ks").alias("k")).join(apart(b), "k", "left").select(gold_key, predicted_key).distinct()
+    sums = one.unionByName(pairs.groupBy(gold_key).agg(*found))
     return sums.select(gold_key, F.when(F.col("matches") == 1, F.col(predicted_key)).alias(predicted_key), "matches")
 
 
