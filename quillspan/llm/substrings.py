@@ -281,9 +281,32 @@ def _meet_contexts(table: pa.Table) -> pa.Table:
     return _found([_passed(table), marks], {k: v[chosen] for k, v in e.items()}, table["bucket"][0].as_py())
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow before a join: the column text as its length and its bytes, compressed; shuffles write less of it."""
+    codec = pa.Codec("zstd", 1)
+    for part in batches:
+        raw = (None if x is None else x.as_buffer() for x in part["text"])
+        small = [None if x is None else x.size.to_bytes(4, "little") + codec.compress(x, asbytes=True) for x in raw]
+        yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(small, pa.binary()))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches that _packed took, in parts of bounded size."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        sizes = [0 if x is None else int.from_bytes(x[:4], "little") for x in batch["text"].to_pylist()]
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + scan.SLICE_BYTES, "right")))
+            part = batch.slice(at, to - at)
+            whole = [None if x is None else codec.decompress(x[4:], n, asbytes=True) for x, n in zip(part["text"].to_pylist(), sizes[at:to], strict=True)]
+            yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(whole, pa.binary()))
+            at = to
+
+
 def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (text, key, asked): the hash of every window of the contexts that were asked for."""
-    for part in scan.slices(batches, "text", SEGMENT):
+    """For mapInArrow over (text as _packed gives it, key, asked): the hash of every window of the contexts that were asked for."""
+    for part in scan.slices(_unpacked(batches), "text", SEGMENT):
         data, at = scan.flat(part.column(0))
         rows = [(k, a, x["start"], x["stop"], x["bucket"]) for k, a, asked in zip(part.column(1).to_pylist(), at[:-1].tolist(), part.column(2).to_pylist(), strict=True) for x in asked]
         for some in scan.chunked(rows, 6000):
@@ -384,7 +407,7 @@ def _marked(rows: DataFrame) -> DataFrame:
     found = durable.stored(sent.groupBy("bucket").applyInArrow(_meet_contexts, _FOUND), "contexts")
     durable.release(rows.sparkSession)
     asked = found.filter("bucket IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("start", "stop", "bucket")).alias("asked"))
-    windows = rows.select("key", "text").join(asked, "key").select("text", "key", "asked").mapInArrow(_send_windows, _SENT)
+    windows = rows.select("key", "text").mapInArrow(_packed, "key long, text binary").join(asked, "key").select("text", "key", "asked").mapInArrow(_send_windows, _SENT)
     more = durable.stored(windows.groupBy("bucket").applyInArrow(_meet_windows, _FOUND), "windows")
     durable.release(rows.sparkSession)
     marks = found.filter("bucket IS NULL").unionByName(more).groupBy("key")
@@ -394,9 +417,10 @@ def _marked(rows: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs) and kept (the bytes that are left) of every row."""
     rows = _keyed(docs, id_col, text_col)
-    joined = rows.join(_marked(rows), "key", "left").select("doc_id", "text", "marks")
+    packed = rows.select("key", "doc_id", "text").mapInArrow(_packed, "key long, doc_id long, text binary")
+    joined = packed.join(_marked(rows), "key", "left").select("doc_id", "text", "marks")
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: int, stop: int>>, kept binary"
-    return joined.mapInArrow(_cut, schema)
+    return joined.mapInArrow(lambda batches: _cut(_unpacked(batches)), schema)
 
 
 def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
