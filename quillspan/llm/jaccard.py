@@ -9,8 +9,9 @@
 3. Classes that share such a shingle are linked as a star; its components hold every pair that can match. A slice
    sends each shingle once, so a shingle of a third of all rows stays small.
 4. Inside a component the sets are compared by T-occurrence search (DivideSkip): short inverted lists are merged by
-   a heap, long ones are probed by binary search. Large components are dealt out as pairs of chunks. Only links that
-   join two parts are reported (a forest), never all pairs.
+   a heap, long ones are probed by binary search. Large components are dealt out as pairs of chunks, but only where sizes
+   allow a link: sets lie in bands by size, and links cross no more than one border. Only links that join two parts
+   are reported (a forest), never all pairs.
 5. The components of those links are the result.
 
 Shingles are 64-bit hashes of word hashes; equal hashes count as equal shingles.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import durable, graph, scan
@@ -43,7 +45,9 @@ WORDS_FROM = 4
 MAP_BITS = 28
 BUCKET_ENTRIES = 500_000
 CHUNK = 256
-LARGEST_CHUNK = 8192
+CHUNKS = 6
+CHUNK_SHINGLES = 3_000_000
+ASKED_BITS = 25
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -291,7 +295,9 @@ def candidate_links(reps: DataFrame, entries: int) -> DataFrame:
     stars = durable.stored(reps.select("node", "prefix").mapInArrow(_local_stars(buckets), _STARS), "prefixes")
     local = stars.filter("src IS NOT NULL").select(F.explode(F.arrays_zip("src", "dst")).alias("e")).select("e.src", "e.dst")
     across = stars.filter("bucket IS NOT NULL").select("bucket", "tokens", "nodes").groupBy("bucket").applyInArrow(_bucket_stars, "src long, dst long")
-    return local.unionByName(across)
+    links = durable.stored(local.unionByName(across), "candidates")
+    durable.dropped(stars)
+    return links
 
 
 class Parts:
@@ -367,9 +373,11 @@ def forest(sets: list[np.ndarray], percent: int, split: int | None = None) -> li
 
 
 def _compare(percent: int):
-    """For applyInArrow: the sets of one task; they hold whole components, or two chunks of one."""
+    """For applyInArrow: the sets of one task; they hold whole components, or two chunks of one. Rows that repeat an id
+    bring a set more than once."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.unique(table["node"].to_numpy(), return_index=True)[1]))
         table = table.sort_by([("component", "ascending"), ("chunk", "ascending"), ("node", "ascending")])
         component, chunk = table["component"].to_numpy(), table["chunk"].to_numpy()
         nodes, sets = table["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
@@ -391,43 +399,104 @@ def _full_sets(k: int):
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(part.column(0), k)
         keep = [i for i, s in enumerate(sets) if signature(s) == part.column(1)[i].as_py()]
-        rest = part.select(["node", "component", "chunk", "chunks"]).take(pa.array(keep, pa.int64()))
+        rest = part.select(["node", "component", "chunk", "others"]).take(pa.array(keep, pa.int64()))
         return pa.RecordBatch.from_arrays([*rest.columns, pa.array([sets[i].tobytes() for i in keep], pa.binary())], [*rest.schema.names, "shingles"])
 
     return scan.by_slice(make)
 
 
+def size_band(n: Column, percent: int) -> Column:
+    """A number that differs by 1 at most between sizes of sets that can be linked; bands are wider than that by a
+    thousandth, so that rounding does no harm."""
+    return F.floor(F.log(n) / (max(math.log(100 / percent), 1e-6) * 1.001))
+
+
+def _chunk(chunk: Column) -> Column:
+    return F.col("band") * (1 << 32) + chunk
+
+
+def chunked(found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """node, doc_id, signature, component, chunk of each set that is to be compared, and the chunks `others` that its chunk
+    meets, itself included (null where the component is compared as a whole).
+
+    A set is sent once for each of these chunks: a component has about CHUNKS of them, whatever its size, and more only
+    where two of them would not fit a task."""
+    sets = found.join(reps.select("node", "doc_id", "signature", "n_shingles"), "node").withColumn("band", size_band(F.col("n_shingles"), percent))
+    cells = durable.stored(sets.groupBy("component", "band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")), "cells")
+    whole = cells.groupBy("component").agg(F.sum("n").alias("size"), F.sum("shingles").alias("all"))
+    cut = F.greatest(F.least(F.ceil(F.col("size") / CHUNK), F.lit(CHUNKS)), F.ceil(F.col("all") / CHUNK_SHINGLES))
+    large = whole.select("component", "size", cut.alias("cut")).filter("cut > 1")
+    chunks = F.greatest(F.ceil(F.col("n") * F.col("cut") / F.col("size")), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    large = durable.stored(cells.join(large.hint("merge"), "component").select("component", "band", chunks.alias("chunks")), "large")
+    listed = large.select("component", "band", F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), _chunk).alias("others"))
+    near = listed.select("component", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"), "others")
+    near = near.groupBy("component", "band").agg(F.flatten(F.collect_list("others")).alias("others"))
+    met = large.join(near.hint("merge"), ["component", "band"])
+    asked = sets.join(met.hint("merge"), ["component", "band"], "left")
+    return asked.select("node", "doc_id", "signature", "component", F.when(F.col("chunks").isNull(), 0).otherwise(_chunk(F.pmod(F.xxhash64("node"), F.col("chunks")))).cast("long").alias("chunk"), "others")
+
+
+def _cell(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(1 << ASKED_BITS)).cast("int")
+
+
+def _asked_ids(asked: DataFrame) -> np.ndarray:
+    """A bit for each cell of ids that holds an asked one; 2**ASKED_BITS bits, whatever the table."""
+    low = 1 << 15
+    out = np.zeros((1 << ASKED_BITS) // low * (low // 8), np.uint8).reshape(-1, low // 8)
+    cells = asked.select(_cell("doc_id").alias("cell")).groupBy(F.floor(F.col("cell") / low).cast("int").alias("part"))
+    for r in cells.agg(F.expr(f"bitmap_construct_agg(cell % {low})").alias("bits")).toLocalIterator():
+        out[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.ravel()
+
+
+def _only_asked(bits):
+    """For mapInArrow: rows whose id may be an asked one, so that few other texts are sent to the join with those ids."""
+
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        cell = part.column(2).to_numpy()
+        hit = (bits.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
+        return part.select(["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
+
+    return scan.by_slice(make)
+
+
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of every row."""
     spark = docs.sparkSession
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = spark.sparkContext.broadcast(order_of(kept, k))
     sets = durable.stored(kept.mapInArrow(_prefixes(k, percent, order), _SETS), "sets")
-    filled = sets.filter("n_shingles > 0")
-    classes = filled.groupBy("signature").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
+    order.destroy()
+    durable.release(spark)
+    rows = durable.stored(sets.select("row", "doc_id", "n_shingles", "signature"), "rows")
+    classes = rows.filter("n_shingles > 0").groupBy("signature").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     classes = durable.stored(classes, "classes")
-    reps = durable.stored(filled.select("row", "doc_id", "signature", "prefix").join(classes.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"), "reps")
+    reps = durable.stored(sets.filter("n_shingles > 0").join(classes.select(F.col("node").alias("row")).hint("merge"), "row").withColumnRenamed("row", "node"), "reps")
+    durable.dropped(sets)
     entries = reps.agg(F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0)).cast("long").alias("n")).first()["n"]
     found = graph.components(candidate_links(reps, entries))
-    chunks = F.ceil(F.col("size") / F.least(F.greatest(F.col("size") / 16, F.lit(CHUNK)), F.lit(LARGEST_CHUNK))).cast("int")
-    sized = durable.stored(found.groupBy("component").agg(F.count("*").alias("size")).select("component", chunks.alias("chunks")), "sized")
-    asked = found.join(sized, "component").join(reps.select("node", "doc_id", "signature"), "node")
-    asked = durable.stored(asked.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "asked")
+    asked = durable.stored(chunked(found, reps, percent), "asked")
+    durable.dropped(reps)
+    durable.release(spark)
+    bits = spark.sparkContext.broadcast(_asked_ids(asked))
     # The table of candidates has no bound, so it is never broadcast, whatever Spark estimates.
-    texts = kept.join(asked.hint("merge"), kept["doc_id"].eqNullSafe(asked["doc_id"])).select("text", "signature", "node", "component", "chunk", "chunks")
-    whole = texts.mapInArrow(_full_sets(k), "node long, component long, chunk int, chunks int, shingles binary").dropDuplicates(["node"])
+    some = kept.withColumn("cell", _cell("doc_id")).mapInArrow(_only_asked(bits), kept.schema)
+    texts = some.join(asked.hint("merge"), some["doc_id"].eqNullSafe(asked["doc_id"])).select("text", "signature", "node", "component", "chunk", "others")
+    whole = texts.mapInArrow(_full_sets(k), "node long, component long, chunk long, others array<long>, shingles binary")
     tasks = durable.partitions(spark) * 8
-    dealt = whole.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = whole.withColumn("with", F.explode(F.coalesce("others", F.array("chunk"))))
     small = F.pmod(F.xxhash64("component"), F.lit(tasks))
-    dealt = dealt.select("node", "component", "chunk", "shingles", F.when(F.col("chunks") == 1, small).otherwise(F.xxhash64("component", F.least("chunk", "with"), F.greatest("chunk", "with"))).alias("task"))
+    dealt = dealt.select("node", "component", "chunk", "shingles", F.when(F.col("others").isNull(), small).otherwise(F.xxhash64("component", F.least("chunk", "with"), F.greatest("chunk", "with"))).alias("task"))
     links = dealt.groupBy("task").applyInArrow(_compare(percent), "src long, dst long")
     final = graph.components(durable.stored(links, "links"))
+    bits.destroy()
     named = classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = durable.stored(named, "named")
     least = durable.stored(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     by_class = durable.stored(named.join(least, "component").select("signature", "component_id"), "by_class")
-    rows = sets.select("doc_id", "n_shingles", "signature").join(by_class, "signature", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.join(by_class, "signature", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
