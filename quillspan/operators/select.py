@@ -143,6 +143,7 @@ def without_contained(items: Column, label: Column) -> Column:
 
 
 _ITEM = ("candidate_id", "start", "end", "text", "plain", "weak", "anchor", "boundary", "issue")
+_FOLDED = ("candidate_id", "start", "end", "plain", "weak", "anchor", "boundary")  # what without_redundant() asks for
 
 
 def grouped(chosen: DataFrame, order: list[str], key: str = "doc_id", fields: tuple[str, ...] = _ITEM) -> DataFrame:
@@ -162,8 +163,8 @@ def _picked(items: DataFrame, ids: Column, key: str) -> DataFrame:
 
 _OF_MODE = {
     "registry_all": (), "registry_filtered": ("fits",), "pubmedbert_only": ("fits", "anchor"), "majority_vote": ("fits", "keeps"), "pubmedbert_anchor": ("fits", "anchor", "keeps"),
-    "pubmedbert_plus_verified": ("fits", "anchor", "weak", "keeps", "rescued", "plain", "boundary", "issue"),
-    "expert_consensus_verified": ("fits", "anchor", "weak", "keeps", "support", "rescued", "plain", "boundary", "issue"),
+    "pubmedbert_plus_verified": ("fits", "anchor", "weak", "keeps", "rescued", "plain", "boundary"),
+    "expert_consensus_verified": ("fits", "anchor", "weak", "keeps", "support", "rescued", "plain", "boundary"),
 }
 
 
@@ -171,7 +172,7 @@ def asked_by(name: str, prune_contained: bool = True, key: str = "doc_id") -> tu
     """The columns of candidates and the features that mode() asks for, as described() takes them."""
     prune = prune_contained and name in ("majority_vote", "pubmedbert_anchor")
     spans = prune or "boundary" in _OF_MODE[name]
-    return [key, "label", "candidate_id", "number", *(("start", "end", "text") if spans else ())], [*_OF_MODE[name], *(["issue"] if prune else [])]
+    return [key, "label", "candidate_id", "number", *(("start", "end") if spans else ()), *(("text",) if prune else ())], [*_OF_MODE[name], *(["issue"] if prune else [])]
 
 
 def mode(rows: DataFrame, name: str, key: str = "doc_id", prune_contained: bool = True) -> DataFrame:
@@ -189,17 +190,31 @@ def mode(rows: DataFrame, name: str, key: str = "doc_id", prune_contained: bool
         prune = prune_contained and name in ("majority_vote", "pubmedbert_anchor")
         items = grouped(rows.filter(plain[name]), ["number"], key, ("candidate_id", "start", "end", "text", "issue") if prune else ("candidate_id",))
         return _picked(items, without_contained(F.col("items"), F.col("label")) if prune else _ids(F.col("items")), key)
-    agreed = (votes >= 2) | F.col("rescued")
-    if name == "pubmedbert_plus_verified":
-        kept = rows.filter(fits & F.when(F.col("anchor"), ~F.col("weak")).otherwise(agreed)).withColumn("rank", F.when(F.col("anchor"), 0).otherwise(1))
-    elif name == "expert_consensus_verified":
-        kept = rows.filter(fits & ~F.col("weak") & ((F.col("support") >= 2) | agreed)).withColumn("rank", F.lit(0))
-    else:
+    if name not in _verified():
         raise ValueError(f"no such mode: {name}")
-    items = grouped(kept, ["rank", "number"], key)
+    chosen, rank = _verified()[name]
+    items = grouped(rows.filter(chosen).withColumn("rank", rank), ["rank", "number"], key, _FOLDED)
     return _picked(items, _ids(without_redundant(F.col("items"), strict)), key)
 
 
+def _verified() -> dict[str, tuple[Column, Column]]:
+    """Of the modes that fold near repetitions: whom they choose, and what comes before the number in their order."""
+    agreed, anchor, good = (F.col("keeps") >= 2) | F.col("rescued"), F.col("anchor"), ~F.col("weak")
+    return {
+        "pubmedbert_plus_verified": (F.col("fits") & F.when(anchor, good).otherwise(agreed), F.when(anchor, 0).otherwise(1)),
+        "expert_consensus_verified": (F.col("fits") & good & ((F.col("support") >= 2) | agreed), F.lit(0)),
+    }
+
+
+def _by_rule() -> Column:
+    """Whether a rule's fields beside a candidate choose it."""
+    share = V.weighted_keep(F.col("vote_weights"))
+    return (
+        (~F.col("require_label_filter") | F.col("fits")) & (~F.col("reject_weak_fragments") | ~F.col("weak"))
+        & ((share >= V.vote_threshold(F.col("min_vote_fraction"))) | ((F.col("support") >= F.col("min_expert_support")) & (F.col("confidence") >= F.col("min_confidence"))) | (F.col("use_high_quality_rescue") & F.col("rescued")))
+    )
+
+
 def calibrated(rows: DataFrame, configs: DataFrame, key: str = "doc_id") -> DataFrame:
     """config_id, key, label, pos, candidate_id: what each configuration selects.
 
@@ -207,12 +222,7 @@ def calibrated(rows: DataFrame, configs: DataFrame, key: str = "doc_id") -> Data
     min_confidence, use_high_quality_rescue, vote_weights (in the order of the roles); some hundreds of rows a label at
     most, which bounds the broadcast. Configurations that keep the same candidates of a group share one fold."""
     met = rows.join(F.broadcast(configs), "label")
-    share = V.weighted_keep(F.col("vote_weights"))
-    chosen = (
-        (~F.col("require_label_filter") | F.col("fits")) & (~F.col("reject_weak_fragments") | ~F.col("weak"))
-        & ((share >= V.vote_threshold(F.col("min_vote_fraction"))) | ((F.col("support") >= F.col("min_expert_support")) & (F.col("confidence") >= F.col("min_confidence"))) | (F.col("use_high_quality_rescue") & F.col("rescued")))
-    )
-    signatures = met.filter(chosen).groupBy(key, "label", "config_id").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
+    signatures = met.filter(_by_rule()).groupBy(key, "label", "config_id").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
     distinct = signatures.select(key, "label", "numbers").distinct()
     members = distinct.select(key, "label", "numbers", F.explode("numbers").alias("number")).join(apart(rows), [key, "label", "number"])
     item = F.struct("number", F.struct(*_ITEM).alias("c"))
@@ -250,24 +260,30 @@ def by_mode(rows: DataFrame, strict_ids: DataFrame | None = None, recommended: D
 
 
 SOURCE_MODES = ("recommended", "registry_all", "registry_filtered", "expert_consensus_verified", "pubmedbert_plus_verified")
+BY_SOURCE_MODE = (["doc_id", "label", "candidate_id", "number", "start", "end", *V.ROLES], ["fits", "anchor", "weak", "keeps", "support", "confidence", "rescued", "plain", "boundary"])
 
 
 def by_source_mode(rows: DataFrame, rules: DataFrame, recommended: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """key, label, pos, candidate_id: each label by the mode that its rule names, any other name by the rule itself.
 
-    rules: one row a label, with source_mode and the fields of calibrated(); seven rows bound the broadcasts."""
-    out = None
-    for name in SOURCE_MODES:
-        of = F.broadcast(rules.filter(F.col("source_mode") == name).select("label"))
-        if name == "recommended":
-            if recommended is None:
-                continue
-            ids = known(recommended.join(of, "label", "left_semi"), rows, key)
-        else:
-            ids = mode(rows.join(of, "label", "left_semi"), name, key).select(key, "label", "pos", "candidate_id")
-        out = ids if out is None else out.unionByName(ids)
-    rest = rules.filter(~F.coalesce(F.col("source_mode").isin(*SOURCE_MODES), F.lit(False))).withColumn("config_id", F.lit(0))
-    return out.unionByName(calibrated(rows, rest, key).select(key, "label", "pos", "candidate_id"))
+    rules: one row a label, with source_mode and the fields of calibrated(); seven rows bound the broadcasts. A label has
+    one rule, so that candidates meet it in one pass and are grouped once, whatever it says."""
+    named = F.coalesce(F.col("source_mode"), F.lit(""))
+    folds = ~named.isin("registry_all", "registry_filtered")
+    by = {"registry_all": (F.lit(True), F.lit(0)), "registry_filtered": (F.col("fits"), F.lit(0)), **_verified()}
+    chosen, rank = F, F
+    for name, (test, first) in by.items():
+        chosen, rank = chosen.when(named == name, test), rank.when(named == name, first)
+    met = rows.join(F.broadcast(rules.filter(named != "recommended")), "label").filter(chosen.otherwise(_by_rule()))
+    kept = met.withColumns({"rank": rank.otherwise(0), "_folds": folds, **{c: F.when(folds, F.col(c)) for c in _FOLDED[1:]}})
+    item = F.struct("rank", "number", F.struct(*_FOLDED).alias("c"))
+    items = kept.groupBy(key, "label", "_folds").agg(F.sort_array(F.collect_list(item)).getField("c").alias("items"))
+    few = without_redundant(F.col("items"), F.col("label").isin(R.L.STRICT_LABELS))
+    out = _picked(items, F.when(F.col("_folds"), _ids(few)).otherwise(_ids(F.col("items"))), key)
+    if recommended is None:
+        return out
+    of = F.broadcast(rules.filter(named == "recommended").select("label"))
+    return out.unionByName(known(recommended.join(of, "label", "left_semi"), rows, key))
 
 
 def applied(rows: DataFrame, rules: DataFrame, recommended: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
