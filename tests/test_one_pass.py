@@ -46,3 +46,14 @@ def test_selection_by_source_mode_is_one_pass(spark, monkeypatch):
     monkeypatch.setattr(store, "placed", lambda *a, **k: pytest.fail("stored"))
     plan = plan_of(catalogue.QUERIES["selection_by_source_mode"](spark, SMALL))
     assert plan.count("MapInArrow") == 2 and plan.count("customer.parquet") <= 1 and "Union" not in plan
+
+
+def test_validation_judges_texts_before_they_meet_their_source(spark):
+    spoiled = catalogue._spoiled(spark, SMALL)
+    odd = spark.createDataFrame([(1, None, 0, 3, "abc"), (1, "Outcome", None, 3, "abc"), (1, "Outcome", 0, 3, None), (-1, "Outcome", 0, 3, "abc"), (1, "Foreign", 5, 3, "x"), (1, "Outcome", 5, 3, "x")], spoiled.schema)
+    every, docs = spoiled.unionByName(odd), studies(spark, SMALL)
+    direct = every.join(docs.withColumnRenamed("text", "source"), "doc_id", "left").select(*every.columns, R.validation(F.coalesce("source", F.lit("")), F.col("label"), F.col("text"), F.col("start"), F.col("end")).alias("reason"))
+    got = candidates.validated(every, docs)
+    assert sorted(map(str, got.select(*direct.columns).collect())) == sorted(map(str, direct.collect()))
+    above, below = plan_of(got.filter("reason = 'accepted'")).split("Join", 1)
+    assert "broken_subword_fragment" not in above and "broken_subword_fragment" in below
