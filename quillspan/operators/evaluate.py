@@ -270,10 +270,15 @@ def character_confusion(docs: DataFrame, gold: DataFrame, predicted: DataFrame)
 
 def presence_metrics(docs: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Documents that have a label or not, for each label. docs: doc_id."""
+    return presence_of(docs, sides(gold, predicted))
+
+
+def presence_of(docs: DataFrame, both: DataFrame) -> DataFrame:
+    """presence_metrics() in one pass over sides(): what a document's label has crosses as two flags."""
     n = docs.select("doc_id").distinct().agg(F.count("*").alias("docs"))
-    has = lambda x, c: x.select("doc_id", "label").distinct().withColumn(c, F.lit(1))
-    both = has(gold, "g").join(apart(has(predicted, "p")), ["doc_id", "label"], "full").na.fill(0, ["g", "p"])
-    counts = both.groupBy("label").agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum((1 - F.col("g")) * F.col("p")).alias("fp"), F.sum(F.col("g") * (1 - F.col("p"))).alias("fn"))
+    g, p = (F.max((F.col("side") == x).cast("int")).alias(x) for x in ("g", "p"))
+    has = both.filter("doc_id IS NOT NULL").groupBy("doc_id", "label").agg(g, p)
+    counts = has.groupBy("label").agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum((1 - F.col("g")) * F.col("p")).alias("fp"), F.sum(F.col("g") * (1 - F.col("p"))).alias("fn"))
     each = _all_labels(counts, ["tp", "fp", "fn"]).crossJoin(F.broadcast(n))  # one row on the right side
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
     return each.select("label", "tp", "fp", "fn", (F.col("docs") - tp - fp - fn).alias("tn"), *T.f_scores(tp, fp, fn))

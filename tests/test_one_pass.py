@@ -57,3 +57,19 @@ def test_validation_judges_texts_before_they_meet_their_source(spark):
     assert sorted(map(str, got.select(*direct.columns).collect())) == sorted(map(str, direct.collect()))
     above, below = plan_of(got.filter("reason = 'accepted'")).split("Join", 1)
     assert "broken_subword_fragment" not in above and "broken_subword_fragment" in below
+
+
+def test_presence_is_one_pass(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.randrange(30), rng.choice(L.LABELS), s, s + 2, rng.choice("gp")) for s in range(150)]
+    both = spark.createDataFrame(rows, "doc_id long, label string, start int, end int, side string")
+    has = {x: {(r[0], r[1]) for r in rows if r[4] == x} for x in "gp"}
+    want = {}
+    for label in L.LABELS:
+        g, p = ({d for d, x in has[s] if x == label} for s in "gp")
+        want[label] = (len(g & p), len(p - g), len(g - p), 40 - len(g | p))
+    docs = spark.range(40).select(F.col("id").alias("doc_id"))
+    for got in (evaluate.presence_of(docs, both), evaluate.presence_metrics(docs, both.filter("side = 'g'"), both.filter("side = 'p'"))):
+        assert {r.label: (r.tp, r.fp, r.fn, r.tn) for r in got.collect()} == want
+    monkeypatch.setattr(store, "stored", lambda *a, **k: pytest.fail("stored"))
+    assert "FullOuter" not in plan_of(catalogue.QUERIES["presence_metrics"](spark, SMALL))
