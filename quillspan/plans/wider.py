@@ -279,21 +279,13 @@ _PIECES = f"""pieces AS (SELECT doc_id, 'Outcome' AS label, start, "end", text F
 def validation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses and tokens of all texts as candidates, and what the rules say of them.
 
-    Pieces meet their text inside its row and leave it behind; each distinct piece is judged once."""
-    docs, text = C._documents(spark, sf_dir), F.col("text")
-    whole = F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), text.alias("text"))
-
-    def pieces(label: str, spans):
-        def one(s):
-            outside, other = R.misplaced(text, s["text"], s["start"], s["end"])
-            return F.struct(F.lit(label).alias("label"), s["text"].alias("text"), outside.alias("outside"), other.alias("other"))
-
-        return F.transform(spans, one)
-
-    every = docs.select("lang", F.explode(F.concat(pieces("Outcome", T.clauses(whole)), pieces("SampleSize", T.tokens(text)))).alias("s")).select("lang", "s.*")
-    counts = every.groupBy("lang", "label", "text", "outside", "other").agg(F.count("*").alias("n"))
-    reason = R.reason(F.col("label"), text, F.col("outside"), F.col("other"))
-    return counts.select("lang", "label", reason.alias("reason"), "n").groupBy("lang", "label", "reason").agg(F.sum("n").alias("n"))
+    Pieces meet their text inside its row and leave it behind; each distinct piece of some megabytes is judged once."""
+    counts = generate.piece_counts(C._documents(spark, sf_dir), {"clause": "Outcome", "token": "SampleSize"}, "lang")
+    label, text = F.col("label"), F.col("text")
+    rows = counts.withColumns({"plain": R.stripped(text), "clean": T.clean(text)}).withColumn("low", F.lower("clean")).withColumn("words", R.words_of(F.col("low")))
+    issue = R.boundary_issue(label, text, tuple(F.col(c) for c in ("clean", "low", "words")))
+    reason = R.reason(label, text, F.col("outside"), F.col("other"), F.col("plain"), issue)
+    return rows.select("lang", "label", reason.alias("reason"), "n").groupBy("lang", "label", "reason").agg(F.sum("n").alias("n"))
 
 
 _PROSE = f"""WITH numbered AS (SELECT doc_id, start, "end", row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n FROM ({C._units_sql('documents')})), dim AS (SELECT unnest([{R.quoted(L.LABELS)}]) AS label),
